@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import quality, simhash
+from pagemill.llm import mixing, packing, quality, sharding, simhash
 from pagemill.llm.common import read_table
 from pagemill.shipping import shipped
 
@@ -19,16 +19,28 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 win AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS k FROM d, unnest(range(1, len(w) - 6)) AS t(i)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, unnest(range(0, 8)) AS t(j) GROUP BY doc_id),
 c AS (
-  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
   FROM d LEFT JOIN cov USING (doc_id)),
@@ -39,12 +51,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+OP6_SQL = r"""
+WITH k AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z FROM k GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM s),
+r AS (SELECT *, 2.0::DOUBLE * z AS cap, 2.0::DOUBLE * z / w AS ratio FROM w),
+l AS (SELECT *, (1.5::DOUBLE * sum(z) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM r
+      WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT min_by(level, ratio) FILTER (WHERE level <= ratio) AS level FROM l),
+t AS (SELECT l.source, z AS source_size, least(cap, m.level * w) AS target FROM l, m),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
+c AS (SELECT k.doc_id, k.size, b.source_size, b.target, b.base, b.target - b.base * b.source_size AS rest,
+             sum(k.size) OVER (PARTITION BY k.source, k.u) AS peers, sum(k.size) OVER (PARTITION BY k.source ORDER BY k.u RANGE UNBOUNDED PRECEDING) AS upto
+      FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (size * (base + CASE WHEN 2 * upto - peers <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_packing": op4_packing,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_sharding": op7_sharding,
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL}
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": OP6_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
