@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import mixing, packing, quality, sharding, simhash
+from pagemill.llm import mixing, packing, quality, sharding, simhash, substring_dedup
 from pagemill.llm.common import read_table
 from pagemill.shipping import shipped
 
@@ -31,6 +31,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_report(read_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_sharding": op7_sharding,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": OP6_SQL}
