@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import mixing, packing, quality, sharding, simhash, substring_dedup
+from pagemill.llm import mixing, packing, quality, sharding, simhash, substring_dedup, token_count
 from pagemill.llm.common import read_table
 from pagemill.shipping import shipped
 
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_packing": op4_packing,
+    "op5_token_count": op5_token_count,
     "op6_source_mixing": op6_source_mixing,
     "op7_sharding": op7_sharding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
