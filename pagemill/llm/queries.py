@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import mixing, packing, quality, sharding, simhash, substring_dedup, token_count
+from pagemill.llm import ann, lm_scoring, mixing, packing, pii, quality, sharding, simhash, substring_dedup, token_count
 from pagemill.llm.common import read_table
 from pagemill.shipping import shipped
 
@@ -19,6 +19,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
@@ -35,10 +39,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replacement_report(read_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -79,11 +91,14 @@ SELECT doc_id, size, source_size, target, (size * (base + CASE WHEN 2 * upto - p
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_packing": op4_packing,
     "op5_token_count": op5_token_count,
     "op6_source_mixing": op6_source_mixing,
     "op7_sharding": op7_sharding,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": OP6_SQL}
