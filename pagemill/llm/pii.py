@@ -140,7 +140,9 @@ def surrogate(kind: str, form: str, attempt: int = 0) -> str:
         # the family name is drawn alike with and without first names, and for either gender
         first = [_word(w, gender, Draw("first", gender, w, attempt)) for w in words[:-1]]
         return " ".join([*first, _word(words[-1], "", Draw("family", words[-1], attempt))])
-    return "".join(_like(c, draw) for c in form)
+    hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", form)
+    letters = ("abcdef" if form.islower() else "ABCDEF") if hexadecimal else ""
+    return "".join(letters[draw.below(6)] if letters and c.isalpha() else _like(c, draw) for c in form)
 
 
 def rendered(kind: str, mention: str, new: str) -> str:
