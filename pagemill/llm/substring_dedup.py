@@ -32,7 +32,7 @@ from pagemill.llm.common import written
 DEPTH = 100
 KMER = 32
 #: Bytes worked at once in a task.
-SEGMENT = 8 << 20
+SEGMENT = 1 << 20
 #: Unequal runs of one minimizer above which their windows are dealt one by one.
 WIDE = 50_000
 #: Table size up to which spans are broadcast instead of moving the texts.
