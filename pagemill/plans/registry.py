@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.sources.tables import table
+from pagemill.plans import event_queries, page_queries, url_queries
+from pagemill.shipping import shipped
 
-
-def _page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)).alias("host"), F.octet_length("html").alias("html_bytes"))
+_GROUPS = (page_queries, url_queries, event_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"page_report": _page_report}
+    return {name: shipped(query) for group in _GROUPS for name, query in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in _GROUPS for name, sql in group.SQL.items()}
