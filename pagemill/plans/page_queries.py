@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.functions import encoding as E, html as H, markdown as M, metadata as D, urls as U
+from pagemill.functions import encoding as E, html as H, markdown as M, metadata as D, passes as P, urls as U
 from pagemill.sources.tables import table
 
 FETCHED_AT = "2024-01-31 00:00:00"
@@ -32,7 +32,7 @@ def render(pages: DataFrame, fetched_at: str = FETCHED_AT) -> DataFrame:
     url, html = F.col("url"), F.col("html")
     base = pages.select(
         "page_id", url, U.raw_rewrite(url)["url"].alias("resolved_url"), D.limited(D.metadata(html, url)).alias("metadata"),
-        H.primary_heading(html).alias("heading"), H.cleaned(H.body_section(html)).alias("body"), E.looks_binary(html).alias("binary"),
+        H.primary_heading(html).alias("heading"), H.cleaned(P.prepared(H.body_section(html))).alias("body"), E.looks_binary(html).alias("binary"),
     )
     regions = base.withColumn("region", H.content_region(F.col("body")))
     region_size, body_size = F.length(H.visible_text(F.col("region"))), F.length(H.visible_text(F.col("body")))
