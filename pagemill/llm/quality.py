@@ -25,6 +25,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_SYMBOL_PERCENT = 20
 MAX_DUP_LINE_PERCENT = 30
+LEAST_DUP_LINES = 3
 MEAN_WORD_CHARS = (2, 15)
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 1000
@@ -50,9 +51,10 @@ def n_dup_lines(text: Column) -> Column:
     return bound(_word_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def dup_line_percent(text: Column) -> Column:
-    """Share of lines with a word which equal an earlier line, in percent; 0 without such lines."""
-    return bound(_word_lines(text), lambda x: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(100.0 * (F.size(x) - F.size(F.array_distinct(x))) / F.size(x)))
+def repeats_lines(text: Column) -> Column:
+    """Whether at least ``LEAST_DUP_LINES`` lines with a word, and over ``MAX_DUP_LINE_PERCENT`` of them, equal an earlier line."""
+    dup = lambda x: F.size(x) - F.size(F.array_distinct(x))
+    return bound(_word_lines(text), lambda x: bound(dup(x), lambda n: (n >= LEAST_DUP_LINES) & (100 * n > MAX_DUP_LINE_PERCENT * F.size(x))))
 
 
 def _repeat_words(w: Column, window: int) -> Column:
@@ -112,7 +114,7 @@ RULES = (
     Rule("few_words", lambda t: n_words(t) < MIN_WORDS),
     Rule("symbols", lambda t: 100 * n_symbols(t) > MAX_SYMBOL_PERCENT * n_words(t)),
     Rule("word_length", lambda t: (word_chars(t) < MEAN_WORD_CHARS[0] * n_words(t)) | (word_chars(t) > MEAN_WORD_CHARS[1] * n_words(t))),
-    Rule("repeated_lines", lambda t: dup_line_percent(t) > MAX_DUP_LINE_PERCENT),
+    Rule("repeated_lines", repeats_lines),
     Rule("repeated_words", repeats_too_much),
 )
 

@@ -73,7 +73,7 @@ c AS (
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR (n_lines > 0 AND 100.0 * n_dup_lines / n_lines > 30)) AS kept
+            OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)) AS kept
 FROM f
 """
 
