@@ -50,13 +50,23 @@ PATTERN = re.compile(
         )
     )
 )
-#: A text without any of these holds no entity.
-HINT = re.compile(r"[0-9@]|(?<!\w)(?:" + "|".join(map(re.escape, ADDRESS)) + r") |(?i:token|secret|passw|api[_-]?key|access[_-]?key)\s{0,3}[:=]")
+_DIGIT = re.compile("[0-9]")
+_SECRET_WORDS = ("token", "secret", "passw", "api", "access")
+
+
+def may_hold(text: str) -> bool:
+    """False only for texts without any entity: plain substring searches, far cheaper than the pattern."""
+    if "@" in text or _DIGIT.search(text) or any(a in text for a in ADDRESS):
+        return True
+    if ":" not in text and "=" not in text:
+        return False
+    low = text.lower()
+    return any(w in low for w in _SECRET_WORDS)
 
 
 def found(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of each entity, in order. A name's type carries its gender."""
-    if not HINT.search(text):
+    if not may_hold(text):
         return []
     out = []
     for m in PATTERN.finditer(text):
