@@ -27,8 +27,9 @@ MAX_SYMBOL_PERCENT = 20
 MAX_DUP_LINE_PERCENT = 30
 LEAST_DUP_LINES = 3
 MEAN_WORD_CHARS = (2, 15)
-#: Rows of the sample on which cost and selectivity are estimated.
+#: Rows of the sample on which cost and selectivity are estimated, and the longest text in it in bytes (64 MB in all at most).
 SAMPLE_ROWS = 1000
+SAMPLE_TEXT_BYTES = 64 << 10
 
 
 def n_words(text: Column) -> Column:
@@ -120,8 +121,12 @@ RULES = (
 
 
 def measured(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Each rule with its cost (seconds over the sample, beyond a plain scan of it) and the share it rejects."""
-    sample = docs.select(F.col(text).alias("text")).limit(sample_rows).persist()
+    """Each rule with its cost (seconds over the sample, beyond a plain scan of it) and the share it rejects.
+
+    The sample is taken as ``take`` does it, from as few partitions as hold enough rows; it decides the order only.
+    """
+    taken = docs.select(F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame([(r[0],) for r in taken], "text string").coalesce(1).persist()
     try:
         def run(column: Column) -> tuple[float, tuple]:
             best, row = float("inf"), None
