@@ -94,6 +94,20 @@ c AS (SELECT k.doc_id, k.size, b.source_size, b.target, b.base, b.target - b.bas
 SELECT doc_id, size, source_size, target, (size * (base + CASE WHEN 2 * upto - peers <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, i, x[i + 1 : i + 100] AS k FROM d, unnest(range(0, greatest(0, octet_length(x) - 99))) AS t(i)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS o FROM g),
+s AS (SELECT doc_id, i, sum(o) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM o),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, s),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM span),
+k AS (SELECT p.doc_id, string_agg(hex(x[c + 1 : a]), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS removed, count(*) AS n FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(x[coalesce(last, 0) + 1 : octet_length(x)]))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -108,7 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": OP6_SQL}
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": OP6_SQL, "op9_suffix_array_dedup": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,11 +1,11 @@
 """Exact removal of repeated 100-byte strings by a depth-limited most-significant-digit radix sort of suffixes.
 
 Only suffixes that can tie at full depth are ever moved. The first digit of a 100-byte window is the hash of its minimizer, the
-least-hashed 32-byte string in it: equal windows have equal minimizers at equal offsets, so windows that differ in this
+least-hashed 24-byte string in it: equal windows have equal minimizers at equal offsets, so windows that differ in this
 digit never meet. Neighbouring windows with the same minimizer place travel as one run.
 
 1. Over each text (one pass, no shuffle) runs are found; runs equal to an earlier one of the same batch are settled.
-2. Runs are dealt by minimizer hash, 40 bytes each. A run equal to an earlier one (two 64-bit hashes, offset and
+2. Runs are dealt by minimizer hash, 28 bytes each. A run equal to an earlier one (64 and 48 bits of hashes, offset and
    length) is a repeat. Runs whose minimizer has other, unequal runs go on; all others are unique.
 3. The bytes of those few runs are dealt by minimizer. Their windows are ordered digit by digit, 8 bytes a pass, down to depth 100;
    windows that stand alone drop out after each pass, and the groups left at full depth are the repeated windows.
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 from pagemill.llm.common import written
 
 DEPTH = 100
-KMER = 32
+KMER = 24
 #: Bytes worked at once in a task.
 SEGMENT = 1 << 20
 #: Unequal runs of one minimizer above which their windows are dealt one by one.
 WIDE = 50_000
 #: Table size up to which spans are broadcast instead of moving the texts.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -101,11 +101,16 @@ def runs(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int =
     return {"at": at, "n": many, "o": place - at, "h": h[place], "c": content}
 
 
-def repeated_runs(h, c, o, n, doc, start) -> tuple[np.ndarray, np.ndarray]:
+def packed_code(c: np.ndarray, n: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """48 bits of the content's hash, the count and the offset (both below 256) in one long."""
+    return ((c & np.uint64(0xFFFFFFFFFFFF0000)) | (n.astype(np.uint64) << np.uint64(8)) | o.astype(np.uint64)).view(np.int64)
+
+
+def repeated_runs(h, code, doc, start) -> tuple[np.ndarray, np.ndarray]:
     """Order by content then place; ``later`` marks runs equal to one at an earlier place, ``same`` those at its very place."""
-    order = np.lexsort((start, doc, n, o, c, h))
-    h, c, o, n, doc, start = (x[order] for x in (h, c, o, n, doc, start))
-    equal = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (o[1:] == o[:-1]) & (n[1:] == n[:-1])))
+    order = np.lexsort((start, doc, code, h))
+    h, code, doc, start = (x[order] for x in (h, code, doc, start))
+    equal = np.concatenate(([False], (h[1:] == h[:-1]) & (code[1:] == code[:-1])))
     group = np.cumsum(~equal) - 1
     head = np.nonzero(~equal)[0]
     same = equal & (doc == doc[head][group]) & (start == start[head][group])
@@ -114,12 +119,23 @@ def repeated_runs(h, c, o, n, doc, start) -> tuple[np.ndarray, np.ndarray]:
     return later, tied
 
 
-_RUN = "d long, s long, n int, o int, h long, c long, kind int"
-_NAMES = ["d", "s", "n", "o", "h", "c", "kind"]
+_RUN = "d long, s long, h long, code long, kind int"
+
+
+def joined_ranges(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of window starts, ordered, with touching ones joined."""
+    if not len(doc):
+        return doc, start, n
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + n)[order]
+    cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])))
+    at = np.nonzero(cut)[0]
+    last = np.append(at[1:], len(doc)) - 1
+    return doc[at], start[at], end[last] - start[at]
 
 
 def _find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of each text; kind 0 goes on, kind 1 is removed."""
+    """Runs of each text; kind 0 goes on, kind 1 is a removed range whose code is its number of windows."""
 
     def flush(parts: list[tuple[int, int, bytes]]) -> pd.DataFrame:
         parts.sort(key=lambda x: x[:2])
@@ -131,9 +147,18 @@ def _find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # of equal starts (empty parts) the last is the one with bytes
         doc = np.array([x[0] for x in parts], np.int64)[piece]
         start = np.array([x[1] for x in parts], np.int64)[piece] + r["at"] - starts[piece]
-        later, tied = repeated_runs(r["h"], r["c"], r["o"], r["n"], doc, start)
-        out = pd.DataFrame({"d": doc, "s": start, "n": r["n"].astype(np.int32), "o": r["o"].astype(np.int32), "h": r["h"].view(np.int64), "c": r["c"].view(np.int64), "kind": later.astype(np.int32)})
-        return out[~tied]
+        code = packed_code(r["c"], r["n"], r["o"])
+        later, tied = repeated_runs(r["h"], code, doc, start)
+        go = ~later & ~tied
+        d, at, n = joined_ranges(doc[later], start[later], r["n"][later])
+        # settled ranges have nothing to meet: any partition will do
+        anywhere = _mixed(d.view(np.uint64) * _BASE + at.view(np.uint64)).view(np.int64)
+        return pd.DataFrame(
+            {
+                "d": np.concatenate((doc[go], d)), "s": np.concatenate((start[go], at)), "h": np.concatenate((r["h"].view(np.int64)[go], anywhere)),
+                "code": np.concatenate((code[go], n)), "kind": np.concatenate((np.zeros(int(go.sum()), np.int32), np.ones(len(d), np.int32))),
+            }
+        )
 
     parts, size = [], 0
     for f in frames:
@@ -163,8 +188,10 @@ def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     yield f[f["kind"] == 1]
     f = f[f["kind"] == 0]
-    later, tied = repeated_runs(*(f[x].to_numpy() for x in ("h", "c", "o", "n", "d", "s")))
-    yield f[later].assign(kind=np.int32(1))
+    later, tied = repeated_runs(*(f[x].to_numpy() for x in ("h", "code", "d", "s")))
+    gone = f[later]
+    d, at, n = joined_ranges(gone["d"].to_numpy(), gone["s"].to_numpy(), (gone["code"].to_numpy() >> 8) & 255)
+    yield pd.DataFrame({"d": d, "s": at, "h": np.int64(0), "code": n, "kind": np.int32(1)})
     left = f[~later & ~tied]
     _, group, size = np.unique(left["h"].to_numpy(), return_inverse=True, return_counts=True)
     many = size[group]
@@ -220,12 +247,8 @@ def _sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     doc, start = doc[gone], start[gone]
     if not len(doc):
         return
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
-    at = np.nonzero(cut)[0]
-    last = np.append(at[1:], len(doc)) - 1
-    yield pd.DataFrame({"d": doc[at], "s": start[at], "n": (start[last] - start[at] + 1).astype(np.int32)})
+    doc, start, many = joined_ranges(doc, start, np.ones(len(doc), np.int64))
+    yield pd.DataFrame({"d": doc, "s": start, "n": many.astype(np.int32)})
 
 
 def _bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +257,7 @@ def _bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, text, found in zip(f["d"].tolist(), f["text"], f["runs"]):
             data = (text or "").encode("utf-8", "replace")
             for r in found:
-                s, n, o, h = r["s"], r["n"], r["o"], r["h"]
+                s, n, o, h = r["s"], r["code"] >> 8 & 255, r["code"] & 255, r["h"]
                 if r["kind"] == 2:
                     rows.append((h, d, s, n, o, data[s : s + n + DEPTH - 1]))
                 else:
@@ -279,10 +302,10 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     found = docs.mapInPandas(_find, _RUN)
     settled = written(found.repartition("h").mapInPandas(_settle, _RUN), "runs")
     open_ = settled.where("kind > 1")
-    with_text = _by_document(open_, docs, "runs", "inner", ["s", "n", "o", "h", "kind"])
+    with_text = _by_document(open_, docs, "runs", "inner", ["s", "h", "code", "kind"])
     moved = with_text.select("d", "text", "runs").mapInPandas(_bytes_of, "key long, d long, s long, n int, o int, data binary")
     sorted_ = moved.repartition("key").mapInPandas(_sort, "d long, s long, n int")
-    return written(settled.where("kind = 1").select("d", "s", "n").union(sorted_), "windows")
+    return written(settled.where("kind = 1").select("d", "s", F.col("code").cast("int").alias("n")).union(sorted_), "windows")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
