@@ -342,7 +342,7 @@ def test_wide_groups(spark, monkeypatch):
 
     def windows(found):
         open_ = found[found["kind"] > 1]
-        lists = [(d, t, open_[open_["d"] == d][["s", "n", "o", "h", "kind"]].to_dict("records")) for d, t in docs]
+        lists = [(d, t, open_[open_["d"] == d][["s", "h", "code", "kind"]].to_dict("records")) for d, t in docs]
         moved = list(substring_dedup._bytes_of(iter([pd.DataFrame(lists, columns=["d", "text", "runs"])])))
         out = set()
         for part in substring_dedup._sort(iter(moved)):
