@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is read in fewer splits than there are cores; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``root``; any path Spark's readers can open will do."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet"))
