@@ -212,7 +212,7 @@ def block_list(spark: SparkSession) -> DataFrame:
 
 
 @F.udf(T.BinaryType())
-def _v6_bytes(ip: str | None):
+def _v6_bytes(ip):
     try:
         return ipaddress.IPv6Address((ip or "").partition("%")[0].strip("[] ")).packed
     except ValueError:

