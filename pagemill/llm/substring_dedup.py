@@ -5,7 +5,7 @@ least-hashed 24-byte string in it: equal windows have equal minimizers at equal
 digit never meet. Neighbouring windows with the same minimizer place travel as one run.
 
 1. Over each text (one pass, no shuffle) runs are found; runs equal to an earlier one of the same batch are settled.
-2. Runs are dealt by minimizer hash, 28 bytes each. A run equal to an earlier one (64 and 48 bits of hashes, offset and
+2. Runs are dealt by minimizer hash, 36 bytes each. A run equal to an earlier one (64 and 48 bits of hashes, offset and
    length) is a repeat. Runs whose minimizer has other, unequal runs go on; all others are unique.
 3. The bytes of those few runs are dealt by minimizer. Their windows are ordered digit by digit, 8 bytes a pass, down to depth 100;
    windows that stand alone drop out after each pass, and the groups left at full depth are the repeated windows.
