@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagemill.functions import urls as U
+from pagemill.functions.binding import once
 
 FENCE = r"(?ms)^[ \t]*(`{3,}|~{3,})[^\n]*(?:\n.*?)?(?:^[ \t]*\1[ \t]*$|\z)"
 MARKER = "\n\n...[truncated]"
@@ -13,11 +14,13 @@ DATE_FORMAT = "MM/dd/yyyy"
 
 def outside_fences(text: Column, change) -> Column:
     """``change`` applied to each stretch outside fenced code; line ends become LF. An open fence reaches to the end."""
-    plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    fences = F.regexp_extract_all(plain, F.lit(FENCE), F.lit(0))
-    stretches = F.split(F.regexp_replace(plain, FENCE, "\x1e"), "\x1e", -1)
-    pairs = F.zip_with(stretches, fences, lambda s, f: F.concat(change(F.coalesce(s, F.lit(""))), F.coalesce(f, F.lit(""))))
-    return F.array_join(pairs, "")
+
+    def apart(plain: Column) -> Column:
+        fences = F.regexp_extract_all(plain, F.lit(FENCE), F.lit(0))
+        stretches = F.split(F.regexp_replace(plain, FENCE, "\x1e"), "\x1e", -1)
+        return F.array_join(F.zip_with(stretches, fences, lambda s, f: F.concat(change(F.coalesce(s, F.lit(""))), F.coalesce(f, F.lit("")))), "")
+
+    return once(F.replace(text, F.lit("\r\n"), F.lit("\n")), apart)
 
 
 def _passes(text: Column, *steps: tuple[str, str]) -> Column:
@@ -149,7 +152,8 @@ def prefers_heading(heading: Column, title: Column) -> Column:
 
 def titled(text: Column, title: Column) -> Column:
     """With ``# title`` on top, unless it starts with a first-level heading or has no title."""
-    return F.when((F.coalesce(title, F.lit("")) == "") | F.ltrim(text).startswith("# "), text).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), text))
+    plain = F.coalesce(title, F.lit("")) == ""
+    return once(text, lambda t: F.when(plain | F.ltrim(t).startswith("# "), t).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), t)))
 
 
 def has_truncated_sentences(text: Column) -> Column:
