@@ -120,6 +120,14 @@ def test_near_duplicates(docs, empty):
     assert Counter(r["doc_id"] for r in one.collect()) == Counter({c for _, _, c in want})
 
 
+def test_one_row_of_each_component(spark):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 150) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (1, c), (5, c), (5, d), (7, "x y z w v"), (7, "x y z w v")]
+    one = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(tuple(r) for r in one.collect()) == Counter([(None, a), (None, b), (1, c), (5, d), (7, "x y z w v")])
+
+
 def test_tree_finds_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 100)
     monkeypatch.setattr(simhash, "LEAF", 16)
