@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id."""
+    """Of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more) the document with the least doc_id."""
     ship(spark)
     return simhash.one_of_each_group(docs)
 

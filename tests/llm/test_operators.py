@@ -128,6 +128,33 @@ def test_one_row_of_each_component(spark):
     assert Counter(tuple(r) for r in one.collect()) == Counter([(None, a), (None, b), (1, c), (5, d), (7, "x y z w v")])
 
 
+def test_near_copies_of_jaccard_four_fifths(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
+    rng = random.Random(21)
+    texts = []
+    for k in range(12):  # copies of which ever more words are changed: above and below 0.8
+        base = prose(rng, 200).split()
+        for changed in (0, 1, 2, 3, 5, 8)[: 3 + k % 4]:
+            words = list(base)
+            for at in rng.sample(range(5, 195), changed):
+                words[at] = "other" + str(rng.randint(0, 10**6))
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    fps = [fingerprint_by_hand(t) for t in texts]
+    label, wide = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                wide += bin(fps[i] ^ fps[j]).count("1") > 4
+                label = [label[j] if x == label[i] else x for x in label]
+    assert wide and len(set(label)) > 12
+    least = {}
+    for i, x in enumerate(label):
+        least[x] = min(i, least.get(x, i))
+    one = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(least.values())
+
+
 def test_tree_finds_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 100)
     monkeypatch.setattr(simhash, "LEAF", 16)
