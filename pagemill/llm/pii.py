@@ -1,7 +1,7 @@
 """Replacement of personal data by keyed surrogates.
 
 Detected entities are e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, social security numbers,
-secrets after a key word, and names after a form of address. A surrogate follows from a secret key, the entity's type and its canonical form,
+secrets after a key word, names after a form of address, and further mentions of such a name, whole or its last word, in the same text. A surrogate follows from a secret key, the entity's type and its canonical form,
 so every mention of an entity, in any document, gets the same one, in the mention's own format: letters stay letters of their script and case,
 digits stay digits, separators stay, card and account numbers keep valid check digits, first names keep the gender
 of the form of address, addresses of one mail domain keep one domain.
@@ -50,7 +50,8 @@ PATTERN = re.compile(
         )
     )
 )
-_DIGIT = re.compile("[0-9]")
+_DIGIT = re.compile(r"\d")
+_BARE = re.compile(r"(?<!\w)" + _NAME)
 _SECRET_WORDS = ("token", "secret", "passw", "api", "access")
 
 
@@ -60,7 +61,7 @@ def may_hold(text: str) -> bool:
         return True
     if ":" not in text and "=" not in text:
         return False
-    low = text.lower()
+    low = text.casefold().replace("ı", "i")  # as (?i:) compares
     return any(w in low for w in _SECRET_WORDS)
 
 
@@ -75,7 +76,7 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
             continue
         if kind in ("card", "ssn", "phone"):
-            form = "".join(c for c in value if c.isdigit())
+            form = "".join(str(int(c)) for c in value if c.isdecimal())
         elif kind == "iban":
             form = value.replace(" ", "")
         elif kind in ("email", "name"):
@@ -83,6 +84,37 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         else:
             form = value
         out.append((m.start(kind), m.end(kind), f"name:{ADDRESS[m['address']]}" if kind == "name" else kind, form))
+    return sorted(out + bare_names(text, out))
+
+
+def bare_names(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Mentions, outside ``spans``, of the names in them: the whole name or its last word, as written there or in capitals."""
+    known: dict[str, tuple[str, str]] = {}
+    for start, end, kind, form in spans:
+        if kind.startswith("name"):
+            name = text[start:end]
+            for mention, own in ((name, form), (name.rpartition(" ")[2], form.rpartition(" ")[2])):
+                known.setdefault(mention, (kind, own))
+                known.setdefault(mention.upper(), (kind, own))
+    if not known:
+        return []
+    out, at = [], 0
+    for start, end in [*((a, b) for a, b, _, _ in spans), (len(text), len(text))]:
+        words = [(m.start(), m.end()) for m in _BARE.finditer(text, at, start)]
+        i = 0
+        while i < len(words):
+            for k in (3, 2, 1):
+                if i + k > len(words) or any(text[words[j][1] : words[j + 1][0]] != " " for j in range(i, i + k - 1)):
+                    continue
+                mention = text[words[i][0] : words[i + k - 1][1]]
+                name = next((x for x in (mention, re.sub("[’'](?:s|S)?$", "", mention)) if x in known), None)
+                if name is not None:
+                    out.append((words[i][0], words[i][0] + len(name), *known[name]))
+                    break
+            else:
+                k = 1
+            i += k
+        at = end
     return out
 
 
@@ -155,11 +187,16 @@ def surrogate(kind: str, form: str, attempt: int = 0) -> str:
     return "".join(letters[draw.below(6)] if letters and c.isalpha() else _like(c, draw) for c in form)
 
 
+def _digit_like(c: str, new: str) -> str:
+    """``new`` as a digit of the script of ``c``, if both are digits."""
+    return chr(ord(c) - int(c) + int(new)) if c.isdecimal() and new.isdecimal() else new
+
+
 def rendered(kind: str, mention: str, new: str) -> str:
     """``new`` in the format of the mention: separators at their places, letters in its case."""
     if kind in ("card", "ssn", "phone", "iban"):
         fill = iter(new)
-        return "".join(next(fill, "") if c.isalnum() else c for c in mention)
+        return "".join(_digit_like(c, next(fill, "")) if c.isalnum() else c for c in mention)
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new))
     if kind.startswith("name"):

@@ -420,6 +420,24 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert max(final.values()) == 1 or {k[0] for k, n in final.items() if n > 1} == {"name"}
 
 
+def test_surrogates_for_digits_of_any_script():
+    ascii_text = "call 017 555 7713 now"
+    plain = pii.replaced(ascii_text, {})[0]
+    for zero in "٠०０":
+        text = "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in ascii_text)
+        new, n = pii.replaced(text, {})
+        assert n == 1 and new != text
+        assert new == "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in plain)
+    assert pii.replaced("ſecret: abcdefghij", {})[1] == 1
+
+
+def test_surrogates_for_later_bare_names():
+    new, n = pii.replaced("Anna Schmidt came. Mrs. Anna Schmidt said that Anna Schmidt's dog and SCHMIDT know Schmidtke.", {})
+    full = new.split("Mrs. ")[1].split(" said")[0]
+    assert n == 4 and new == f"{full} came. Mrs. {full} said that {full}'s dog and {full.split()[-1].upper()} know Schmidtke."
+    assert pii.replaced("Schmidt came", {}) == ("Schmidt came", 0)
+
+
 def test_long_word_is_scanned_in_linear_time():
     assert pii.found("a" * 300_000 + " 1") == []
 
