@@ -1,21 +1,26 @@
 """Exact removal of repeated 100-byte strings by a depth-limited most-significant-digit radix sort of suffixes.
 
-Only suffixes that can tie at full depth are ever moved. The first digit of a 100-byte window is the hash of its minimizer, the
-least-hashed 24-byte string in it: equal windows have equal minimizers at equal offsets, so windows that differ in this
-digit never meet. Neighbouring windows with the same minimizer place travel as one run.
+Only suffixes that can tie at full depth are ever moved, and every group of equal windows comes out of the sort on their bytes. The first
+digit of a 100-byte window is the hash of its minimizer, the least-hashed 24-byte string in it: equal windows have equal
+minimizers at equal offsets, so windows that differ in this digit never meet. Neighbouring windows with the same minimizer place travel
+as one run. Hashes decide what travels where, never what is equal.
 
-1. Over each text (one pass, no shuffle) runs are found; runs equal to an earlier one of the same batch are settled.
-2. Runs are dealt by minimizer hash, 36 bytes each. A run equal to an earlier one (64 and 48 bits of hashes, offset and
-   length) is a repeat. Runs whose minimizer has other, unequal runs go on; all others are unique.
-3. The bytes of those few runs are dealt by minimizer. Their windows are ordered digit by digit, 8 bytes a pass, down to depth 100;
-   windows that stand alone drop out after each pass, and the groups left at full depth are the repeated windows.
-4. The removed ranges of a document are merged and cut out of its text.
+1. Over each text (one pass, no shuffle) runs are found. Runs of one batch with the same minimizer are sorted by their bytes; a run equal to an
+   earlier one is settled.
+2. Runs are dealt by minimizer hash, without bytes. A run that is alone under its minimizer is unique and drops out.
+3. The other runs get their bytes from the texts and are dealt by minimizer again. Their windows are ordered digit by digit, 8 bytes a
+   pass, down to depth 100; windows that stand alone drop out after each pass, and the groups left at full depth are the repeated windows.
+4. The removed ranges of a document are merged and cut out of its text. Texts are shuffled once, by document, for steps 3 and 4.
+
+A minimizer that holds more than a quarter of a partition's share of all runs (``hot_minimizers``, from a sample) skips step 2, and its runs
+are dealt by (minimizer, salt) first; the windows left of each salt meet in a second sort, dealt by their whole content.
 
 Of equal windows the first (least doc_id, then least start) stays and all others go, judged on the input.
 
-Defined results: a null text is empty; a text under 100 bytes loses nothing; rows that share a doc_id count as one document at the same
-place, so a repeated row does not remove itself; rows without doc_id come first, and among them equal texts count as one; an empty
-table gives an empty result; very long texts are worked in overlapping segments; columns other than doc_id and text are not read.
+Defined results: a null text is empty; a text under 100 bytes loses nothing; rows that share a doc_id and a text count as one document at the
+same place, so a repeated row does not remove itself; rows that share a doc_id only are documents of their own, ordered by a hash of the
+text; rows without doc_id come first; an empty table gives an empty result; very long texts are worked in overlapping segments; other
+columns are not read, or pass through ``without_repeats`` whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pagemill.llm.common import written
 
@@ -33,13 +38,16 @@ DEPTH = 100
 KMER = 24
 #: Bytes worked at once in a task.
 SEGMENT = 1 << 20
-#: Unequal runs of one minimizer above which their windows are dealt one by one.
-WIDE = 50_000
-#: Table size up to which spans are broadcast instead of moving the texts.
-BROADCAST_BYTES = 4 << 20
+#: Rows with bytes sorted at once, if no group is larger.
+SORTED_ROWS = 1 << 15
+#: Salts over which the runs of a hot minimizer are dealt.
+SALTS = 64
+#: Text that is sampled to find hot minimizers: this much, and more where there are many partitions (about 128 runs for each).
+SAMPLE_BYTES = 8 << 20
+#: Repeated doc_ids up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 _powers: dict[tuple[int, int], np.ndarray] = {}
@@ -72,12 +80,12 @@ def _prefix(buf: np.ndarray, base: np.uint64) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int = DEPTH, kmer: int = KMER) -> dict[str, np.ndarray]:
-    """Runs of windows inside the pieces of ``buf``: first window, count, offset of the minimizer, its hash, a hash of the content."""
+    """Runs of windows inside the pieces of ``buf``: first window, count, offset of the minimizer, its hash."""
     use = lengths >= depth
     starts, lengths = starts[use], lengths[use]
     empty = np.zeros(0, np.int64)
     if not len(starts):
-        return {"at": empty, "n": empty, "o": empty, "h": empty.view(np.uint64), "c": empty.view(np.uint64)}
+        return {"at": empty, "n": empty, "o": empty, "h": empty.view(np.uint64)}
     n = len(buf)
     p = _prefix(buf, _BASE)
     h = _mixed((p[kmer:] - p[:-kmer]) * _power(_inverse(_BASE), n - kmer + 1))
@@ -96,176 +104,222 @@ def runs(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int =
     begins[first] = True
     head = np.nonzero(begins)[0]
     at, many, place = window[head], np.diff(np.append(head, len(window))), place[head]
-    q = _prefix(buf, _BASE2)
-    content = _mixed((q[at + many + depth - 1] - q[at]) * _power(_inverse(_BASE2), n + 1)[at])
-    return {"at": at, "n": many, "o": place - at, "h": h[place], "c": content}
+    return {"at": at, "n": many, "o": place - at, "h": h[place]}
 
 
-def packed_code(c: np.ndarray, n: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """48 bits of the content's hash, the count and the offset (both below 256) in one long."""
-    return ((c & np.uint64(0xFFFFFFFFFFFF0000)) | (n.astype(np.uint64) << np.uint64(8)) | o.astype(np.uint64)).view(np.int64)
+def refined(live: np.ndarray, group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass of the sort: groups split by a digit; what is alone in its group drops out."""
+    if not len(live):
+        return live, group
+    order = np.lexsort((digit, group))
+    live, group, digit = live[order], group[order], digit[order]
+    new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
+    number = np.cumsum(new) - 1
+    keep = np.bincount(number)[number] > 1
+    return live[keep], number[keep]
 
 
-def repeated_runs(h, code, doc, start) -> tuple[np.ndarray, np.ndarray]:
-    """Order by content then place; ``later`` marks runs equal to one at an earlier place, ``same`` those at its very place."""
-    order = np.lexsort((start, doc, code, h))
-    h, code, doc, start = (x[order] for x in (h, code, doc, start))
-    equal = np.concatenate(([False], (h[1:] == h[:-1]) & (code[1:] == code[:-1])))
-    group = np.cumsum(~equal) - 1
-    head = np.nonzero(~equal)[0]
-    same = equal & (doc == doc[head][group]) & (start == start[head][group])
-    later, tied = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    later[order], tied[order] = equal & ~same, same
-    return later, tied
+def _digits(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(buf, 8)[at].reshape(-1).view(">u8").astype(np.uint64)
 
 
-_RUN = "d long, s long, h long, code long, kind int"
+def radix_groups(buf: np.ndarray, at: np.ndarray, first: np.ndarray, length: np.ndarray | int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, group numbers) of the strings buf[at : at + length] that are equal to another one: ``first`` is the first digit, then 8 bytes a pass.
+
+    Strings with equal first digits must have equal lengths, 8 at least.
+    """
+    length = np.broadcast_to(length, at.shape)
+    live, group = refined(np.arange(len(at)), np.zeros(len(at), np.int64), first) if len(at) else (np.zeros(0, np.int64),) * 2
+    done, step = [], 0
+    while len(live):
+        ended = step >= length[live]
+        if ended.any():
+            done.append((live[ended], group[ended] + (len(done) << 40)))
+            live, group = live[~ended], group[~ended]
+        if len(live):
+            live, group = refined(live, group, _digits(buf, at[live] + np.minimum(step, length[live] - 8)))
+            step += 8
+    if not done:
+        return live, group
+    return np.concatenate([x for x, _ in done]), np.concatenate([g for _, g in done])
+
+
+def later_places(group: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """2 for each row whose place is later than the first of its group, 1 for one at the very place of an earlier row, else 0."""
+    order = np.lexsort((*place[::-1], group))
+    new = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+    head = np.nonzero(new)[0][np.cumsum(new) - 1]
+    same = np.ones(len(order), bool)
+    for x in place:
+        same &= x[order] == x[order][head]
+    out = np.empty(len(order), np.int8)
+    out[order] = np.where(same, ~new, 2)
+    return out
 
 
-def joined_ranges(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined_ranges(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges of window starts, ordered, with touching ones joined."""
     if not len(doc):
-        return doc, start, n
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], (start + n)[order]
-    cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])))
+        return doc, tie, start, n
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start, end = doc[order], tie[order], start[order], (start + n)[order]
+    cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > end[:-1])))
     at = np.nonzero(cut)[0]
     last = np.append(at[1:], len(doc)) - 1
-    return doc[at], start[at], end[last] - start[at]
-
-
-def _find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of each text; kind 0 goes on, kind 1 is a removed range whose code is its number of windows."""
-
-    def flush(parts: list[tuple[int, int, bytes]]) -> pd.DataFrame:
-        parts.sort(key=lambda x: x[:2])
-        buf = np.frombuffer(b"".join(x[2] for x in parts), np.uint8)
-        lengths = np.array([len(x[2]) for x in parts], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        r = runs(buf, starts, lengths)
-        piece = np.searchsorted(starts, r["at"], "right") - 1
-        # of equal starts (empty parts) the last is the one with bytes
-        doc = np.array([x[0] for x in parts], np.int64)[piece]
-        start = np.array([x[1] for x in parts], np.int64)[piece] + r["at"] - starts[piece]
-        code = packed_code(r["c"], r["n"], r["o"])
-        later, tied = repeated_runs(r["h"], code, doc, start)
-        go = ~later & ~tied
-        d, at, n = joined_ranges(doc[later], start[later], r["n"][later])
-        # settled ranges have nothing to meet: any partition will do
-        anywhere = _mixed(d.view(np.uint64) * _BASE + at.view(np.uint64)).view(np.int64)
-        return pd.DataFrame(
-            {
-                "d": np.concatenate((doc[go], d)), "s": np.concatenate((start[go], at)), "h": np.concatenate((r["h"].view(np.int64)[go], anywhere)),
-                "code": np.concatenate((code[go], n)), "kind": np.concatenate((np.zeros(int(go.sum()), np.int32), np.ones(len(d), np.int32))),
-            }
-        )
+    return doc[at], tie[at], start[at], end[last] - start[at]
 
+
+_RUN = "d long, t long, s int, h long, no int, kind int"
+#: Kinds of run rows: to be settled by minimizer; a removed range; of a hot minimizer.
+OPEN, REMOVED, HOT = 0, 1, 2
+
+
+def batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """(d, t, start, bytes) of overlapping segments of the texts, about ``SEGMENT`` bytes at a time."""
     parts, size = [], 0
     for f in frames:
-        for d, text in zip(f["d"].tolist(), f["text"]):
+        for d, t, text in zip(f["d"].tolist(), f["t"].tolist(), f["text"]):
             data = (text or "").encode("utf-8", "replace")
-            for at in range(0, max(1, len(data) - DEPTH + 1), SEGMENT):
+            for at in range(0, len(data) - DEPTH + 1, SEGMENT):
                 part = data[at : at + SEGMENT + DEPTH - 1]
-                if len(part) >= DEPTH:
-                    parts.append((d, at, part))
-                    size += len(part)
-                    if size >= SEGMENT:
-                        yield flush(parts)
-                        parts, size = [], 0
+                parts.append((d, t, at, part))
+                size += len(part)
+                if size >= SEGMENT:
+                    yield parts
+                    parts, size = [], 0
     if parts:
-        yield flush(parts)
-
-
-def _whole(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    found = [f for f in frames if len(f)]
-    return pd.concat(found, ignore_index=True) if found else None
-
-
-def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of all runs of a minimizer: kind 1 is removed, kind 2 needs its bytes compared, kind 3 the same window by window."""
-    f = _whole(frames)
-    if f is None:
-        return
-    yield f[f["kind"] == 1]
-    f = f[f["kind"] == 0]
-    later, tied = repeated_runs(*(f[x].to_numpy() for x in ("h", "code", "d", "s")))
-    gone = f[later]
-    d, at, n = joined_ranges(gone["d"].to_numpy(), gone["s"].to_numpy(), (gone["code"].to_numpy() >> 8) & 255)
-    yield pd.DataFrame({"d": d, "s": at, "h": np.int64(0), "code": n, "kind": np.int32(1)})
-    left = f[~later & ~tied]
-    _, group, size = np.unique(left["h"].to_numpy(), return_inverse=True, return_counts=True)
-    many = size[group]
-    kind = np.where(many > WIDE, 3, 2).astype(np.int32)
-    yield left.assign(kind=kind)[many > 1]
-
-
-def _digits(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(buf, 8)[at].reshape(-1).view(">u8").astype(np.uint64)
-
-
-def radix_groups(buf: np.ndarray, at: np.ndarray, first: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(window numbers, group numbers) of the windows that are equal to another one: ``first`` is the first digit, then 8 bytes a pass."""
+        yield parts
+
+
+def found_runs(parts: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(buffer, runs with their d, t and start) of one batch."""
+    parts.sort(key=lambda x: x[:3])
+    buf = np.frombuffer(b"".join(x[3] for x in parts), np.uint8)
+    lengths = np.array([len(x[3]) for x in parts], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    r = runs(buf, starts, lengths)
+    piece = np.searchsorted(starts, r["at"], "right") - 1
+    d, t, s = (np.array([x[i] for x in parts], np.int64)[piece] for i in range(3))
+    return buf, r | {"d": d, "t": t, "s": s + r["at"] - starts[piece]}
+
+
+def _find(hot: np.ndarray):
+    """Runs of each text. Of the equal runs of a batch the first goes on; the others are a removed range, whose ``no`` is its number of windows."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for parts in batches(frames):
+            buf, r = found_runs(parts)
+            first = _mixed(r["h"] ^ ((r["n"] << 8) | r["o"]).astype(np.uint64) * _BASE)
+            # equal first digits with other lengths would be a clash of hashes: the length is part of the second digit then
+            live, group = refined(np.arange(len(first)), np.zeros(len(first), np.int64), first)
+            live, group = refined(live, group, (r["n"][live] << 8) | r["o"][live])
+            k, group = radix_groups(buf, r["at"][live], group, r["n"][live] + DEPTH - 1)
+            live = live[k]
+            late = np.zeros(len(first), np.int8)
+            if len(live):
+                late[live] = later_places(group, r["d"][live], r["t"][live], r["s"][live])
+            go, gone = late == 0, late == 2
+            d, t, s, n = joined_ranges(r["d"][gone], r["t"][gone], r["s"][gone], r["n"][gone])
+            # settled ranges have nothing to meet: any partition will do
+            anywhere = _mixed(d.view(np.uint64) * _BASE + s.view(np.uint64)).view(np.int64)
+            h = r["h"].view(np.int64)[go]
+            kind = np.where(np.isin(h, hot), HOT, OPEN)
+            # runs of a hot minimizer aren't gathered by it
+            h_ = np.concatenate((h, anywhere))
+            yield pd.DataFrame(
+                {
+                    "d": np.concatenate((r["d"][go], d)), "t": np.concatenate((r["t"][go], t)), "s": np.concatenate((r["s"][go], s)).astype(np.int32), "h": h_,
+                    "no": np.concatenate(((r["n"][go] << 8) | r["o"][go], n)).astype(np.int32), "kind": np.concatenate((kind, np.full(len(d), REMOVED))).astype(np.int32),
+                }
+            )
+
+    return work
+
+
+def hot_minimizers(docs: DataFrame) -> np.ndarray:
+    """Hashes of the minimizers with more than a quarter of a partition's share of the runs, in a sample of the texts: at most four for each partition.
+
+    Any set gives right results, as all tasks use the same.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, max(SAMPLE_BYTES, 128 * partitions * 39) / max(1, total))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for parts in batches(frames):
+            h, n = np.unique(found_runs(parts)[1]["h"], return_counts=True)
+            yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
+    chosen = docs.where(F.shiftrightunsigned(F.xxhash64("d", "t", F.lit(9)), 11) < F.lit(int(share * (1 << 53))))
+    counts = chosen.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    least = max(8, share * total / 39 / (4 * partitions))
+    return np.array([r["h"] for r in counts.where(F.col("n") > least).orderBy(F.desc("n"), "h").limit(4 * partitions).collect()], np.int64)
+
+
+_BYTES = "key long, salt int, d long, t long, s int, n int, o int, data binary"
 
-    def refined(live, group, digit):
-        order = np.lexsort((digit, group))
-        live, group, digit = live[order], group[order], digit[order]
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
-        number = np.cumsum(new) - 1
-        keep = np.bincount(number)[number] > 1
-        return live[keep], number[keep]
 
-    live, group = refined(np.arange(len(at)), np.zeros(len(at), np.int64), first)
-    for d in [*range(0, depth - 7, 8), depth - 8]:
-        if not len(live):
-            break
-        live, group = refined(live, group, _digits(buf, at[live] + d))
-    return live, group
+def _bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each run with its bytes; those of a hot minimizer with a salt."""
+    for f in frames:
+        rows = []
+        for d, t, text, found in zip(f["d"].tolist(), f["t"].tolist(), f["text"], f["runs"]):
+            data = (text or "").encode("utf-8", "replace")
+            for r in found:
+                s, n, o = r["s"], r["no"] >> 8, r["no"] & 255
+                rows.append((r["h"], 1 + (d ^ t) % SALTS if r["kind"] == HOT else 0, d, t, s, n, o, data[s : s + n + DEPTH - 1]))
+        yield pd.DataFrame(rows, columns=["key", "salt", "d", "t", "s", "n", "o", "data"]).astype({"key": "int64", "salt": "int32", "d": "int64", "t": "int64", "s": "int32", "n": "int32", "o": "int32"})
 
 
-def _sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Removed window ranges (d, s, n) among runs with their bytes."""
-    f = _whole(frames)
-    if f is None:
-        return
+def _sorted_windows(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The sort of whole groups of (key, salt): removed ranges (without bytes), and of salted runs each window that is left, under its content's key."""
     n, data = f["n"].to_numpy(np.int64), f["data"].tolist()
     buf = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
     sizes = np.array([len(x) for x in data], np.int64)
     base = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    offset = (f["o"].to_numpy(np.int64)[row] - step).astype(np.uint64)
-    first = _mixed(f["key"].to_numpy(np.int64).view(np.uint64)[row] + offset * _BASE)
-    live, group = radix_groups(buf, base[row] + step, first)
-    doc, start = f["d"].to_numpy(np.int64)[row[live]], f["s"].to_numpy(np.int64)[row[live]] + step[live]
-    order = np.lexsort((start, doc, group))
-    doc, start, group = doc[order], start[order], group[order]
-    if not len(doc):
-        return
-    new = np.concatenate(([True], group[1:] != group[:-1]))
-    head = np.nonzero(new)[0][np.cumsum(new) - 1]
-    gone = (doc != doc[head]) | (start != start[head])
-    doc, start = doc[gone], start[gone]
-    if not len(doc):
-        return
-    doc, start, many = joined_ranges(doc, start, np.ones(len(doc), np.int64))
-    yield pd.DataFrame({"d": doc, "s": start, "n": many.astype(np.int32)})
+    offset, salt = (f["o"].to_numpy(np.int64)[row] - step).astype(np.uint64), f["salt"].to_numpy(np.int64)
+    group = np.cumsum(np.concatenate(([False], (f["key"].to_numpy()[1:] != f["key"].to_numpy()[:-1]) | (salt[1:] != salt[:-1]))))[row].astype(np.uint64)
+    live, group = radix_groups(buf, base[row] + step, (group << np.uint64(8)) | offset)
+    d, t, s = f["d"].to_numpy(np.int64)[row], f["t"].to_numpy(np.int64)[row], f["s"].to_numpy(np.int64)[row] + step
+    late = np.zeros(len(row), np.int8)
+    if len(live):
+        late[live] = later_places(group, d[live], t[live], s[live])
+    gone = late == 2
+    out = joined_ranges(d[gone], t[gone], s[gone], np.ones(int(gone.sum()), np.int64))
+    anywhere = _mixed(out[0].view(np.uint64) * _BASE + out[2].view(np.uint64)).view(np.int64)
+    yield pd.DataFrame({"key": anywhere, "salt": np.int32(0), "d": out[0], "t": out[1], "s": out[2].astype(np.int32), "n": out[3].astype(np.int32), "o": np.int32(0), "data": None})
+    left = np.nonzero((late == 0) & (salt[row] > 0))[0]
+    for k in range(0, len(left), SORTED_ROWS):
+        part = left[k : k + SORTED_ROWS]
+        windows = [data[i][j : j + DEPTH] for i, j in zip(row[part].tolist(), step[part].tolist())]
+        key = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in windows], np.int64)
+        yield pd.DataFrame({"key": key, "salt": np.int32(0), "d": d[part], "t": t[part], "s": s[part].astype(np.int32), "n": np.int32(1), "o": np.int32(0), "data": windows})
 
 
-def _bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_sorted_windows`` over rows ordered by key and salt, some whole groups at a time; rows without bytes pass."""
+    kept: list[pd.DataFrame] = []
+    size = 0
     for f in frames:
-        rows = []
-        for d, text, found in zip(f["d"].tolist(), f["text"], f["runs"]):
-            data = (text or "").encode("utf-8", "replace")
-            for r in found:
-                s, n, o, h = r["s"], r["code"] >> 8 & 255, r["code"] & 255, r["h"]
-                if r["kind"] == 2:
-                    rows.append((h, d, s, n, o, data[s : s + n + DEPTH - 1]))
-                else:
-                    for i in range(n):
-                        part = data[s + i : s + i + DEPTH]
-                        key = int.from_bytes(hashlib.blake2b(part, digest_size=8, key=(h & (2**64 - 1)).to_bytes(8, "little")).digest(), "little", signed=True)
-                        rows.append((key, d, s + i, 1, o - i, part))
-        yield pd.DataFrame(rows, columns=["key", "d", "s", "n", "o", "data"]).astype({"key": "int64", "d": "int64", "s": "int64", "n": "int32", "o": "int32"})
+        has = f["data"].notna()
+        if not has.all():
+            yield f[~has]
+            f = f[has]
+        if not len(f):
+            continue
+        kept.append(f)
+        size += len(f)
+        if size >= SORTED_ROWS:
+            whole = pd.concat(kept, ignore_index=True)
+            last = ((whole["key"] == whole["key"].iloc[-1]) & (whole["salt"] == whole["salt"].iloc[-1])).to_numpy()
+            if not last.all():
+                yield from _sorted_windows(whole[~last].reset_index(drop=True))
+                whole = whole[last]
+            kept, size = [whole], len(whole) // 2  # half: a large group isn't joined anew for every frame
+    if kept and size:
+        yield from _sorted_windows(pd.concat(kept, ignore_index=True))
 
 
 def _removed(spans, size: int) -> list[tuple[int, int]]:
@@ -288,35 +342,46 @@ def _rest(data: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join([*kept, data[at:]]), gone
 
 
-def _by_document(table: DataFrame, docs: DataFrame, name: str, how: str, columns: list[str]) -> DataFrame:
-    """``docs`` joined on d with the rows of ``table`` as one array; broadcast only if the table is small."""
-    size = table.count() * 40
-    lists = table.groupBy("d").agg(F.collect_list(F.struct(*columns)).alias(name))
-    if size <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
-    return docs.join(lists, "d", how)
-
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, text, d, t): ``row`` holds the columns besides text; documents are ordered by (d, t).
 
-def removed_windows(docs: DataFrame) -> DataFrame:
-    """(d, s, n): the starts s .. s + n - 1 of the windows of document d that also start earlier. ``docs`` has d and text."""
-    found = docs.mapInPandas(_find, _RUN)
-    settled = written(found.repartition("h").mapInPandas(_settle, _RUN), "runs")
-    open_ = settled.where("kind > 1")
-    with_text = _by_document(open_, docs, "runs", "inner", ["s", "h", "code", "kind"])
-    moved = with_text.select("d", "text", "runs").mapInPandas(_bytes_of, "key long, d long, s long, n int, o int, data binary")
-    sorted_ = moved.repartition("key").mapInPandas(_sort, "d long, s long, n int")
-    return written(settled.where("kind = 1").select("d", "s", F.col("code").cast("int").alias("n")).union(sorted_), "windows")
+    d is the doc_id, or a number below all of them that follows from the text; t, 0 for most, tells rows apart that share a doc_id.
+    """
+    text, doc_id = F.col("text"), F.col("doc_id").cast("long")
+    h = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text, F.coalesce(doc_id, F.lit(-(1 << 62)) - F.shiftrightunsigned(h, 3)).alias("d"))
+    shared = docs.where(doc_id.isNotNull()).groupBy(doc_id.alias("d")).count().where("count > 1").select("d", F.lit(True).alias("shared"))
+    shared = written(shared, "shared-ids")
+    n = shared.count()
+    if not n:
+        return rows.withColumn("t", F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(shared) if n <= BROADCAST_IDS else shared, "d", "left")
+    return marked.select("row", "text", "d", F.when(F.col("shared"), h).otherwise(F.lit(0)).cast("long").alias("t"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with d: doc_id, or a number below all of them that follows from the text."""
-    from_text = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 3)
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), from_text))
+def removed_windows(docs: DataFrame) -> DataFrame:
+    """(d, t, s, n): the starts s .. s + n - 1 of the windows of document (d, t) that also start earlier. ``docs`` is ``keyed``."""
+    own = docs.select("d", "t", "text")
+    found = own.mapInPandas(_find(hot_minimizers(own)), _RUN)
+    beside = Window.partitionBy("h").orderBy("kind")
+    met = (F.col("kind") != OPEN) | F.lag("d").over(beside).isNotNull() | F.lead("d").over(beside).isNotNull()
+    settled = written(found.withColumn("met", met).where("met").drop("met"), "runs")
+    lists = settled.where(F.col("kind") != REMOVED).groupBy("d", "t").agg(F.collect_list(F.struct("s", "h", "no", "kind")).alias("runs"))
+    moved = docs.select("row", "text", "d", "t").join(lists, ["d", "t"]).mapInPandas(_bytes_of, _BYTES)
+    once = moved.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(_sort, _BYTES)
+    twice = once.repartition("key").sortWithinPartitions("key").mapInPandas(_sort, _BYTES)
+    return settled.where(F.col("kind") == REMOVED).select("d", "t", "s", F.col("no").alias("n")).union(twice.select("d", "t", "s", "n"))
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``keyed`` rows with ``spans``, their removed ranges of windows (null: none). The texts' shuffle by document is the same as in ``removed_windows``."""
+    own = keyed(docs)
+    lists = removed_windows(own).groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    return own.select("row", "text", "d", "t").join(lists, ["d", "t"], "left")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs(doc_id, text)``."""
-    keyed = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -328,8 +393,8 @@ def removal_report(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             yield out.astype({"doc_id": "Int64"})
 
-    joined = _by_document(removed_windows(keyed.select("d", "text")), keyed, "spans", "left", ["s", "n"])
-    return joined.select("doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return joined.select("row.doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -339,6 +404,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _rest(t.encode("utf-8", "replace"), s)[0].decode("utf-8", "replace") for t, s in zip(text, spans)])
 
-    keyed = numbered(docs)
-    joined = _by_document(removed_windows(keyed.select("d", "text")), keyed, "_spans", "left", ["s", "n"])
-    return joined.select(*[cut(F.col("text"), F.col("_spans")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    new = cut(F.col("text"), F.col("spans"))
+    return with_spans(docs).select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -335,23 +335,33 @@ def test_nearest(spark):
 
 
 def removal_by_hand(rows, depth=100):
+    """Rows of the same id and text are one document; others that share an id are told apart by the text's hash."""
+    import xxhash as x
+
     seen, gone = {}, {}
-    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    order = lambda r: (r[0] is not None, r[0] or 0, signed(x.xxh64_intdigest((r[1] or "").encode(), 42)))
+    unique = {}
+    for d, t in rows:
+        unique[d, t or ""] = (d, t)
+    for d, t in sorted(unique.values(), key=order):
         b = (t or "").encode()
         marks = np.zeros(len(b), bool)
         for i in range(len(b) - depth + 1):
-            if seen.setdefault(b[i : i + depth], (d, i)) != (d, i):
+            if seen.setdefault(b[i : i + depth], (d, t or "", i)) != (d, t or "", i):
                 marks[i : i + depth] = True
-        gone[d, t] = (len(b), int(marks.sum()), int((np.diff(np.concatenate(([0], marks.astype(int)))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~marks])).hexdigest())
-    return Counter((d, *gone[d, t]) for d, t in rows)
+        gone[d, t or ""] = (len(b), int(marks.sum()), int((np.diff(np.concatenate(([0], marks.astype(int)))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~marks])).hexdigest())
+    return Counter((d, *gone[d, t or ""]) for d, t in rows)
 
 
-def test_repeats(docs, empty, monkeypatch):
+def test_repeats(docs, empty):
     got = Counter(tuple(r) for r in substring_dedup.removal_report(docs).collect())
     assert got == removal_by_hand(rows_of(docs))
     assert substring_dedup.removal_report(empty).count() == 0
     clean = substring_dedup.without_repeats(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
+    odd = docs.withColumnRenamed("size", "spans").withColumnRenamed("u", "row").withColumnRenamed("h", "d")
+    assert substring_dedup.without_repeats(odd).columns == odd.columns
 
 
 def test_repeats_in_periodic_and_segmented_text(spark):
@@ -363,37 +373,74 @@ def test_repeats_in_periodic_and_segmented_text(spark):
     assert got == removal_by_hand(rows)
 
 
-def test_wide_groups(spark, monkeypatch):
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(10)
+    p, q = prose(rng, 60), prose(rng, 30)
+    rows = [(0, p), (1, p), (1, q + "x" * 300), (1, q + "x" * 300), (None, q), (None, q), (None, p)]
+    got = Counter(tuple(r) for r in substring_dedup.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == removal_by_hand(rows)
+    rows = rows[:3]
+    got = {(r[0], r[1]): r[2] for r in substring_dedup.removal_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, len((q + "x" * 300).encode())] == 299 - 0
+
+
+@pytest.mark.parametrize("how", ["clash", "hot"])
+def test_equality_never_rests_on_hashes(spark, monkeypatch, how):
+    """All minimizers under one of four hashes; or all of them hot, so that the salted path does all the work."""
+    import types
+
     rng = random.Random(9)
     passage = prose(rng, 60)
-    docs = [(i, prose(rng, 20) + passage + prose(rng, 20)) for i in range(12)]
+    rows = [(i, prose(rng, 20) + (passage if i % 3 else passage[:200]) + prose(rng, 20)) for i in range(30)] + [(100 + i, passage) for i in range(5)]
+    parts = [(d, 0, 0, t.encode()) for d, t in rows]
+    S = substring_dedup
     import pandas as pd
 
-    frames = list(substring_dedup._find(iter([pd.DataFrame({"d": [d for d, _ in docs], "text": [t for _, t in docs]})])))
-    whole = pd.concat(list(substring_dedup._settle(iter(frames))))
-    monkeypatch.setattr(substring_dedup, "WIDE", 3)
-    wide = pd.concat(list(substring_dedup._settle(iter(frames))))
-    assert (wide["kind"] == 3).any()
+    hot = np.zeros(0, np.int64)
+    if how == "clash":
+        whole = S.runs
+        monkeypatch.setattr(S, "runs", lambda *a, **k: (r := whole(*a, **k)) | {"h": r["h"] & np.uint64(3)})
+    else:
+        hot = S.found_runs(list(parts))[1]["h"].view(np.int64)
+    frames = [pd.DataFrame({"d": [d], "t": [0], "text": [t]}) for d, t in rows]
+    found = pd.concat([x for i in range(0, len(frames), 7) for x in S._find(hot)(iter(frames[i : i + 7]))])
+    assert (found["kind"] == (S.HOT if how == "hot" else S.OPEN)).sum() > 30
+    open_ = found[found["kind"] != S.REMOVED]
+    lists = [(d, 0, t, open_[open_["d"] == d][["s", "h", "no", "kind"]].to_dict("records")) for d, t in rows]
+    moved = pd.concat(list(S._bytes_of(iter([pd.DataFrame(lists, columns=["d", "t", "text", "runs"])])))).sort_values(["key", "salt"])
+    monkeypatch.setattr(S, "SORTED_ROWS", 50)
+    once = pd.concat(list(S._sort(iter([moved.iloc[i : i + 20] for i in range(0, len(moved), 20)])))).sort_values("key")
+    twice = pd.concat(list(S._sort(iter([once.iloc[i : i + 20] for i in range(0, len(once), 20)]))))
+    settled = found[found["kind"] == S.REMOVED].rename(columns={"no": "n"})
+    got = {(d, s + i) for part in (settled[["d", "s", "n"]], twice[["d", "s", "n"]]) for d, s, n in part.itertuples(index=False) for i in range(n)}
+    seen, want = {}, set()
+    for d, t in rows:
+        b = t.encode()
+        for i in range(len(b) - 99):
+            if seen.setdefault(b[i : i + 100], (d, i)) != (d, i):
+                want.add((d, i))
+    assert got == want
 
-    def windows(found):
-        open_ = found[found["kind"] > 1]
-        lists = [(d, t, open_[open_["d"] == d][["s", "h", "code", "kind"]].to_dict("records")) for d, t in docs]
-        moved = list(substring_dedup._bytes_of(iter([pd.DataFrame(lists, columns=["d", "text", "runs"])])))
-        out = set()
-        for part in substring_dedup._sort(iter(moved)):
-            out |= {(d, s + i) for d, s, n in part.itertuples(index=False) for i in range(n)}
-        return out
 
-    assert windows(whole) == windows(wide) and windows(whole)
+def test_repeats_of_hot_minimizers_in_spark(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 15) + passage + prose(rng, 15)) for i in range(40)]
+    monkeypatch.setattr(substring_dedup, "hot_minimizers", lambda docs: substring_dedup.found_runs([(d, 0, 0, t.encode()) for d, t in rows])[1]["h"].view(np.int64))
+    got = Counter(tuple(r) for r in substring_dedup.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    assert got == removal_by_hand(rows)
 
 
 # Personal data
 
 
+KEY = b"a key of the tests"
+
+
 def test_surrogates(docs, spark, empty):
     text = 'Mail ann.li@mail.example.com or ANN.LI@mail.example.com, call +1 (017) 555-7713, pay 4111 1111 1111 1111, from 10.20.30.40, token = "24be64439e3e49cf", Mrs. Anna Schmidt and Mr. Schmidt, 078-05-1120.'
     rows = [(1, text, "a", 5), (2, "again ann.li@mail.example.com and 4111111111111111", "b", 6), (3, None, "c", 7), (4, "", "d", 8), (5, "clean text of 12 words", "e", 9)]
-    got = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()}
+    got = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), KEY).collect()}
     new = got[1]["text"]
     for secret in ("ann.li", "ANN.LI", "555-7713", "4111", "10.20.30.40", "24be64439e3e49cf", "Schmidt", "Anna", "078-05-1120"):
         assert secret not in new
@@ -407,35 +454,83 @@ def test_surrogates(docs, spark, empty):
     family = new.split("Mr. ")[1].split(",")[0]
     assert f" {family} and Mr." in new
     assert got[1]["n_chars"] == len(new)
-    assert pii.replacement_report(empty).count() == 0 and pii.replacement_report(docs).count() == docs.count()
-
-
-def test_surrogates_stay_distinct(spark, monkeypatch):
-    rows = [(i, f"card {4000 + i:04d}0000000000{i % 10}{i % 7:01d} ip 1.2.{i % 256}.{i // 256} Dr. Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(pii, "surrogate", lambda kind, form, attempt=0, real=pii.surrogate: real(kind, form, attempt) if attempt else real(kind, form[:-1] + "1", 0))
-    known = pii.entities(docs)
-    again = {(r["kind"], r["form"]): r["attempt"] for r in pii.exceptions(known).collect()}
-    final = Counter((r["kind"].split(":")[0], pii.surrogate(r["kind"], r["form"], again.get((r["kind"], r["form"]), 0))) for r in known.collect())
-    assert max(final.values()) == 1 or {k[0] for k, n in final.items() if n > 1} == {"name"}
+    assert pii.replacement_report(empty, KEY).count() == 0 and pii.replacement_report(docs, KEY).count() == docs.count()
+    odd = docs.withColumnRenamed("size", "n_entities").withColumnRenamed("u", "new").withColumnRenamed("h", "again")
+    assert pii.replace_entities(odd, KEY).columns == [*odd.columns, "n_entities_"]
+    other = pii.replace_entities(spark.createDataFrame(rows[:1], "doc_id long, text string, source string, n_chars long"), b"other").first()["text"]
+    assert other != new
+
+
+def entity_map(spark, texts):
+    """Original and new mention of each entity, by brute force over the spans of the old texts."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    new = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, KEY).collect()}
+    found = {}
+    for i, text in enumerate(texts):
+        at = shift = 0
+        spans = pii.found(text)
+        for k, (start, end, kind, form) in enumerate(spans):
+            assert new[i][at + shift : start + shift] == text[at:start]  # what is between entities stays
+            following = text[end : spans[k + 1][0]] if k + 1 < len(spans) else text[end:]
+            stop = new[i].index(following, start + shift) if following else len(new[i])
+            found.setdefault((kind, form), set()).add(new[i][start + shift : stop].lower())
+            shift, at = stop - end, end
+        assert new[i][at + shift :] == text[at:]
+    return found
+
+
+def test_surrogates_never_run_out(spark):
+    assert pii.replaced("Login form. Password: ________________ please fill in.", KEY, {}) == ("Login form. Password: ________________ please fill in.", 0)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"mail {c}@example.org now" for c in letters]
+    texts += [f"password: {c}_______ now" for c in letters]
+    texts += [f"we met Dr. {a.upper()}{b}{c} today" for a in letters for b in "aeiou" for c in letters[:12]]
+    texts += [f"secret = 0000000{d} end" for d in range(10)]
+    found = entity_map(spark, texts)
+    for sort in ("email", "secret", "name"):
+        own = {k: v for k, v in found.items() if k[0].startswith(sort)}
+        assert len(own) >= 26 and all(len(v) == 1 for v in own.values())
+        new = [next(iter(v)) for v in own.values()]
+        assert len(set(new)) == len(new) and not set(new) & {form for _, form in own}
+
+
+def test_surrogates_keep_families_and_genders(spark):
+    texts = ["Mrs. Anna Schmidt and Mr. Karl Schmidt met Dr. Anna Schmidt.", "Prof. Karl Weber saw Mr. Schmidt.", "Mail a@corp.example.org, b@corp.example.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, KEY).collect()}
+    anna, karl, again = (new[0].split(x)[1].split(y)[0] for x, y in (("Mrs. ", " and"), ("Mr. ", " met"), ("Dr. ", ".")))
+    assert anna == again and anna.split()[1] == karl.split()[1] and anna.split()[0] != karl.split()[0]
+    assert new[1].split("Prof. ")[1].split()[0] == karl.split()[0] and f"Mr. {karl.split()[1]}." in new[1]
+    first, second = new[2].replace(",", "").split()[1:]
+    assert first != second and first.split("@")[1] == second.split("@")[1] != "corp.example.org"
+
+
+def test_surrogates_by_join_equal_those_by_broadcast(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.createDataFrame([(i, f"mail {c}@example.org and Dr. X{c} now") for i, c in enumerate(letters * 2)] + [(99, None)], "doc_id long, text string")
+    want = sorted(map(tuple, pii.replacement_report(docs, KEY).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, pii.replacement_report(docs, KEY).collect())) == want
 
 
 def test_surrogates_for_digits_of_any_script():
     ascii_text = "call 017 555 7713 now"
-    plain = pii.replaced(ascii_text, {})[0]
+    plain = pii.replaced(ascii_text, KEY, {})[0]
     for zero in "٠०０":
         text = "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in ascii_text)
-        new, n = pii.replaced(text, {})
+        new, n = pii.replaced(text, KEY, {})
         assert n == 1 and new != text
         assert new == "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in plain)
-    assert pii.replaced("ſecret: abcdefghij", {})[1] == 1
+    assert pii.replaced("ſecret: abcdefghij", KEY, {})[1] == 1
+    new = pii.replaced("mail ٣٤٥@example.org", KEY, {})[0].split()[1].split("@")[0]
+    assert len(new) == 3 and new != "٣٤٥" and all("٠" <= c <= "٩" for c in new)
 
 
 def test_surrogates_for_later_bare_names():
-    new, n = pii.replaced("Anna Schmidt came. Mrs. Anna Schmidt said that Anna Schmidt's dog and SCHMIDT know Schmidtke.", {})
+    new, n = pii.replaced("Anna Schmidt came. Mrs. Anna Schmidt said that Anna Schmidt's dog and SCHMIDT know Schmidtke.", KEY, {})
     full = new.split("Mrs. ")[1].split(" said")[0]
     assert n == 4 and new == f"{full} came. Mrs. {full} said that {full}'s dog and {full.split()[-1].upper()} know Schmidtke."
-    assert pii.replaced("Schmidt came", {}) == ("Schmidt came", 0)
+    assert pii.replaced("Schmidt came", KEY, {}) == ("Schmidt came", 0)
 
 
 def test_long_word_is_scanned_in_linear_time():
@@ -463,6 +558,6 @@ def test_pipeline(spark, docs, tmp_path, tokenizer):
     want = Counter()
     for d, r in single.items():
         for _ in range(mixed[d]):
-            n = len(ids_of(tokenizer, pii.replaced(r[1], {})[0])) + 1
+            n = len(ids_of(tokenizer, pii.replaced(r[1], pipeline_key, again)[0])) + 1
             want.update((d, n, x) for x in packing.cuts(n))
     assert Counter((int(d), int(t), int(n)) for d, t, n in got[["doc_id", "doc_tokens", "length"]].itertuples(index=False)) == want
