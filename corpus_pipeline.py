@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import mixing, packing, pii, quality, simhash
 from pagemill.llm.common import read_table, written
+from pagemill.llm.queries import surrogate_key
 from pagemill.shipping import ship
 
 
@@ -28,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates for personal data."""
     ship(spark)
-    return pii.replace_entities(docs).select(*docs.columns)
+    return pii.replace_entities(docs, surrogate_key(spark)).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
