@@ -84,7 +84,7 @@ FROM f
 
 OP6_SQL = r"""
 WITH k AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) - 1)), 1, 15))::BIGINT AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS z FROM k GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM s),
 r AS (SELECT *, 2.0::DOUBLE * z AS cap, 2.0::DOUBLE * z / w AS ratio FROM w),
