@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagemill.llm.common import bound, words
+from pagemill.llm.common import bound, discard, words, written
 
 #: Words in a window whose repetition counts.
 WINDOW = 8
@@ -27,9 +27,8 @@ MAX_SYMBOL_PERCENT = 20
 MAX_DUP_LINE_PERCENT = 30
 LEAST_DUP_LINES = 3
 MEAN_WORD_CHARS = (2, 15)
-#: Rows of the sample on which cost and selectivity are estimated, and the longest text in it in bytes (64 MB in all at most).
+#: Rows, about, of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 1000
-SAMPLE_TEXT_BYTES = 64 << 10
 
 
 def n_words(text: Column) -> Column:
@@ -123,10 +122,11 @@ RULES = (
 def measured(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Each rule with its cost (seconds over the sample, beyond a plain scan of it) and the share it rejects.
 
-    The sample is taken as ``take`` does it, from as few partitions as hold enough rows; it decides the order only.
+    The sample is drawn from the whole table, so that the order of its rows doesn't matter; it decides the order of the rules only.
     """
-    taken = docs.select(F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES).take(sample_rows)
-    sample = docs.sparkSession.createDataFrame([(r[0],) for r in taken], "text string").coalesce(1).persist()
+    rows = docs.count()
+    drawn = docs.select(F.col(text).alias("text")).sample(min(1.0, sample_rows / max(1, rows)), seed=1)
+    sample = written(drawn.repartition(1), "rule-sample")
     try:
         def run(column: Column) -> tuple[float, tuple]:
             best, row = float("inf"), None
@@ -143,7 +143,7 @@ def measured(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int
             found.append((rule, max(cost - floor, 1e-4), rejected / rows if rows else 0.0))
         return found
     finally:
-        sample.unpersist()
+        discard(sample)
 
 
 def cascade_order(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
