@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -117,6 +118,8 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
     one = simhash.one_of_each_group(docs)
     assert one.columns == docs.columns
+    odd = docs.withColumnRenamed("size", "key").withColumnRenamed("u", "kept_id").withColumnRenamed("h", "kept_key")
+    assert simhash.one_of_each_group(odd).columns == odd.columns
     assert Counter(r["doc_id"] for r in one.collect()) == Counter({c for _, _, c in want})
 
 
@@ -128,15 +131,16 @@ def test_one_row_of_each_component(spark):
     assert Counter(tuple(r) for r in one.collect()) == Counter([(None, a), (None, b), (1, c), (5, d), (7, "x y z w v")])
 
 
-def test_near_copies_of_jaccard_four_fifths(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
+@pytest.mark.parametrize("shard_rows", [8, 1000])
+def test_near_copies_of_jaccard_four_fifths(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(simhash, "STAGE_SHARD_ROWS", shard_rows)
     rng = random.Random(21)
     texts = []
     for k in range(12):  # copies of which ever more words are changed: above and below 0.8
-        base = prose(rng, 200).split()
+        base = prose(rng, 200 + 3 * k).split()
         for changed in (0, 1, 2, 3, 5, 8)[: 3 + k % 4]:
-            words = list(base)
-            for at in rng.sample(range(5, 195), changed):
+            words = list(base)[: len(base) - changed % 3 * 10]
+            for at in rng.sample(range(5, 170), changed):
                 words[at] = "other" + str(rng.randint(0, 10**6))
             texts.append(" ".join(words))
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
@@ -155,14 +159,21 @@ def test_near_copies_of_jaccard_four_fifths(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(least.values())
 
 
-def test_tree_finds_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_ROWS", 100)
+@pytest.mark.parametrize("few", [0, 1000])
+def test_tree_finds_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)
+    monkeypatch.setattr(simhash, "SAMPLE", 64)
     monkeypatch.setattr(simhash, "LEAF", 16)
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-    near = base[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
-    fps = np.unique(np.concatenate([base, near])).view(np.int64)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = base[:100] ^ (np.uint64(1) << rng.integers(0, 63, 100).astype(np.uint64))
+    tight = base[0] ^ np.array([sum(1 << int(b) for b in rng.choice(30, 7, False)) for _ in range(250)], np.uint64)  # one leaf, far over its share
+    fps = np.unique(np.concatenate([base, near, tight])).view(np.int64)
     table = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(4)
+    tree = simhash.build_tree(base[:64], 3)
+    monkeypatch.setattr(simhash, "upper_tree", lambda *_: tree)
+    assert max(simhash.full_leaves(table, tree, 40).values()) > 2
     found = simhash.connected(simhash.fingerprint_links(table)).collect()
     roots = {r["node"]: r["root"] for r in found}
     want = components([int(x) & (2**64 - 1) for x in fps], [int(x) for x in fps])
@@ -172,25 +183,49 @@ def test_tree_finds_all_pairs(spark, monkeypatch):
 # LM scoring
 
 
-def test_lm_scores(spark, docs, empty):
-    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    rows = rows_of(docs)
-    good = {i for i in range(30) if i % 3 == 0}
+def lm_by_hand(rows, good):
+    """Scores by plain dictionaries of words and pairs."""
+    import math
+
+    split = lambda t: [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in re.split(r"[\x20\x09-\x0d]+", t or "") if x]
     models = []
     for chosen in ([t for d, t in rows if d in good], [t for _, t in rows]):
-        counts = np.zeros(lm_scoring.WORDS + lm_scoring.PAIRS, np.int64)
+        words, pairs = Counter(), Counter()
         for t in chosen:
-            word, pair = lm_scoring.classes(t)
-            for w, p in zip(word, pair):
-                counts[w] += 1
-                counts[lm_scoring.WORDS + p] += 1
-        models.append(lm_scoring.Model(counts))
-    want = sorted(((d, *lm_scoring.score(t, *models)) for d, t in rows), key=str)
-    got = sorted((tuple(r) for r in lm_scoring.scores(docs, labels).collect()), key=str)
+            w = split(t)
+            words.update(w)
+            pairs.update(zip([None, *w], w))
+            words.update([None] if w else [])
+        models.append((words, pairs, sum(n for w, n in words.items() if w is not None)))
+    vocabulary = max(1, len([w for w in models[1][0] if w is not None]))
+    a, b, c = lm_scoring.SMOOTHING
+    for d, t in rows:
+        w, mean = split(t), []
+        for words, pairs, total in models:
+            loss = 0.0
+            for before, word in zip([None, *w], w):
+                single = words[word] / total if total else 1 / vocabulary
+                given = pairs[before, word] / words[before] if words[before] else single
+                loss -= math.log(a * given + b * single + c / vocabulary)
+            mean.append(loss / len(w) if w else None)
+        yield d, len(w), mean[0], mean[1], mean[0] - mean[1] if w else None
+
+
+@pytest.mark.parametrize("chunk", [300, 1 << 22])
+def test_lm_scores(spark, docs, empty, monkeypatch, chunk):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", chunk)
+    rows = rows_of(docs)
+    want = sorted(lm_by_hand(rows, {i for i in range(30) if i % 3 == 0}), key=str)
+    got = sorted((tuple(r) for r in lm_scoring.scores(docs.withColumnRenamed("size", "target").withColumnRenamed("u", "chunk"), labels).collect()), key=str)
     assert [g[:2] for g in got] == [w[:2] for w in want]
-    for g, w in zip(got, want):
-        assert (g[4] is None) == (w[4] is None) and (g[4] is None or g[4] == pytest.approx(w[4], rel=1e-9))
+    for g, w in zip(sorted(got, key=lambda r: str(r[:2]) + f"{r[4] or 0:.9f}"), sorted(want, key=lambda r: str(r[:2]) + f"{r[4] or 0:.9f}")):
+        assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-9, abs=1e-12)) for x, y in zip(g[2:], w[2:]))
     assert lm_scoring.scores(empty, labels).count() == 0
+    if chunk == 300:
+        unlabelled = [tuple(r) for r in lm_scoring.scores(docs, labels.limit(0)).collect()]
+        assert all(g[4] == pytest.approx(w[4], rel=1e-9, abs=1e-12) for g, w in zip(sorted(unlabelled, key=str), sorted(lm_by_hand(rows, set()), key=str)) if w[4] is not None and g[0] is not None)
 
 
 def test_lm_prefers_target(spark):
@@ -282,6 +317,22 @@ def test_mix(docs, empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mix_without_ids(spark):
+    """Rows without an id, equal or not, and with extra columns of the operator's own names, are taken one by one."""
+    rng = random.Random(4)
+    different = [(None, prose(rng, 50), "a", "x", 1, 1) for _ in range(10)]
+    equal = [(None, "w " * 50, "a", "x", 1, 1)] * 40 + [(7, "v " * 50, "b", "x", 1, 1)] * 30
+    for rows in (different, equal, different + equal):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_source string, mix_times int, part int").repartition(3)
+        got = mixing.mix_report(docs).toPandas()
+        for target, g in got.groupby("target"):
+            assert abs(g["taken"].sum() - target) <= 50
+        again = mixing.mix_report(docs.repartition(5)).toPandas()
+        assert sorted(got["taken"]) == sorted(again["taken"])
+        mixed = mixing.mix(docs)
+        assert mixed.columns == docs.columns and mixed.count() * 50 == got["taken"].sum()
+
+
 def test_targets_stop_at_twice(spark):
     rows = [(s, n) for s, n in (("a", 10), ("b", 1000), ("c", 1000), (None, 100))]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
@@ -300,6 +351,20 @@ def test_shards(docs, empty):
     assert sharding.shards(empty).count() == 0
 
 
+def test_shards_of_equal_rows(spark, monkeypatch):
+    """Rows that nothing tells apart are divided too."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
+    rows = [(None, "same text")] * 3000 + [(5, "other")] * 2000 + [(i, f"text {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cuts, filled = sharding.sampled_ranges(docs.sparkSession.createDataFrame(sharding.shard_keys(docs).toPandas().astype({"doc_id": "Int64"}).drop(columns="doc_id")))
+    assert max(n for n, _ in filled.values()) <= sharding.OVERFULL * 100
+    got = sharding.shards(docs).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() <= 1.02 * sums.mean()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
 def test_shards_are_even_with_a_hot_text(spark):
     rows = [(i, "same text" if i % 3 == 0 else f"text {i} " * (1 + i % 5)) for i in range(6000)]
     got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
