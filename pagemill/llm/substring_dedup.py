@@ -209,15 +209,7 @@ def _find(hot: np.ndarray):
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for parts in batches(frames):
             buf, r = found_runs(parts)
-            first = _mixed(r["h"] ^ ((r["n"] << 8) | r["o"]).astype(np.uint64) * _BASE)
-            # equal first digits with other lengths would be a clash of hashes: the length is part of the second digit then
-            live, group = refined(np.arange(len(first)), np.zeros(len(first), np.int64), first)
-            live, group = refined(live, group, (r["n"][live] << 8) | r["o"][live])
-            k, group = radix_groups(buf, r["at"][live], group, r["n"][live] + DEPTH - 1)
-            live = live[k]
-            late = np.zeros(len(first), np.int8)
-            if len(live):
-                late[live] = later_places(group, r["d"][live], r["t"][live], r["s"][live])
+            late = equal_runs(buf, r["at"], r["n"], r["o"], r["h"], (r["d"], r["t"], r["s"]))
             go, gone = late == 0, late == 2
             d, t, s, n = joined_ranges(r["d"][gone], r["t"][gone], r["s"][gone], r["n"][gone])
             # settled ranges have nothing to meet: any partition will do
@@ -271,31 +263,50 @@ def _bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "salt", "d", "t", "s", "n", "o", "data"]).astype({"key": "int64", "salt": "int32", "d": "int64", "t": "int64", "s": "int32", "n": "int32", "o": "int32"})
 
 
+def equal_runs(buf: np.ndarray, at: np.ndarray, n: np.ndarray, o: np.ndarray, first: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
+    """``later_places`` among runs that are equal in the digit ``first``, in count, offset and bytes; 0 for runs without an equal one."""
+    live, group = refined(np.arange(len(at)), np.zeros(len(at), np.int64), first)
+    live, group = refined(live, group, (n[live] << 8) | o[live])
+    k, group = radix_groups(buf, at[live], group, n[live] + DEPTH - 1)
+    late = np.zeros(len(at), np.int8)
+    if len(k):
+        late[live[k]] = later_places(group, *(x[live[k]] for x in place))
+    return late
+
+
 def _sorted_windows(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The sort of whole groups of (key, salt): removed ranges (without bytes), and of salted runs each window that is left, under its content's key."""
-    n, data = f["n"].to_numpy(np.int64), f["data"].tolist()
+    """The sort of whole groups of (key, salt): removed ranges (without bytes), and of salted runs each window that is left, under its content's key.
+
+    Whole runs are sorted first; of equal ones only the first is then sorted window by window, if others are left beside it.
+    """
+    n, o, salt, key = (f[x].to_numpy(np.int64) for x in ("n", "o", "salt", "key"))
+    data = f["data"].tolist()
     buf = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
     sizes = np.array([len(x) for x in data], np.int64)
     base = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(n)), n)
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    offset, salt = (f["o"].to_numpy(np.int64)[row] - step).astype(np.uint64), f["salt"].to_numpy(np.int64)
-    group = np.cumsum(np.concatenate(([False], (f["key"].to_numpy()[1:] != f["key"].to_numpy()[:-1]) | (salt[1:] != salt[:-1]))))[row].astype(np.uint64)
-    live, group = radix_groups(buf, base[row] + step, (group << np.uint64(8)) | offset)
-    d, t, s = f["d"].to_numpy(np.int64)[row], f["t"].to_numpy(np.int64)[row], f["s"].to_numpy(np.int64)[row] + step
+    d, t, s = (f[x].to_numpy(np.int64) for x in ("d", "t", "s"))
+    own = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
+    whole = equal_runs(buf, base, n, o, own, (d, t, s))
+    first = whole == 0
+    row = np.nonzero(first & ((np.bincount(own[first], minlength=len(own))[own] > 1) | (salt > 0)))[0]
+    many = n[row]
+    step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    row = np.repeat(row, many)
+    live, group = radix_groups(buf, base[row] + step, (own[row] << 8) | (o[row] - step))
     late = np.zeros(len(row), np.int8)
     if len(live):
-        late[live] = later_places(group, d[live], t[live], s[live])
-    gone = late == 2
-    out = joined_ranges(d[gone], t[gone], s[gone], np.ones(int(gone.sum()), np.int64))
+        late[live] = later_places(group, d[row[live]], t[row[live]], s[row[live]] + step[live])
+    gone, parts = whole == 2, late == 2
+    out = joined_ranges(*(np.concatenate(x) for x in ((d[gone], d[row[parts]]), (t[gone], t[row[parts]]), (s[gone], s[row[parts]] + step[parts]), (n[gone], np.ones(int(parts.sum()), np.int64)))))
     anywhere = _mixed(out[0].view(np.uint64) * _BASE + out[2].view(np.uint64)).view(np.int64)
     yield pd.DataFrame({"key": anywhere, "salt": np.int32(0), "d": out[0], "t": out[1], "s": out[2].astype(np.int32), "n": out[3].astype(np.int32), "o": np.int32(0), "data": None})
     left = np.nonzero((late == 0) & (salt[row] > 0))[0]
     for k in range(0, len(left), SORTED_ROWS):
         part = left[k : k + SORTED_ROWS]
-        windows = [data[i][j : j + DEPTH] for i, j in zip(row[part].tolist(), step[part].tolist())]
-        key = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in windows], np.int64)
-        yield pd.DataFrame({"key": key, "salt": np.int32(0), "d": d[part], "t": t[part], "s": s[part].astype(np.int32), "n": np.int32(1), "o": np.int32(0), "data": windows})
+        i, j = row[part], step[part]
+        windows = [data[x][y : y + DEPTH] for x, y in zip(i.tolist(), j.tolist())]
+        content = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in windows], np.int64)
+        yield pd.DataFrame({"key": content, "salt": np.int32(0), "d": d[i], "t": t[i], "s": (s[i] + j).astype(np.int32), "n": np.int32(1), "o": np.int32(0), "data": windows})
 
 
 def _sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
