@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small rows: nulls, empty and long texts, ties, repeated rows, extra columns, empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -394,6 +395,30 @@ def test_nearest(spark):
     for _, g in got.sort_values(["query_id", "rank"]).groupby("query_id"):
         assert list(zip(-g["score"], g["vec_id"])) == sorted(zip(-g["score"], g["vec_id"]))
     assert ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = ann.nearest(table.where("vec_id < 12").withColumnRenamed("label", "id"), F.col("vec_id") % 5 == 0).toPandas()
+    assert set(few["query_id"]) == {0, 5, 10} and (few.groupby("query_id")["vec_id"].nunique() == 11).all() and few["rank"].max() == 11
+
+
+def test_nearest_in_rounds_and_with_repeated_ids(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(3, vectors[3].tolist()), (3, vectors[4].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = ann.nearest(table, F.col("vec_id") % 20 == 0).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
+    exact = ann.brute_force(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.arange(0, 300, 20))
+    assert {q: g["vec_id"].tolist() for q, g in want.groupby("query_id")} == exact
+    monkeypatch.setattr(ann, "QUERY_BYTES", 200)
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
+    assert got.equals(want)
+
+
+def test_a_small_share_is_verified():
+    vectors = np.random.default_rng(2).standard_normal((8192, 64))
+    block = ann.Block(np.arange(8192), vectors, float(np.linalg.norm(vectors, axis=1).max()))
+    need = math.ceil(ann.VERIFY * 8192)
+    assert all(len(rows) == need for _, rows in block.candidates(vectors[:5] @ block.lines[:-1], need)) and need < 820
 
 
 # Repeated substrings
