@@ -43,3 +43,36 @@ def owner_key(subject: Column, client: Column, token: Column, session: Column) -
     """Who owns a task: the hashed subject, else client and token, else the session, else ``default``."""
     pair = F.sha2(F.concat(client, F.lit(":"), token), 256)
     return F.coalesce(F.sha2(subject, 256), pair, session, F.lit("default"))
+
+
+# Public messages by kind; %s stands for the target.
+MESSAGES = {
+    "cloud-metadata": "Blocked IP range: %s. Cloud metadata endpoints are not allowed",
+    "blocked-ip": "Blocked IP range: %s. Private IPs are not allowed",
+    "blocked-host": "Blocked host: %s. Internal hosts are not allowed",
+    "dns-timeout": "DNS lookup timed out for %s",
+    "dns-empty": "No DNS results returned for %s",
+    "address-family": "Invalid address family returned for %s",
+    "unsupported-protocol": "Unsupported redirect protocol: %s",
+    "invalid-host": "Invalid hostname provided",
+    "invalid-url": "Invalid URL",
+    "invalid-redirect": "Invalid redirect target",
+    "redirect-credentials": "Redirect target includes credentials",
+}
+PUBLIC_REASONS = ("aborted", "queue_full", "timeout")
+
+
+def message(kind: Column, target: Column) -> Column:
+    """The public message of a failure; null for kinds without one."""
+    out = None
+    for name, text in MESSAGES.items():
+        value = F.format_string(text, target) if "%s" in text else F.lit(text)
+        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
+    return out
+
+
+def payload(text: Column, url: Column, category_: Column, status: Column, retry: Column, timeout: Column, reason: Column) -> Column:
+    """The error as JSON: message and address, category, code and status where known, and of the details only the public ones."""
+    details = F.struct(retry.alias("retryAfter"), F.when(timeout >= 0, timeout).alias("timeout"), F.when(reason.isin(*PUBLIC_REASONS), reason).alias("reason"))
+    some = retry.isNotNull() | F.coalesce(timeout >= 0, F.lit(False)) | F.coalesce(reason.isin(*PUBLIC_REASONS), F.lit(False))
+    return F.to_json(F.struct(text.alias("error"), url.alias("url"), category_.alias("category"), code(status).alias("code"), status.alias("statusCode"), F.when(some, details).alias("details")))

@@ -21,7 +21,7 @@ def _meta(html: Column, kind: str, name: str) -> Column:
 
 
 def title_tag(html: Column) -> Column:
-    inner = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    inner = F.regexp_extract(html, r"(?is)<title\b[^<>]*>(.*?)</title\s*>", 1)
     return F.nullif(F.btrim(H.unescaped(inner), F.lit(" \t\n\r")), F.lit(""))
 
 

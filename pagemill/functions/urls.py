@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pagemill.functions.binding import once
@@ -171,6 +172,20 @@ def resolved(href: Column, page: Column) -> Column:
     return F.when(href.isNotNull(), once(parts, against))
 
 
+def request_target(url: Column) -> Column:
+    """struct<url, original, transformed, error>: the address normalized, rewritten to raw content where it can be, and normalized again then."""
+    first = normalized(url)
+
+    def rewritten(n: Column) -> Column:
+        return once(raw_rewrite(n["url"]), lambda r: target(n, r))
+
+    def target(n: Column, r: Column) -> Column:
+        again = F.when(r["transformed"], normalized(r["url"])["url"]).otherwise(n["url"])
+        return F.struct(F.when(n["error"].isNull(), again).alias("url"), n["url"].alias("original"), F.coalesce(n["error"].isNull() & r["transformed"], F.lit(False)).alias("transformed"), n["error"].alias("error"))
+
+    return once(first, rewritten)
+
+
 def host_of_header(value: Column) -> Column:
     """The host name of a Host header: first of a list, without port, brackets, trailing dots; null if none is left."""
     first = F.lower(F.btrim(F.split(value, ",")[0]))
@@ -211,12 +226,15 @@ def block_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"{n}/{b}", *v4_range(n, b)) for n, b in BLOCKED_V4], "network string, low long, high long")
 
 
-@F.udf(T.BinaryType())
-def _v6_bytes(ip):
-    try:
-        return ipaddress.IPv6Address((ip or "").partition("%")[0].strip("[] ")).packed
-    except ValueError:
-        return None
+@F.pandas_udf(T.BinaryType())
+def _v6_bytes(ip: pd.Series) -> pd.Series:
+    def one(x):
+        try:
+            return ipaddress.IPv6Address((x or "").partition("%")[0].strip("[] ")).packed
+        except ValueError:
+            return None
+
+    return ip.map(one)
 
 
 def blocked_v6(ip: Column) -> Column:

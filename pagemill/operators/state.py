@@ -1,11 +1,13 @@
 """Keyed-state operators over event tables: rate limits, token buckets, sessions, task life cycles, paging.
 
-State that restarts after an idle gap is split there first, by ``lag`` and a running sum, so one busy key
-becomes many independent groups; only inside such a group rows are folded in order.
+What needs a fold is dealt by key and ordered by Spark, and folded batch by batch with the open key's few numbers carried along,
+so a key may hold any number of rows. All else is aggregates, windows and joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,62 +21,63 @@ def _millis(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1000)
 
 
-def gap_groups(events: DataFrame, key: str, order: list[str], millis: str, gap: int) -> DataFrame:
-    """``events`` with ``part``: the number of gaps of more than ``gap`` milliseconds before the row, for its key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    opens = F.coalesce((F.col(millis) - F.lag(millis).over(w) > gap).cast("int"), F.lit(0))
-    return events.withColumn("_opens", opens).withColumn("part", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+def _folded(rows: DataFrame, key: str, tie: str, start, step, schema: str, columns: list[str]) -> DataFrame:
+    """``step(state, ms)`` over each key's rows in order of (ms, tie); ``start()`` is a key's first state. ``step`` gives the next state and the row's values."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, state = None, None
+        for f in frames:
+            out = []
+            for k, now in zip(f[key].tolist(), f["ms"].tolist()):
+                if k != open_:
+                    open_, state = k, start()
+                state, values = step(state, now)
+                out.append(values)
+            done = f[[key, tie]].reset_index(drop=True)
+            for i, c in enumerate(columns):
+                done[c] = pd.array([x[i] for x in out], "Int64") if c != "allowed" else [x[i] for x in out]
+            yield done
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, "ms", tie)
+    return dealt.mapInPandas(fold, schema)
+
+
+def _stamped(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    return events.select(key, tie, _millis(F.col(ts)).cast("long").alias("ms")).where(F.col(key).isNotNull() & F.col("ms").isNotNull())
 
 
 def rate_limited(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id", limit: int = 100, window_ms: int = 60_000) -> DataFrame:
     """(key, tie, allowed, retry_after): a window opens at a key's first row, and anew at the first row later than its end.
 
-    Rows beyond ``limit`` in a window are refused until it ends; ``retry_after`` is in seconds. A gap longer than the
-    window always opens a new one, so rows are folded gap by gap.
+    Rows beyond ``limit`` in a window are refused until it ends; ``retry_after`` is in seconds. A key's state is the end and the count of its window.
     """
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ms", tie], ignore_index=True)
-        end, count, out = None, 0, []
-        for now in f["ms"].tolist():
-            if end is None or now > end:
-                end, count = now + window_ms, 0
-            count += 1
-            out.append((count <= limit, None if count <= limit else max(1, -(-(end - now) // 1000))))
-        f["allowed"], f["retry_after"] = [a for a, _ in out], pd.array([r for _, r in out], "Int64")
-        return f[[key, tie, "allowed", "retry_after"]]
+    def step(state, now):
+        end, count = state
+        if end is None or now > end:
+            end, count = now + window_ms, 0
+        count += 1
+        return (end, count), (count <= limit, None if count <= limit else max(1, -(-(end - now) // 1000)))
 
-    rows = events.select(key, tie, _millis(F.col(ts)).cast("long").alias("ms")).where(F.col(key).isNotNull() & F.col("ms").isNotNull())
-    parts = gap_groups(rows, key, ["ms", tie], "ms", window_ms)
-    return parts.groupBy(key, "part").applyInPandas(fold, f"{key} long, {tie} long, allowed boolean, retry_after long")
+    return _folded(_stamped(events, key, ts, tie), key, tie, lambda: (None, 0), step, f"{key} long, {tie} long, allowed boolean, retry_after long", ["allowed", "retry_after"])
 
 
 def token_bucket(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id", capacity: int = 200, per_second: float = 50.0) -> DataFrame:
     """(key, tie, allowed, dropped_before): a bucket refills in whole tokens once a second or more has passed since it last did.
 
-    A gap that refills an empty bucket starts anew. ``dropped_before`` is the number of refused rows right before an allowed one.
+    ``dropped_before`` is the number of refused rows right before an allowed one. A key's state is its tokens, its last refill and that number.
     """
-    full_ms = max(1000, int(capacity / per_second * 1000) + 1000)
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ms", tie], ignore_index=True)
-        tokens, last, out = capacity, None, []
-        for now in f["ms"].tolist():
-            last = now if last is None else last
-            if now - last >= 1000:
-                tokens, last = min(capacity, tokens + int((now - last) / 1000 * per_second)), now
-            out.append(tokens > 0)
-            tokens -= tokens > 0
-        f["allowed"] = out
-        return f[[key, tie, "ms", "allowed"]]
-
-    rows = events.select(key, tie, _millis(F.col(ts)).cast("long").alias("ms")).where(F.col(key).isNotNull() & F.col("ms").isNotNull())
-    done = gap_groups(rows, key, ["ms", tie], "ms", full_ms).groupBy(key, "part").applyInPandas(fold, f"{key} long, {tie} long, ms long, allowed boolean")
-    w = Window.partitionBy(key).orderBy("ms", tie)
-    run = F.coalesce(F.sum(F.col("allowed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = done.withColumn("run", run)
-    refused = F.sum((~F.col("allowed")).cast("int")).over(Window.partitionBy(key, "run"))
-    return numbered.select(key, tie, "allowed", F.when(F.col("allowed"), refused).otherwise(F.lit(0)).cast("long").alias("dropped_before"))
+
+    def step(state, now):
+        tokens, last, dropped = state
+        last = now if last is None else last
+        if now - last >= 1000:
+            tokens, last = min(capacity, tokens + int((now - last) / 1000 * per_second)), now
+        if tokens > 0:
+            return (tokens - 1, last, 0), (True, dropped)
+        return (tokens, last, dropped + 1), (False, 0)
+
+    return _folded(_stamped(events, key, ts, tie), key, tie, lambda: (capacity, None, 0), step, f"{key} long, {tie} long, allowed boolean, dropped_before long", ["allowed", "dropped_before"])
 
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", idle: str = "30 minutes") -> DataFrame:
@@ -128,3 +131,44 @@ def spans(events: DataFrame, key: str, kind: str, start: str, end: str, ts: str
     following = rows.withColumn("_next", F.lead(kind).over(w)).withColumn("_at", F.lead(ts).over(w))
     fits = (F.col(kind) == start) & (F.col("_next") == end) & (F.col("_at") <= F.col(ts) + F.expr(f"INTERVAL {within}"))
     return following.where(fits).select(key, tie, F.col(ts).alias("started"), F.col("_at").alias("ended"))
+
+
+# Fixed value: milliseconds that a delivered result is still kept.
+DELIVERY_GRACE_MS = 10_000
+
+
+def is_expired(now: Column, created: Column, ended: Column, ttl_ms: Column, delivered: Column) -> Column:
+    """Whether a task is past its time, all in milliseconds: counted from its end, shorter once delivered; one that never ends lives a day; without a time to live none expires."""
+    left = F.when(delivered, F.least(ttl_ms, F.lit(DELIVERY_GRACE_MS))).otherwise(ttl_ms)
+    return F.coalesce(ttl_ms.isNotNull() & F.when(ended.isNotNull(), now - ended > left).otherwise(now - created > MOST_TTL_MS), F.lit(False))
+
+
+def cancelled(tasks: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, outcome, status) of ``requests(request_id, task_id, owner)`` on ``tasks(task_id, owner, status)``: only an owner's own unfinished task is cancelled."""
+    found = requests.join(tasks, ["task_id", "owner"], "left")
+    final = F.col("status").isin(*FINAL_STATES)
+    outcome = F.when(F.col("status").isNull(), "not-found").when(final, F.concat(F.lit("already "), F.col("status"))).otherwise("cancelled")
+    return found.select("request_id", outcome.alias("outcome"), F.when(final, F.col("status")).when(F.col("status").isNotNull(), "cancelled").alias("status"))
+
+
+def status_changes(events: DataFrame, task: str, order: list[str], status: str) -> DataFrame:
+    """The rows on which a task's status differs from the one before, and the first."""
+    before = F.lag(status).over(Window.partitionBy(task).orderBy(*order))
+    return events.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col(status))).withColumnRenamed("_before", "previous")
+
+
+def stage_times(events: DataFrame, key: str, stage: str, ts: str = "ts", tie: str = "event_id", budget_s: float = 30.0, warn: float = 0.5) -> DataFrame:
+    """(stage, n, seconds, n_over): a stage lasts until the key's next row; ``n_over`` took more than the ``warn`` share of the budget."""
+    w = Window.partitionBy(key).orderBy(ts, tie)
+    lasted = (F.unix_micros(F.lead(F.col(ts).cast("timestamp")).over(w)) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
+    rows = events.select(F.col(stage).alias("stage"), lasted.alias("s")).where("s IS NOT NULL")
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s"), 3).alias("seconds"), F.count_if(F.col("s") > warn * budget_s).alias("n_over"))
+
+
+# The stages of a request, in order; a progress report names the step.
+STAGES = ("preparing", "resolve_url", "fetch_remote", "response_ready", "transform_start", "prepare_output", "finalize")
+
+
+def progress_step(stage: Column) -> Column:
+    """The step, from 1, of a stage; null for unknown ones."""
+    return F.nullif(F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage), F.lit(0)).cast("int")

@@ -71,9 +71,40 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views with the purchase that follows within a day."""
-    kinds = [r[0] for r in _events(spark, sf_dir).select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return S.spans(_events(spark, sf_dir), "user_id", "event_type", kinds[0], kinds[1])
+    """Clicks with the purchase that follows within a day."""
+    return S.spans(_events(spark, sf_dir), "user_id", "event_type", "click", "purchase")
+
+
+def task_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the events, as tasks that began at their time and some of which ended or were delivered, have expired at the end of the month."""
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    third = F.col("event_id") % 3
+    ended, ttl_ms = F.when(third == 1, ms + 1000), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 5 * 10_000_000)
+    expired = S.is_expired(F.lit(1_706_659_200_000), ms, ended, ttl_ms, F.col("event_id") % 2 == 0)
+    return _events(spark, sf_dir).select("event_id", expired.alias("expired"))
+
+
+def task_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event asks to cancel the task of the event before, half of them for another owner."""
+    e = _events(spark, sf_dir)
+    tasks = e.select(F.col("event_id").alias("task_id"), F.col("user_id").alias("owner"), F.expr("CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'working' END").alias("status"))
+    own = e.select((F.col("event_id") + 1).alias("request_id"), F.col("event_id").alias("task_id"), (F.col("user_id") + F.col("event_id") % 2).alias("owner"))
+    return S.cancelled(tasks, own)
+
+
+def task_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of each user's kind of event."""
+    return S.status_changes(_events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type", "previous")
+
+
+def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long kinds of events last, and how often more than half a day."""
+    return S.stage_times(_events(spark, sf_dir), "user_id", "event_type", budget_s=86_400.0)
+
+
+def progress_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = F.element_at(F.array(*[F.lit(x) for x in (*S.STAGES, "other")]), (F.col("event_id") % 8 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", S.progress_step(stage).alias("step"))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +122,7 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.rate_limit_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", limit=3, window_ms=86_400_000)
 
 
-QUERIES = {f.__name__: f for f in (rate_limit, token_bucket, event_sessions, last_seen, owner_counts, value_percentiles, task_states, task_page, ttl_values, progress, event_spans, windows, stream_windows, stream_rate_limit)}
+QUERIES = {f.__name__: f for f in (rate_limit, token_bucket, event_sessions, last_seen, owner_counts, value_percentiles, task_states, task_page, ttl_values, progress, event_spans, task_expiry, task_cancel, task_feed, stage_times, progress_steps, windows, stream_windows, stream_rate_limit)}
 
 _LIMIT = """
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
@@ -113,10 +144,24 @@ SQL = {
     "task_page": "SELECT event_id, user_id FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 51",
     "ttl_values": "WITH v AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE (event_id - 500) * 97.5 END AS v FROM events) SELECT event_id, CASE WHEN v IS NULL THEN 60000 ELSE least(greatest(trunc(v), 1000), 86400000) END::BIGINT AS ttl FROM v",
     "progress": "WITH p AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT user_id, event_id, value FROM p WHERE b IS NULL OR value > b",
-    "event_spans": """WITH k AS (SELECT min(event_type) AS a FROM events), k2 AS (SELECT min(event_type) AS b FROM events, k WHERE event_type > a),
-        r AS (SELECT user_id, event_id, ts, event_type, a, b FROM events, k, k2 WHERE event_type IN (a, b)),
+    "event_spans": """WITH r AS (SELECT user_id, event_id, ts, event_type FROM events WHERE event_type IN ('click', 'purchase')),
         n AS (SELECT *, lead(event_type) OVER w AS nt, lead(ts) OVER w AS nts FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT user_id, event_id, ts AS started, nts AS ended FROM n WHERE event_type = a AND nt = b AND nts <= ts + INTERVAL 1 DAY""",
+        SELECT user_id, event_id, ts AS started, nts AS ended FROM n WHERE event_type = 'click' AND nt = 'purchase' AND nts <= ts + INTERVAL 1 DAY""",
+    "token_bucket": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
+        r AS (SELECT user_id, event_id, ms, rn, 1 AS tokens, ms AS last, true AS allowed, 0 AS dropped, 0 AS before FROM e WHERE rn = 1
+          UNION ALL SELECT user_id, event_id, ms, rn, t - CASE WHEN t > 0 THEN 1 ELSE 0 END, l, t > 0, CASE WHEN t > 0 THEN 0 ELSE dropped + 1 END, CASE WHEN t > 0 THEN dropped ELSE 0 END
+          FROM (SELECT e.user_id, e.event_id, e.ms, e.rn, r.dropped, CASE WHEN e.ms - r.last >= 1000 THEN e.ms ELSE r.last END AS l,
+                  CASE WHEN e.ms - r.last >= 1000 THEN least(2, r.tokens + floor((e.ms - r.last)::DOUBLE / 1000::DOUBLE * (1::DOUBLE / 18000::DOUBLE))::INTEGER) ELSE r.tokens END AS t
+                FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+        SELECT user_id, event_id, allowed, before::BIGINT AS dropped_before FROM r""",
+    "task_expiry": """WITH t AS (SELECT event_id, epoch_ms(ts) AS ms, CASE WHEN event_id % 5 > 0 THEN event_id % 5 * 10000000 END AS ttl FROM events)
+        SELECT event_id, ttl IS NOT NULL AND CASE WHEN event_id % 3 = 1 THEN 1706659200000 - ms - 1000 > CASE WHEN event_id % 2 = 0 THEN 10000 ELSE ttl END ELSE 1706659200000 - ms > 86400000 END AS expired FROM t""",
+    "task_cancel": """SELECT event_id + 1 AS request_id, CASE WHEN event_id % 2 = 1 THEN 'not-found' WHEN event_id % 4 = 0 THEN 'already completed' ELSE 'cancelled' END AS outcome,
+        CASE WHEN event_id % 2 = 1 THEN NULL WHEN event_id % 4 = 0 THEN 'completed' ELSE 'cancelled' END AS status FROM events""",
+    "task_feed": "WITH p AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) SELECT * FROM p WHERE previous IS DISTINCT FROM event_type",
+    "stage_times": """WITH d AS (SELECT event_type AS stage, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts))::DOUBLE / 1000000::DOUBLE AS s FROM events)
+        SELECT stage, count(*) AS n, round(sum(s), 3) AS seconds, count(*) FILTER (WHERE s > 43200) AS n_over FROM d WHERE s IS NOT NULL GROUP BY stage""",
+    "progress_steps": "SELECT event_id, CASE WHEN event_id % 8 < 7 THEN event_id % 8 + 1 END::INTEGER AS step FROM events",
     "windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2",
 }
 SQL["stream_windows"] = SQL["windows"]

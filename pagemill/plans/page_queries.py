@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagemill.functions import encoding as E, html as H, markdown as M, metadata as D, passes as P, urls as U
 from pagemill.sources.tables import table
@@ -24,36 +24,91 @@ def _with_tags(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", F.replace("html", F.lit("<head>"), tags))
 
 
-def render(pages: DataFrame, fetched_at: str = FETCHED_AT) -> DataFrame:
-    """The output record of each page: address, title, metadata, Markdown, size, where the content came from, which gate failed.
+def decoded(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, url, body, content_type)`` with ``html``, decoded as the byte order mark, the header, the document or UTF-8 says, and ``body_error``."""
+    body, kind = F.col("body"), F.col("content_type")
+    fault = F.when(~E.is_text_type(kind), "unsupported_type").when(E.is_binary(body, E.header_charset(kind)) & E.bom_encoding(body).isNull(), "binary_content")
+    rows = pages.select("*", E.encoding(body, kind).alias("encoding"), fault.alias("body_error"))
+    return rows.select(*pages.columns, "encoding", "body_error", F.when(F.col("body_error").isNull(), E.decoded(body, F.col("encoding"))).alias("html"))
 
-    One projection without shuffles: the region of main content is used if it passes the gates, else the cleaned body.
+
+def is_raw_page(html: Column, url: Column) -> Column:
+    """Whether a page passes as the Markdown or plain text that it is: by its address, unless it is an HTML document, or by its content."""
+    document = F.btrim(html, F.lit(" \t\r\n")).rlike(r"(?i)^(?:<!doctype|<html)")
+    structural = html.rlike("(?i)<(?:" + "|".join(M.STRUCTURAL_TAGS) + r")\b")
+    return F.coalesce(F.when(U.is_raw_text(url), ~document).otherwise(M.is_raw_text(html) & ~structural), F.lit(False))
+
+
+def gates(rows: DataFrame) -> DataFrame:
+    """``rows(region, body)`` with ``gate_failed``: the first gate that the region of content fails against the page, or null."""
+    plain = F.regexp_replace(H.unescaped(F.regexp_replace(F.regexp_replace(F.col("region"), r"(?i)<br\b[^<>]*>|</?(?:p|div|li|h[1-6]|tr)\b[^<>]*>", "\n"), r"<[^<>]*+>", "")), r"\n\s+", "\n")
+    sized = rows.select("*", F.length(H.visible_text(F.col("region"))).alias("region_size"), F.length(H.visible_text(F.col("body"))).alias("body_size"), M.has_truncated_sentences(plain).alias("cut"), M.few_empty_sections(F.col("region")).alias("filled"))
+    gate = (
+        F.when(F.col("region").isNull(), "no-region").when(~M.enough_content(F.col("region_size"), F.col("body_size")), "content-ratio")
+        .when(~M.keeps_enough(F.col("region"), F.col("body")), "retention").when(F.col("cut"), "truncated-sentences").when(~F.col("filled"), "empty-sections")
+    )
+    return sized.select(*rows.columns, gate.alias("gate_failed"))
+
+
+def render(pages: DataFrame, fetched_at: str = FETCHED_AT, inline_limit: int = 0) -> DataFrame:
+    """The output record of each page of ``pages(page_id, url, html)``: address, title, metadata, Markdown, size, where the content came from, which gate failed.
+
+    Projections without shuffles. The address is normalized, rewritten to raw content where it can be, and normalized again. A raw page
+    keeps its text, with a line for its source. Else the region of main content is used if it passes the gates, else the cleaned body;
+    links are made absolute, and the metadata follow as a footer. ``inline_limit`` bounds the Markdown's length (0: no bound).
     """
-    url, html = F.col("url"), F.col("html")
-    base = pages.select(
-        "page_id", url, U.raw_rewrite(url)["url"].alias("resolved_url"), D.limited(D.metadata(html, url)).alias("metadata"),
-        H.primary_heading(html).alias("heading"), H.cleaned(P.prepared(H.body_section(html))).alias("body"), E.looks_binary(html).alias("binary"),
+    target = pages.select("page_id", "url", "html", U.request_target(F.col("url")).alias("target"))
+    # a table whose addresses are no URLs is rendered all the same, with the address as it stands
+    base = target.select("page_id", "url", "html", F.coalesce("target.url", "url").alias("resolved_url"), F.col("target.error").alias("url_error"), E.looks_binary(F.col("html")).alias("binary"))
+    raw = base.withColumn("raw", is_raw_page(F.col("html"), F.col("resolved_url")))
+    found = raw.select(
+        "*", D.limited(D.metadata(F.col("html"), F.col("resolved_url"))).alias("metadata"), H.primary_heading(F.col("html")).alias("heading"),
+        F.when(~F.col("raw"), H.cleaned(P.prepared(P.images_unproxied(H.body_section(F.col("html")), U.host(F.col("resolved_url")))))).alias("body"),
     )
-    regions = base.withColumn("region", H.content_region(F.col("body")))
-    region_size, body_size = F.length(H.visible_text(F.col("region"))), F.length(H.visible_text(F.col("body")))
-    gate = F.when(F.col("region").isNull(), "no-region").when(~M.enough_content(region_size, body_size), "content-ratio").when(~M.keeps_enough(F.col("region"), F.col("body")), "retention")
-    judged = regions.withColumn("gate_failed", gate)
-    source = F.when(F.col("gate_failed").isNull(), F.col("region")).otherwise(F.col("body"))
-    title = F.when(M.prefers_heading(F.col("heading"), F.col("metadata.title")), F.col("heading")).otherwise(F.col("metadata.title"))
-    text = M.titled(M.cleaned(H.markdown(source)), title)
-    done = judged.select(
-        "page_id", "url", "resolved_url", title.alias("title"), "metadata", F.when(F.col("binary"), "").otherwise(text).alias("markdown"), F.lit(fetched_at).alias("fetched_at"),
-        F.when(F.col("gate_failed").isNull(), "article").otherwise("document").alias("source_kind"), "gate_failed", F.when(F.col("binary"), "binary_content").alias("error"),
+    judged = gates(found.withColumn("region", H.content_region(F.col("body"))))
+    kind = F.when(F.col("raw"), "raw").when(F.col("gate_failed").isNull(), "article").otherwise("document")
+    prefers = M.prefers_heading(F.col("heading"), F.col("metadata.title")) | U.is_repository_root(F.col("resolved_url")) & F.col("heading").isNotNull()
+    title = F.when(F.col("raw"), M.raw_title(F.col("html"))).when(prefers, F.col("heading")).otherwise(F.col("metadata.title"))
+    chosen = judged.select(
+        "page_id", "url", "resolved_url", "url_error", "html", "binary", "raw", "metadata", "heading", title.alias("title"), kind.alias("source_kind"),
+        F.when(~F.col("raw"), F.col("gate_failed")).alias("gate_failed"), F.when(F.col("gate_failed").isNull(), F.col("region")).otherwise(F.col("body")).alias("content"),
+    )
+    text = chosen.withColumn("text", F.when(F.col("raw"), M.with_source(F.col("html"), F.col("resolved_url"))).otherwise(M.cleaned(H.markdown(F.col("content")), keep_empty_headings=True)))
+    linked = text.withColumn("text", M.links_resolved(F.col("text"), F.col("resolved_url")))
+    headed = linked.withColumn("text", F.when(F.col("raw"), F.col("text")).otherwise(M.titled(M.repository_heading_stripped(F.col("text"), F.col("heading"), F.col("resolved_url")), F.col("title"))))
+    footer = M.footer(F.col("title"), F.col("metadata.author"), F.col("resolved_url"), F.lit(fetched_at).cast("timestamp"), F.col("metadata.description"))
+    closed = headed.withColumn("text", F.when(F.col("raw"), F.col("text")).otherwise(F.concat(M.without_leading_chrome(M.without_empty_sections(F.col("text"))), F.lit("\n\n"), footer)))
+    limited = closed.withColumn("inline", M.inline_limited(F.when(F.col("binary"), F.lit("")).otherwise(F.col("text")), inline_limit))
+    return limited.select(
+        "page_id", "url", "resolved_url", "title", "metadata", F.col("inline.content").alias("markdown"), F.lit(fetched_at).alias("fetched_at"), "source_kind", "gate_failed",
+        F.when(F.col("binary"), "binary_content").otherwise(F.col("url_error")).alias("error"), E.utf16_length(F.col("inline.content")).alias("content_size"), F.col("inline.truncated").alias("truncated"),
     )
-    return done.withColumn("content_size", E.utf16_length(F.col("markdown"))).withColumn("truncated", F.lit(False))
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(_pages(spark, sf_dir)).drop("metadata")
 
 
+def limited_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within 1000 characters a page."""
+    rows = render(_pages(spark, sf_dir), inline_limit=1000)
+    return rows.select("page_id", (F.length("markdown") <= 1000).alias("fits"), (~F.col("truncated") | F.col("markdown").endswith(M.MARKER)).alias("marked"))
+
+
+def decoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages sent as UTF-8, as UTF-16 with a mark and as UTF-16 by header come back as they were; a fifth come as an image."""
+    html, k = F.col("html"), F.col("page_id") % 5
+    body = F.when(k == 0, F.encode(html, "UTF-8")).when(k == 1, F.concat(F.lit(b"\xff\xfe"), F.encode(html, "UTF-16LE"))).when(k == 2, F.encode(html, "UTF-16BE")).when(k == 3, F.concat(F.lit(b"\x89PNG"), F.encode(html, "UTF-8"))).otherwise(F.encode(html, "UTF-8"))
+    header = F.when(k == 0, "text/html").when(k == 2, "text/html; charset=UTF-16BE").when(k == 4, "image/png")
+    rows = decoded(_pages(spark, sf_dir).select("page_id", "url", body.alias("body"), header.alias("content_type")))
+    return rows.select("page_id", "html", "body_error")
+
+
 def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_report(spark, sf_dir).groupBy("source_kind", "gate_failed").agg(F.count(F.lit(1)).alias("n"))
+    """Where content comes from; a third of the pages are raw Markdown, by content or by address."""
+    third = F.col("page_id") % 3
+    html = F.when(third == 1, F.concat(F.lit("# Title\n\n"), H.visible_text(F.col("html")))).otherwise(F.col("html"))
+    return render(_pages(spark, sf_dir).withColumn("html", html)).groupBy("source_kind", "gate_failed").agg(F.count(F.lit(1)).alias("n"))
 
 
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +182,11 @@ def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = H.cleaned(H.body_section(F.col("html")))
-    rows = _pages(spark, sf_dir).select("page_id", body.alias("body")).withColumn("region", H.content_region(F.col("body")))
-    n, m = F.length(H.visible_text(F.coalesce("region", F.lit("")))), F.length(H.visible_text(F.col("body")))
-    return rows.select("page_id", F.col("region").isNotNull().alias("has_region"), M.enough_content(n, m).alias("ratio_passes"), M.keeps_enough(F.coalesce("region", F.lit("")), F.col("body")).alias("retention_passes"))
+    """The gates of the region of content against the page; the article of every fourth page has a table left out, that of every fifth is cut to its heading."""
+    k = F.col("page_id")
+    html = F.when(k % 4 == 0, F.replace("html", F.lit("</body>"), F.lit("<table><tr><td>x</td></tr></table></body>"))).when(k % 5 == 0, F.regexp_replace("html", r"(?s)</h1>(.*)</article>", "</h1><p>short, but long enough to be a region of its own: over one hundred characters of inner markup, to be sure.</p></article><div>$1</div>")).otherwise(F.col("html"))
+    rows = _pages(spark, sf_dir).select("page_id", H.cleaned(H.body_section(html)).alias("body")).withColumn("region", H.content_region(F.col("body")))
+    return gates(rows).select("page_id", F.col("region").isNotNull().alias("has_region"), "gate_failed")
 
 
 def truncated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +205,8 @@ def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("intro\n# Head\nbody\n")).otherwise(F.lit("plain\n")), F.substring("text", 1, 20))
+    """A source line under the first heading of every second document, and on top of the others."""
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("intro\n# Head\nbody\n")).otherwise(F.lit("plain\n")), F.replace(F.col("text"), F.lit("#"), F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", M.with_source(text, F.concat(F.lit("https://e.org/"), F.col("doc_id").cast("string"))).alias("markdown"))
 
 
@@ -159,10 +216,16 @@ def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean-up over documents dressed with the artefacts that it removes, fenced code untouched."""
+    """The clean-up over whole documents dressed with the artefacts that it removes, fenced code untouched."""
     lead = F.lit("Edit this page\n\n# Title [#](#title)\nWas this page helpful?\n\n## Empty\n\n## Next\n\nEnd.Start [a](b)[c](d)\n\n```\nEnd.Start\n```\n\n")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.lit("n"), F.col("doc_id").cast("string")).alias("t"))
-    return rows.select("doc_id", M.cleaned(F.col("t")).alias("markdown"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.cleaned(F.concat(lead, F.col("text"))).alias("markdown"))
+
+
+def tidied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, as one line of plain words each, between artefacts: what is around is put right, what is between stays."""
+    words = F.regexp_replace("text", r"[^\p{L}\p{N} ]+", " ")
+    text = F.concat(F.lit("# Title [#](#t)\nsee` a. b `x [`c](d)[e](f)g\n[Skip to content](#main)\n"), F.lit("w "), words, F.lit("w\n- item\nt\\-u \\[v\\]\n- \\-\na: \"x\"b: \"y\"\n| <b> | c |"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.lines_tidied(text).alias("markdown"))
 
 
 def code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,21 +235,37 @@ def code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inline_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", M.inline_limited(F.col("text"), 500).alias("i"))
-    return rows.select("doc_id", F.length("i.content").alias("n_content"), "i.content_size", "i.truncated")
+    """Documents without brackets and fences of their own within 500 characters; of every second one the cut falls into a link or a fence."""
+    bare = F.regexp_replace("text", r"[\[\]`~]", "")
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(F.rpad(bare, 470, "x"), F.lit("[label that goes on](https://e.org/"), bare)).when(k == 1, F.concat(F.lit("```\n"), bare)).otherwise(bare)
+    rows = table(spark, sf_dir, "documents").select("doc_id", M.inline_limited(text, 500).alias("i"))
+    return rows.select("doc_id", "i.content", "i.content_size", "i.truncated")
 
 
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", M.size_label(F.octet_length("text") * 100).alias("label"))
 
 
+FRAGMENT = '<h2>T</h2><p>a <b>b</b> <em>c</em> <code>d</code></p><ul><li>x</li><li>y<ol><li>one</li><li>two</li></ol></li></ul><pre><code class="language-py">z = 1</code></pre><table><tr><td>A</td><td>B</td></tr><tr><td>1<br>2</td><td>3</td></tr></table><a href="/u">l</a><br>&amp;lt;'
+FRAGMENT_MARKDOWN = "## T\n\na **b** _c_ `d`\n\n- x\n- y\n  1. one\n  2. two\n\n```py\nz = 1\n```\n\n| A | B |\n| --- | --- |\n| 1 2 | 3 |\n\n[l](/u)\n&lt;"
+
+
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown of small fragments with code, images, lists and emphasis."""
-    html = F.concat(F.lit('<h2>T'), F.col("page_id").cast("string"), F.lit('</h2><p>a <b>b</b> <em>c</em> <code>d</code></p><ul><li>x</li><li>y</li></ul><pre><code class="language-py">z = 1</code></pre><a href="/u">l</a><br>&amp;lt;'))
-    return _pages(spark, sf_dir).select("page_id", H.markdown(html).alias("markdown"))
+    """Markdown of a fragment with a table, nested lists, code and emphasis around each page's visible text."""
+    html = F.concat(F.lit("<p>"), F.col("t"), F.lit("</p>" + FRAGMENT))
+    words = F.regexp_replace(H.visible_text(F.col("html")), r"[^\p{L}\p{N} ]+", "")
+    rows = _pages(spark, sf_dir).select("page_id", F.btrim(words).alias("t"))
+    return rows.select("page_id", H.markdown(P.table_cells(html)).alias("markdown"))
+
 
+def help_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part, by its heading, of documents that are put under headings."""
+    text = F.concat(F.lit("# About\nx\n# Usage notes\n"), F.replace(F.col("text"), F.lit("#"), F.lit("")), F.lit("\n# End\ny"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.section(text, "usage").alias("part"))
 
-QUERIES = {f.__name__: f for f in (page_report, source_kinds, page_title, page_metadata, head_metadata, head_section, document_title, title_matches_heading, tag_counts, token_kinds, page_links, resolved_links, noise_markers, retention_counts, visible_text, stripped_pages, content_gates, truncated_sentences, raw_text, raw_titles, source_lines, footers, cleaned_markdown, code_languages, inline_limit, size_labels, html_tables)}
+
+QUERIES = {f.__name__: f for f in (page_report, limited_report, decoded_pages, tidied_lines, help_section, source_kinds, page_title, page_metadata, head_metadata, head_section, document_title, title_matches_heading, tag_counts, token_kinds, page_links, resolved_links, noise_markers, retention_counts, visible_text, stripped_pages, content_gates, truncated_sentences, raw_text, raw_titles, source_lines, footers, cleaned_markdown, code_languages, inline_limit, size_labels, html_tables)}
 
 _T = "nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&')), '')"
 _H = "nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')), '')"
@@ -207,6 +286,16 @@ _LINKS = f"""SELECT page_id, pos::INTEGER AS pos, {_ENT("regexp_replace(regexp_e
     FROM (SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>') AS l FROM pages))"""
 _TOKENS = "SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[^>]*>|[^<]+')) AS raw FROM pages"
 
+_SEEN = lambda x: f"length(trim(regexp_replace({_ENT(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')))"
+_GATES = f"""WITH p AS (PAGES),
+    c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<body[^>]*>(.*?)(?:</body>|\\z)', 1), '(?s)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'),
+            '(?is)<nav[^>]*>.*?</nav>', '', 'g'), '(?is)<footer[^>]*>.*?</footer>', '', 'g') AS b FROM p),
+    a AS (SELECT page_id, b, regexp_extract(b, '(?is)<article[^>]*>(.*?)</article>', 1) AS x FROM c),
+    r AS (SELECT page_id, b, CASE WHEN length(trim(x)) > 100 THEN x END AS r FROM a),
+    t AS (SELECT *, list_filter(list_transform(string_split(regexp_replace({_ENT("regexp_replace(regexp_replace(r, '(?i)<br[^>]*>|</?(p|div|li|h[1-6]|tr)([ ][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')")}, '\\n\\s+', chr(10), 'g'), chr(10)), lambda y: trim(y)), lambda y: length(y) > 20) AS l FROM r),
+    g AS (SELECT page_id, r, CASE WHEN r IS NULL THEN 'no-region' WHEN {_SEEN('b')} >= 100 AND {_SEEN('r')} < 0.15 * {_SEEN('b')} THEN 'content-ratio' WHEN b LIKE '%<table%' AND r NOT LIKE '%<table%' THEN 'retention'
+            WHEN len(l) >= 3 AND len(list_filter(l, lambda y: NOT regexp_matches(y, '[.!?:;"'')\\]`]$'))) > 0.95 * len(l) THEN 'truncated-sentences' END AS gate_failed FROM t)"""
+
 SQL = {
     "page_title": f"SELECT page_id, {_T} AS title, {_H} AS heading FROM pages",
     "page_metadata": "SELECT page_id, 'Page ' || page_id || ' & more' AS title, 'second' AS description, CASE WHEN page_id % 2 = 0 THEN 'Ann' END AS author, NULL::VARCHAR AS image, regexp_extract(url, '^https?://[^/?#]+') || '/favicon.ico' AS favicon, '2024-01-01' AS published_at, NULL::VARCHAR AS modified_at FROM pages",
@@ -222,13 +311,27 @@ SQL = {
     "stripped_pages": f"SELECT page_id, {_STRIPPED} AS html FROM pages",
     "truncated_sentences": "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: length(x) > 20) AS l FROM documents) SELECT doc_id, len(l) >= 3 AND len(list_filter(l, lambda x: NOT regexp_matches(x, '[.!?:;\"'')\\]`]$'))) > 0.95 * len(l) AS truncated FROM l",
     "raw_text": "SELECT doc_id, doc_id % 4 IN (0, 2) OR (doc_id % 4 = 3 AND (regexp_matches(text, '(?m)^#{1,6}\\s') OR regexp_matches(text, '(?m)^[-*+]\\s') OR contains(text, '```'))) AS is_raw FROM documents",
-    "source_lines": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'intro' || chr(10) || '# Head' || chr(10) || chr(10) || 'Source: https://e.org/' || doc_id || chr(10) || 'body' || chr(10) || left(text, 20) ELSE 'Source: https://e.org/' || doc_id || chr(10) || chr(10) || 'plain' || chr(10) || left(text, 20) END AS markdown FROM documents",
+    "source_lines": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'intro' || chr(10) || '# Head' || chr(10) || chr(10) || 'Source: https://e.org/' || doc_id || chr(10) || 'body' || chr(10) || replace(text, '#', '') ELSE 'Source: https://e.org/' || doc_id || chr(10) || chr(10) || 'plain' || chr(10) || replace(text, '#', '') END AS markdown FROM documents",
     "footers": f"SELECT page_id, '---' || chr(10) || chr(10) || ' ' || concat_ws(' | ', '_' || {_T} || '_', CASE WHEN page_id % 2 = 0 THEN '_Ann_' END, '[_Original Source_](' || url || ')', '_01/31/2024_') AS footer FROM pages",
-    "cleaned_markdown": "SELECT doc_id, chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || '## Next' || chr(10) || chr(10) || 'End. Start [a](b) [c](d)' || chr(10) || chr(10) || '```' || chr(10) || 'End.Start' || chr(10) || '```' || chr(10) || chr(10) || 'n' || doc_id AS markdown FROM documents",
     "code_languages": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' WHEN 2 THEN 'bash' WHEN 3 THEN 'json' WHEN 4 THEN 'javascript' END AS detected, CASE event_id % 3 WHEN 0 THEN 'ts' ELSE 'go' END AS declared FROM events",
     "page_links": _LINKS,
+    "resolved_links": f"""WITH l AS (SELECT p.page_id, pos, href, url FROM ({_LINKS}) l JOIN pages p USING (page_id)), o AS (SELECT *, regexp_extract(url, '^https?://[^/?#]+') AS o FROM l)
+        SELECT page_id, pos, CASE WHEN regexp_matches(href, '\\s|^[a-zA-Z][a-zA-Z0-9+.-]*:|^#') OR href = '' THEN trim(href) WHEN href LIKE '//%' THEN regexp_extract(url, '^https?:') || href WHEN href LIKE '/%' THEN o || href
+          ELSE o || regexp_extract(url, '^https?://[^/?#]+(/(?:[^?#]*/)?)', 1) || href END AS target, 'https://a.org/b/x/' || pos || '.html' AS relative, regexp_matches(href, '[?&]utm_(source|medium|campaign)=') AS campaign FROM o""",
+    "source_kinds": _GATES.replace("PAGES", "SELECT page_id, html AS h FROM pages") + """, k AS (SELECT CASE WHEN page_id % 3 = 1 THEN 'raw' WHEN gate_failed IS NULL THEN 'article' ELSE 'document' END AS source_kind, CASE WHEN page_id % 3 <> 1 THEN gate_failed END AS gate_failed FROM g)
+        SELECT source_kind, gate_failed, count(*) AS n FROM k GROUP BY ALL""",
+    "content_gates": _GATES.replace("PAGES", """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN replace(html, '</body>', '<table><tr><td>x</td></tr></table></body>')
+          WHEN page_id % 5 = 0 THEN regexp_replace(html, '(?s)</h1>(.*)</article>', '</h1><p>short, but long enough to be a region of its own: over one hundred characters of inner markup, to be sure.</p></article><div>\\1</div>') ELSE html END AS h FROM pages""") + " SELECT page_id, r IS NOT NULL AS has_region, gate_failed FROM g",
     "raw_titles": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'Part ' || doc_id END AS title FROM documents",
-    "inline_limit": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 496 ELSE length(text) END::INTEGER AS n_content, length(text)::INTEGER AS content_size, length(text) > 500 AS truncated FROM documents",
-    "size_labels": "WITH s AS (SELECT doc_id, strlen(text) * 100 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 10240 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1048576 THEN printf('%.0f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS label FROM s",
-    "html_tables": "SELECT page_id, '## T' || page_id || chr(10) || chr(10) || 'a **b** _c_ `d`' || chr(10) || chr(10) || '- x' || chr(10) || '- y' || chr(10) || chr(10) || '```py' || chr(10) || 'z = 1' || chr(10) || '```' || chr(10) || chr(10) || '[l](/u)' || chr(10) || '&lt;' AS markdown FROM pages",
+    "inline_limit": """WITH b AS (SELECT doc_id, regexp_replace(text, '[\\[\\]`~]', '', 'g') AS b FROM documents),
+        t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN rpad(b, 470, 'x') || '[label that goes on](https://e.org/' || b WHEN 1 THEN '```' || chr(10) || b ELSE b END AS t FROM b),
+        m AS (SELECT *, chr(10) || chr(10) || '...[truncated]' AS m FROM t)
+        SELECT doc_id, CASE WHEN length(t) <= 500 THEN t WHEN doc_id % 4 = 0 THEN left(t, 470) || m WHEN doc_id % 4 = 1 THEN left(t, 479) || chr(10) || '```' || chr(10) || m ELSE left(t, 484) || m END AS content,
+          length(t)::INTEGER AS content_size, length(t) > 500 AS truncated FROM m""",
+    "size_labels": "WITH s AS (SELECT doc_id, strlen(text) * 100 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 10240 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) WHEN n < 1048576 THEN floor(n / 1024.0 + 0.5)::BIGINT || ' KB' ELSE printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) END AS label FROM s",
+    "html_tables": "SELECT page_id, trim(regexp_replace(trim(regexp_replace(" + _VISIBLE + ", '\\s+', ' ', 'g')), '[^\\p{L}\\p{N} ]+', '', 'g')) || chr(10) || chr(10) || '" + FRAGMENT_MARKDOWN.replace("\n", "' || chr(10) || '") + "' AS markdown FROM pages",
+    "tidied_lines": "SELECT doc_id, '# Title' || chr(10) || chr(10) || 'see `a.b` x [`c](d) [e](f) g' || chr(10) || 'w ' || regexp_replace(text, '[^\\p{L}\\p{N} ]+', ' ', 'g') || 'w' || chr(10) || chr(10) || '- item' || chr(10) || 't - u [v]' || chr(10) || chr(10) || 'a: \"x\"' || chr(10) || chr(10) || 'b: \"y\"' || chr(10) || '| \\<b\\> | c |' AS markdown FROM documents",
+    "help_section": "SELECT doc_id, '# Usage notes' || chr(10) || replace(text, '#', '') AS part FROM documents",
+    "decoded_pages": "SELECT page_id, CASE WHEN page_id % 5 < 3 THEN html END AS html, CASE page_id % 5 WHEN 3 THEN 'binary_content' WHEN 4 THEN 'unsupported_type' END AS body_error FROM pages",
+    "limited_report": "SELECT page_id, true AS fits, true AS marked FROM pages",
 }

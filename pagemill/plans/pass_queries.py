@@ -10,7 +10,7 @@ from pagemill.sources.tables import table
 
 KEY = b"page cursor key"
 
-# One fragment for each pass: markup with the page's number, and what is left of it.
+# One fragment for each pass: markup with the page's number, and what is left of it. It stands in the page's own markup, at the end of the article.
 _CASES = {
     "noscript_images": ("a<noscript><img src='#.png'></noscript>b", "a<img src='#.png'>b"),
     "lazy_images": ("<img class=x data-src='#.png'>", "<img class=x src='#.png'>"),
@@ -24,18 +24,28 @@ _CASES = {
     "badges": ("<span>a</span><span>#</span>", "<span>a</span> <span>#</span>"),
     "alerts": ("<div class=\"alert alert-warning\">w#</div>", "<blockquote>[!WARNING]<br>w#</blockquote>"),
     "code_lines": ("<span class=\"line\">a#</span><span class=\"line\">b</span>", "<span class=\"line\">a#</span>\n<span class=\"line\">b</span>"),
-    "table_cells": ("<td>a<br>#</td>", "<td>a #</td>"),
+    "table_cells": ("<table><thead><tr><td>h</td></tr></thead><tr><td>a<br>b<br/>c<br>d<br>e|#</td></tr></table>", "<table><thead><tr><th>h</th></tr></thead><tr><td>a b c d e\\|#</td></tr></table>"),
     "definition_lists": ("<dt>t</dt><dd>#</dd>", "<p><b>t</b></p><p>: #</p>"),
-    "toc_removed": ("# A\n\n## Contents\n\n- [x](#x)\n- [y](#y)\n\ntext #", "# A\n\ntext #"),
+    "toc_removed": ("# A\n\n## Contents\n\n" + "- [x](#x)\n- [y](#y)\n" * 10 + "\ntext #", "# A\n\ntext #"),
     "orphans_promoted": ("intro\n\nGetting Started\n\ntext #", "intro\n\n## Getting Started\n\ntext #"),
-    "inline_code_trimmed": ("see` a. b `#", "see `a.b`#"),
+    "code_editors": ("<pre aria-hidden=\"true\"><span>x</span></pre><textarea>x#</textarea>", "<pre><code>x#</code></pre>"),
 }
 
 
+_MARK = "\x01"
+
+
+def _dressed(name: str, side: int) -> str:
+    """The fragment with its own number signs out of the way of the page's number."""
+    text = _CASES[name][side]
+    return text.replace("(#x", "(" + _MARK + "x").replace("(#y", "(" + _MARK + "y").replace('"#t', '"' + _MARK + "t").replace("## ", _MARK * 2 + " ").replace("# A", _MARK + " A")
+
+
 def _fragment(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     number = F.col("page_id").cast("string")
-    before = F.replace(F.replace(F.lit(_CASES[name][0].replace("(#", "(\x01").replace('"#t', '"\x01t').replace("## ", "\x01\x01 ").replace("# A", "\x01 A")), F.lit("#"), number), F.lit("\x01"), F.lit("#"))
-    return table(spark, sf_dir, "pages").select("page_id", getattr(P, name)(before).alias("html"))
+    before = F.replace(F.replace(F.lit(_dressed(name, 0)), F.lit("#"), number), F.lit(_MARK), F.lit("#"))
+    whole = F.replace(F.col("html"), F.lit("</article>"), F.concat(F.lit("\n\n"), before, F.lit("\n</article>")))
+    return table(spark, sf_dir, "pages").select("page_id", getattr(P, name)(whole).alias("html"))
 
 
 def _case(name: str):
@@ -83,16 +93,19 @@ def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = F.expr("CASE page_id % 4 WHEN 0 THEN '/img/blank.gif' WHEN 1 THEN 'data:image/png;base64,xx' WHEN 2 THEN concat('/img/', CAST(page_id AS STRING), '.png') END")
-    return table(spark, sf_dir, "pages").select("page_id", P.placeholder_source(src).alias("placeholder"))
+    """Image sources: placeholders, proxied ones and where these are on the page's own host."""
+    src = F.expr("CASE page_id % 5 WHEN 0 THEN '/img/blank.gif' WHEN 1 THEN 'data:image/png;base64,xx' WHEN 2 THEN concat('/img/', CAST(page_id AS STRING), '.png') WHEN 3 THEN concat('https://i1.wp.com/cdn.org/a/', CAST(page_id AS STRING), '.png?w=1') END")
+    rows = table(spark, sf_dir, "pages").select("page_id", src.alias("s"), U.host(F.col("url")).alias("h"))
+    return rows.select("page_id", P.placeholder_source(F.col("s")).alias("placeholder"), P.proxied(F.col("s")).alias("proxied"), P.unproxied(F.col("s"), F.col("h")).alias("src"), P.host_like(F.col("h")).alias("host_like"), P.kept_address(F.coalesce("s", F.lit("#top"))).alias("kept"))
 
 
 QUERIES = {f"pass_{n}": _case(n) for n in _CASES} | {f.__name__: f for f in (redirects, alias_policy, page_payloads, log_fields, cursors, image_sources)}
 
 
 def _expected(name: str) -> str:
-    text = _CASES[name][1].replace("'", "''").replace("## ", "\x01\x01 ").replace("# A", "\x01 A")
-    return "SELECT page_id, " + "replace(replace('" + text.replace("\n", "' || chr(10) || '") + "', '#', page_id::VARCHAR), chr(1), '#') AS html FROM pages"
+    text = _dressed(name, 1).replace("'", "''")
+    new = "replace(replace('" + text.replace("\n", "' || chr(10) || '") + "', '#', page_id::VARCHAR), chr(1), '#')"
+    return f"SELECT page_id, replace(html, '</article>', chr(10) || chr(10) || {new} || chr(10) || '</article>') AS html FROM pages"
 
 
 SQL = {f"pass_{n}": _expected(n) for n in _CASES} | {
@@ -106,5 +119,6 @@ SQL = {f"pass_{n}": _expected(n) for n in _CASES} | {
     "page_payloads": "SELECT page_id, unnest(['a' || chr(10) || 'b é' || page_id, 'x\"y']) AS payload FROM pages",
     "log_fields": "SELECT event_id, 'user,kind' AS keys FROM events",
     "cursors": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_id::VARCHAR END AS anchor FROM events",
-    "image_sources": "SELECT page_id, page_id % 4 <> 2 AS placeholder FROM pages",
+    "image_sources": """SELECT page_id, page_id % 5 NOT IN (2, 3) AS placeholder, page_id % 5 = 3 AS proxied, CASE page_id % 5 WHEN 0 THEN '/img/blank.gif' WHEN 1 THEN 'data:image/png;base64,xx' WHEN 2 THEN '/img/' || page_id || '.png'
+        WHEN 3 THEN 'https://' || regexp_extract(url, '^https?://([^/?#:]+)', 1) || '/a/' || page_id || '.png' END AS src, true AS host_like, page_id % 5 IN (1, 4) AS kept FROM pages""",
 }

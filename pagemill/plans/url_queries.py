@@ -118,13 +118,27 @@ def byte_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dangling_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages cut at 300 characters, without half tags and entities at the end."""
-    return table(spark, sf_dir, "pages").select("page_id", E.without_dangling_tag(F.substring("html", 1, 300)).alias("html"))
+    """Whole pages cut in the middle of what follows them, without the half tag or entity at the end."""
+    tail = F.expr("CASE page_id % 3 WHEN 0 THEN '<a href=' WHEN 1 THEN 'x &am' ELSE '<p>done' END")
+    return table(spark, sf_dir, "pages").select("page_id", E.without_dangling_tag(F.concat(F.col("html"), tail)).alias("html"))
 
 
 def binary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("�"), 300), F.substring("text", 1, 1000))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", E.looks_binary(text).alias("binary"), E.utf16_length(F.col("text")).alias("utf16_length"))
+    """Whole texts, a third of them with many lost characters in front and a third with a zero character at the end."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("�"), 300), F.col("text"))).when(F.col("doc_id") % 3 == 1, F.concat(F.col("text"), F.lit("\x00"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", E.looks_binary(text).alias("binary"), E.utf16_length(text).alias("utf16_length"))
+
+
+def request_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address that is fetched: normalized, rewritten and normalized again."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(_RAW_INPUT).alias("u"))
+    return rows.select("page_id", U.request_target(F.col("u")).alias("t")).select("page_id", "t.url", "t.transformed", "t.error")
+
+
+def v6_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocked IPv6 addresses, written with zones, brackets and capitals."""
+    ip = F.expr("CASE event_id % 5 WHEN 0 THEN concat('fe80::', CAST(event_id AS STRING), '%eth0') WHEN 1 THEN '2606:4700::1111' WHEN 2 THEN concat('[FD00::', CAST(event_id % 1000 AS STRING), ']') WHEN 3 THEN '::1' ELSE concat('2a00:1450::', CAST(event_id % 1000 AS STRING)) END")
+    return table(spark, sf_dir, "events").select("event_id", U.blocked_v6(ip).alias("blocked"))
 
 
 _STATUS = "CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 504 WHEN 2 THEN 415 WHEN 3 THEN 404 WHEN 4 THEN 200 ELSE 503 END"
@@ -140,6 +154,15 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_category(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def error_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures as public JSON: messages by kind, and of the details only those that may be shown."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in X.MESSAGES]), (F.col("event_id") % len(X.MESSAGES) + 1).cast("int"))
+    text = X.message(kind, F.concat(F.lit("h"), F.col("user_id").cast("string")))
+    reason, retry = F.when(F.col("event_id") % 2 == 0, "timeout").otherwise("private detail"), F.when(F.col("event_id") % 3 == 0, 60)
+    body = X.payload(text, F.lit("https://e.org/"), F.lit("network"), F.lit(503), retry, F.lit(-1), reason)
+    return table(spark, sf_dir, "events").select("event_id", body.alias("payload"))
+
+
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.expr("CASE event_id % 4 WHEN 0 THEN CAST(event_id % 100 AS STRING) WHEN 1 THEN 'Wed, 31 Jan 2024 00:00:00 GMT' WHEN 2 THEN 'soon' END")
     return table(spark, sf_dir, "events").select("event_id", X.retry_after(header, F.col("ts").cast("timestamp")).alias("seconds"))
@@ -158,7 +181,7 @@ def issue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.issue_text(issues).alias("message"))
 
 
-QUERIES = {f.__name__: f for f in (url_parts, host_counts, url_redact, url_rewrite, url_raw_text, url_display, url_normalize, host_header, ip_block, ip_networks, target_policy, header_charset, body_encoding, byte_cut, dangling_tag, binary_text, error_category, error_counts, retry_after, owner_keys, issue_text)}
+QUERIES = {f.__name__: f for f in (url_parts, host_counts, url_redact, url_rewrite, url_raw_text, url_display, url_normalize, host_header, ip_block, ip_networks, target_policy, header_charset, body_encoding, byte_cut, dangling_tag, binary_text, error_category, error_counts, error_payloads, request_targets, v6_block, retry_after, owner_keys, issue_text)}
 
 _P = r"'^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$'"
 _DUCK_RAW = _RAW_INPUT.replace("STRING", "VARCHAR")
@@ -200,8 +223,8 @@ SQL = {
           ELSE coalesce(nullif(lower(regexp_extract(left(html, 8000), 'charset\\s*=\\s*["'']?([^\\s"''/>;]+)', 1, 'i')), ''), 'utf-8') END AS encoding,
           page_id % 5 = 2 AS is_binary, (strlen(html) + CASE page_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 0 END)::INTEGER AS n_bytes FROM pages""",
     "byte_cut": "SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN strlen(text) WHEN hex(encode(text)[1001:1001]) BETWEEN '80' AND 'BF' THEN 999 ELSE 1000 END::INTEGER AS n_bytes, strlen(text) > 1000 AS truncated FROM documents",
-    "dangling_tag": "SELECT page_id, regexp_replace(regexp_replace(left(html, 300), '&[#A-Za-z0-9]{0,9}$', ''), '<[A-Za-z/!][^<>]*$', '') AS html FROM pages",
-    "binary_text": "SELECT doc_id, doc_id % 3 = 0 AS binary, length(text)::INTEGER AS utf16_length FROM documents",
+    "dangling_tag": "SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'x ' ELSE '<p>done' END AS html FROM pages",
+    "binary_text": "SELECT doc_id, doc_id % 3 < 2 AS binary, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) + CASE doc_id % 3 WHEN 0 THEN 300 WHEN 1 THEN 1 ELSE 0 END)::INTEGER AS utf16_length FROM documents",
     "error_category": f"""WITH i AS (SELECT event_id, {_STATUS} AS s, {_KIND} AS k FROM events)
         SELECT event_id, CASE WHEN k = 'invalid-url' THEN 'validation' WHEN k = 'abort' THEN 'aborted' WHEN k = 'dns' THEN 'network' WHEN s = 429 THEN 'rate_limited' WHEN s = 504 THEN 'timeout'
           WHEN s = 415 THEN 'binary_content' WHEN s >= 400 THEN 'upstream_http' WHEN k IS NOT NULL THEN 'internal' END AS category, CASE WHEN s >= 400 THEN 'HTTP_' || s END AS code FROM i""",
@@ -209,4 +232,10 @@ SQL = {
     "owner_keys": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN sha256(user_id::VARCHAR) WHEN 1 THEN sha256(user_id::VARCHAR || ':tok') ELSE 'default' END AS owner_key FROM events",
     "issue_text": "SELECT event_id, event_type || '; url: required' AS message FROM events",
 }
+SQL["request_targets"] = f"""WITH r AS ({SQL['url_rewrite']}), i AS (SELECT page_id, {_DUCK_RAW} AS u FROM pages)
+    SELECT page_id, CASE WHEN page_id % 7 = 6 THEN regexp_replace(r.url, '^(https?://[^/?#]*)([?#]|$)', '\\1/\\2') ELSE r.url END AS url, transformed, NULL::VARCHAR AS error FROM r JOIN i USING (page_id)"""
+SQL["v6_block"] = "SELECT event_id, event_id % 5 IN (0, 2, 3) AS blocked FROM events"
+SQL["error_payloads"] = "WITH m AS (SELECT event_id, user_id, CASE event_id % 11 " + " ".join("WHEN %d THEN %s" % (i, "'" + t.replace("%s", "h' || user_id || '") + "'") for i, t in enumerate(X.MESSAGES.values())) + """ END AS m FROM events),
+    d AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN '"retryAfter":60' END AS a, CASE WHEN event_id % 2 = 0 THEN '"reason":"timeout"' END AS b FROM m)
+    SELECT event_id, '{"error":"' || m || '","url":"https://e.org/","category":"network","code":"HTTP_503","statusCode":503' || CASE WHEN a IS NULL AND b IS NULL THEN '' ELSE ',"details":{' || concat_ws(',', a, b) || '}' END || '}' AS payload FROM d"""
 SQL["error_counts"] = f"SELECT category, count(*) AS n FROM ({SQL['error_category']}) GROUP BY category"

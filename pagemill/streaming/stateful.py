@@ -14,9 +14,11 @@ WATERMARK = "31 days"
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A folder of its own under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset, in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pagemill-stream/{name}-{uuid.uuid4().hex}"
@@ -26,7 +28,7 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The event files under ``path`` as a stream with event time ``at``."""
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)  # the source lists a folder; the table may be one file or a folder of its own
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name[0]}[{name[1]}]{name[2:]}")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name[0]}[{name[1]}]{name[2:]}")
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", WATERMARK)
 
 
@@ -34,13 +36,21 @@ def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """The rows that the stream has written when all available input is worked."""
     spark, folder = stream.sparkSession, _folder(stream.sparkSession, name)
     out = f"{folder}/out"
-    if mode == "complete":  # a file sink has no complete mode: each batch replaces the last
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    batches: list[int] = []
+    if mode == "complete":  # a file sink has no complete mode: each batch has a folder of its own, and the last one is the result
+
+        def keep(df: DataFrame, number: int) -> None:
+            df.write.mode("overwrite").parquet(f"{out}/{number}")
+            batches.append(number)
+
+        writer = stream.writeStream.outputMode(mode).foreachBatch(keep)
     else:
         writer = stream.writeStream.outputMode(mode).format("parquet").option("path", out)
     query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "complete" and not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/{max(batches)}" if batches else out)
 
 
 def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +67,7 @@ def rate_limit_stream(spark: SparkSession, path: str, limit: int = 100, window_m
             state.remove()
             return
         end, count = state.get if state.exists else (-1, 0)
+        # one file of events a batch bounds what a key can have here; rows come unordered
         rows = pd.concat(list(frames)).sort_values(["ms", "event_id"], ignore_index=True)
         out = []
         for now, event in zip(rows["ms"].tolist(), rows["event_id"].tolist()):

@@ -15,7 +15,7 @@ def spark():
     folder = tempfile.mkdtemp(prefix="spark-")
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "3g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"{folder}/checkpoint").config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "1m").config("spark.sql.files.openCostInBytes", "64k").config("spark.checkpoint.dir", f"{folder}/checkpoint").config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

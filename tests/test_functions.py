@@ -1,10 +1,11 @@
 """Column functions on inline cases, nulls and malformed input included."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions import encoding as E, errors as X, html as H, markdown as M, metadata as D, urls as U
+from pagemill.functions import encoding as E, errors as X, html as H, markdown as M, metadata as D, passes as P, urls as U
 from pagemill.operators import state as S
-from pagemill.plans.page_queries import render
+from pagemill.plans.page_queries import decoded, render
 
 
 def column(spark, values, function, kind="string"):
@@ -73,7 +74,94 @@ def test_markdown(spark):
 def test_render_keeps_rows(spark):
     rows = [(1, "https://e.org/", "<html><body><h1>T</h1><script>x</script><p>y</p></body></html>"), (2, None, None), (3, "https://e.org/", ""), (4, "https://e.org/", "<div><p>unclosed <b>x" * 50), (5, "https://e.org/", "a\x00b")]
     got = {r["page_id"]: r for r in render(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(got) == 5 and got[1]["markdown"] == "# T\n\ny" and got[5]["error"] == "binary_content"
+    assert len(got) == 5 and got[1]["markdown"] == "# T\n\ny\n\n---\n\n _T_ | [_Original Source_](https://e.org/) | _01/31/2024_" and got[5]["error"] == "binary_content"
+    assert got[1]["content_size"] == len(got[1]["markdown"])
+
+
+def test_render_of_raw_and_article_pages(spark):
+    long = "Some words of a sentence that is long enough. " * 5
+    article = f"<article><h1>T</h1><p>{long}</p><a href='../u'>l</a><ul><li>x<ul><li>y</li></ul></li></ul><table><tr><td>A</td><td>B</td></tr><tr><td>1</td><td>2</td></tr></table></article>"
+    rows = [
+        (1, "https://github.com/o/r/blob/main/a.md", "# Head\n[l](b.md)\n"), (2, "https://e.org/a/b/c", f"<html><head><title>T</title><meta name=author content=A></head><body><nav><a href=/>n</a></nav>{article}</body></html>"),
+        (3, "https://e.org/x", "---\ntitle: Y\n---\ntext"), (4, "ftp://e.org/", "<p>x</p>"),
+    ]
+    got = {r["page_id"]: r for r in render(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["resolved_url"] == "https://raw.githubusercontent.com/o/r/main/a.md" and got[1]["source_kind"] == "raw" and got[1]["title"] == "Head"
+    assert got[1]["markdown"] == "# Head\n\nSource: https://raw.githubusercontent.com/o/r/main/a.md\n[l](https://raw.githubusercontent.com/o/r/main/b.md)\n"
+    assert (got[2]["source_kind"], got[2]["title"]) == ("article", "T") and got[3]["title"] == "Y"
+    assert got[2]["markdown"] == f"# T\n\n{long.strip()}\n\n[l](https://e.org/a/u)\n\n- x\n    - y\n\n| A | B |\n| --- | --- |\n| 1 | 2 |\n\n---\n\n _T_ | _A_ | [_Original Source_](https://e.org/a/b/c) | _01/31/2024_"
+    assert got[4]["error"] == "unsupported-protocol"
+    cut = {r["page_id"]: r for r in render(spark.createDataFrame(rows, "page_id long, url string, html string"), inline_limit=60).collect()}
+    assert cut[2]["truncated"] and len(cut[2]["markdown"]) <= 60 and cut[2]["markdown"].endswith("...[truncated]") and not cut[3]["truncated"]
+
+
+def test_regions_and_headings(spark):
+    fill = "x" * 120
+    nested = f"<div class='page content'><div>{fill}</div><div>in</div></div><div>out</div>"
+    pages = [f"<main><main>{fill}</main>tail</main>after", nested, f"<article>short</article><div id=content>{fill}</div>", "<p>none</p>", None]
+    assert column(spark, pages, H.content_region) == [f"<main>{fill}</main>tail", f"<div>{fill}</div><div>in</div>", fill, None, None]
+    heads = ["<h1> A <b>b</b></h1>", "<p data-title='true'>Marked</p><h1>A</h1>", "<h2>no</h2>", "<h2>no</h2><main><h2>Yes</h2></main>", None]
+    assert column(spark, heads, H.primary_heading) == ["A b", "Marked", None, "Yes", None]
+
+
+def test_line_clean_up(spark):
+    cases = {
+        "# A [#](#a)": "# A", "##  B  ": "## B", "a.B [x](y)z": "a. B [x](y) z", "[x](y)[z](w)": "[x](y) [z](w)", "see` a. b `x": "see `a.b` x", "``a`b``c": "``a`b``c",
+        "- \\|": "", "t\n- i": "t\n\n- i", "# h\nt": "# h\n\nt", "a: \"x\"b: 1": "a: \"x\"\n\nb: 1", "  - n": "    - n", "[\u200b](#x)t": "t", "[a\\<b](u)": "[a\\<b](u)",
+        "[Skip link](#c)": "", "Back to top": "Back to top", "Returns: x": "", "| <b> | c |": "| \\<b\\> | c |", "x\\-y": "x - y",
+    }
+    assert column(spark, list(cases), M.lines_tidied) == list(cases.values())
+    assert column(spark, ["Home\n\n# T\nx", "Edit this page\ntext", "## Contents\n" + "- [a](#a)\n" * 20 + "\nend"], lambda t: M.without_leading_chrome(P.toc_removed(t))) == ["# T\nx", "\ntext", "\nend"[1:]]
+
+
+def test_links_of_markdown(spark):
+    page = F.lit("https://a.org/b/c.html")
+    got = column(spark, ["[x](d) ![i](/e.png) [w](https://z.org/(q)) [f](#f)\n```\n[k](d)\n```", "no links", None], lambda t: M.links_resolved(t, page))
+    assert got == ["[x](https://a.org/b/d) ![i](https://a.org/e.png) [w](https://z.org/(q)) [f](#f)\n```\n[k](d)\n```", "no links", None]
+
+
+def test_empty_section_gate(spark):
+    full, empty = "<h2>a</h2><p>x</p>" * 5, "<h2>a</h2>" * 3 + "<h2>a</h2><p>x</p>" * 3
+    assert column(spark, [full, empty, "<h2>a</h2>", "<h1>t</h1>" + full.replace("<h2>", "<h2 class='sr-only'>")], M.few_empty_sections) == [True, False, True, True]
+    assert column(spark, ["<img src=a><img src='data:x'><img>"], M.real_images) == [2]
+
+
+def test_bytes_to_pages(spark):
+    rows = [(1, "u", b"\xff\xfeh\x00i\x00", None), (2, "u", b"caf\xe9", "text/html; charset=latin1"), (3, "u", b"\x89PNG", None), (4, "u", b"x", "image/png"), (5, "u", None, None)]
+    got = {r["page_id"]: (r["html"], r["body_error"]) for r in decoded(spark.createDataFrame(rows, "page_id long, url string, body binary, content_type string")).collect()}
+    assert got == {1: ("hi", None), 2: ("café", None), 3: (None, "binary_content"), 4: (None, "unsupported_type"), 5: (None, None)}
+
+
+def test_tasks(spark):
+    tasks = spark.createDataFrame([("t1", "o", "working"), ("t2", "o", "failed"), ("t3", "p", "working")], "task_id string, owner string, status string")
+    asked = spark.createDataFrame([(1, "t1", "o"), (2, "t2", "o"), (3, "t3", "o"), (4, None, None)], "request_id int, task_id string, owner string")
+    assert {r["request_id"]: (r["outcome"], r["status"]) for r in S.cancelled(tasks, asked).collect()} == {1: ("cancelled", "cancelled"), 2: ("already failed", "failed"), 3: ("not-found", None), 4: ("not-found", None)}
+
+
+def test_a_busy_key_is_folded_in_batches(spark):
+    rows = spark.range(25_000).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.timestamp_millis(F.col("id") * 500).alias("ts"))
+    got = S.rate_limited(rows, limit=3, window_ms=4_500).groupBy("allowed").count().collect()
+    assert {r["allowed"]: r["count"] for r in got} == {True: 7500, False: 17500}
+
+
+LONG = {
+    "open tags": "<" * 100_000, "open links": '<a href="' * 12_000, "hidden": "<div hidden>" + "x é😀" * 25_000 + "</div>", "nested": "<nav>" * 300 + "y" * 100_000 + "</nav>" * 300,
+    "lists": "<ul><li>" * 60 + "z" * 100_000, "cells": "<table><tr><td>" + "c<br>" * 20_000 + "</td></tr></table>", "code": "<pre>" + "line\n" * 20_000 + "</pre>",
+    "payload": '<script>self.__next_f.push([1,"' + "ab\\n" * 25_000 + '"])</script>', "lines": "Text. More\n\n# H\n- i `c` [l](u)\n" * 3_000, "spaces": "<p>" + " " * 100_000 + "x",
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_markup_takes_linear_time(spark, kind):
+    """One text of 0.1 MB of each kind goes through everything in seconds, without an overflow."""
+    import time
+
+    began = time.perf_counter()
+    functions = (P.flight_payloads, P.prepared, H.cleaned, H.markdown, H.visible_text, H.content_region, H.primary_heading, M.cleaned, lambda t: M.inline_limited(t, 50_000))
+    frame = spark.createDataFrame([(LONG[kind],)], "x string")
+    for f in functions:
+        frame.select(f(F.col("x")).alias("y")).collect()
+    assert time.perf_counter() - began < 90
 
 
 def test_rate_limit(spark):
