@@ -630,24 +630,87 @@ def test_long_word_is_scanned_in_linear_time():
 # Pipeline
 
 
-def test_pipeline(spark, docs, tmp_path, tokenizer):
+def mix_by_hand(rows):
+    """How often each of ``rows`` (doc_id, text, source) is taken, by sorting each source by hash."""
+    size = lambda t: len([x for x in re.split(r"[\x20\x09-\x0d]+", t or "") if x])
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = {x: sum(size(r[1]) for r in rows if r[2] == x) for x in sources}
+    weight = {x: (3, 1, 2)[i % 3] for i, x in enumerate(sources)}
+    capped: set = set()
+    while True:
+        level = (1.5 * sum(sizes.values()) - sum(2 * sizes[x] for x in capped)) / max(1e-9, sum(weight[x] for x in sources if x not in capped))
+        more = {x for x in sources if x not in capped and level * weight[x] > 2 * sizes[x]}
+        if not more:
+            break
+        capped |= more
+    seen, taken = Counter(), [0] * len(rows)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    hashes = []
+    for d, t, _ in rows:
+        hashes.append(int(md5(f"{'' if d is None else d}:{md5(t or '')}:{seen[d, t or '']}")[:15], 16))
+        seen[d, t or ""] += 1
+    for x in sources:
+        target = 2.0 * sizes[x] if x in capped else level * weight[x]
+        base = math.floor(target / sizes[x]) if sizes[x] else 0
+        upto, rest = 0, target - base * sizes[x]
+        for i in sorted((i for i in range(len(rows)) if rows[i][2] == x), key=lambda i: hashes[i]):
+            n = size(rows[i][1])
+            taken[i] = base + (2 * upto + n <= 2 * rest)
+            upto += n
+    return taken
+
+
+def test_pipeline_by_hand(spark, docs, tmp_path, tokenizer):
+    """Every stage by brute force, apart from surrogates: the fixture holds no personal data, and one planted text is left to the stage itself."""
     import corpus_pipeline
+    from pagemill.llm.queries import surrogate_key
 
     source = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    mail = (900, "write to somebody@example.org about the plan " + prose(random.Random(77), 60), "en", "s1", 1)
+    source = source.unionByName(spark.createDataFrame([mail], source.schema))
     source.write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    rows = [tuple(r) for r in source.collect()]
-    report = {}
-    for r in quality.quality_report(docs).collect():
-        report.setdefault(r["doc_id"], r["kept"])
-    kept = [r for r in rows if report[r[0]]]
-    fps = [fingerprint_by_hand(r[1]) for r in kept]
-    least = components(fps, [r[0] for r in kept])
-    single = {r[0]: r for r, c in zip(kept, least) if r[0] == c}
-    mixed = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.mix_report(spark.createDataFrame(list(single.values()), source.schema)).collect()}
+    kept = []
+    for r in (tuple(r) for r in source.collect()):
+        words, chars, symbols, dup, repeated = quality_by_hand(r[1])
+        lines = len([x for x in (r[1] or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)])
+        bad = words < 20 or 100 * repeated > 30 * words or 100 * symbols > 20 * words or not 2 * words <= chars <= 15 * words or (dup >= 3 and 100 * dup > 30 * lines)
+        if not bad:
+            kept.append(r)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[1] or "").lower().split()) else set() for r in kept]
+    label = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    single = [min((kept[i] for i in range(len(kept)) if label[i] == x), key=lambda r: (r[0] is None, r[0] or 0)) for x in sorted(set(label))]
+    found = {x for r in single for _, _, k, v in pii.found(r[1]) for x in pii.parts(k, v)}
+    assert found == {("email", "somebody@example.org"), ("domain", "example.org")}
+    clean = [(d, pii.replaced(t, surrogate_key(spark), {})[0], src) for d, t, _, src, _ in single]
+    assert all(a[1] == b[1] for a, b in zip(single, clean) if a[0] != 900) and not any("somebody@" in t for _, t, _ in clean)
     want = Counter()
-    for d, r in single.items():
-        for _ in range(mixed[d]):
-            n = len(ids_of(tokenizer, pii.replaced(r[1], pipeline_key, again)[0])) + 1
-            want.update((d, n, x) for x in packing.cuts(n))
-    assert Counter((int(d), int(t), int(n)) for d, t, n in got[["doc_id", "doc_tokens", "length"]].itertuples(index=False)) == want
+    for (d, t, _), times in zip(clean, mix_by_hand(clean)):
+        ids, at = np.array([*ids_of(tokenizer, t), 1], "<u4"), 0
+        for n in packing.cuts(len(ids)):
+            want[d, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids)] += times
+            at += n
+    want = +want
+    own = ((None if d != d or d is None else int(d), *map(int, r)) for d, *r in got[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False))
+    assert Counter(own) == want
+    places = got.sort_values(["sequence_id", "offset"])
+    ends = places.groupby("sequence_id")["length"].cumsum()
+    assert (ends - places["length"] == places["offset"]).all() and ends.max() <= 2048
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_equals_sorting(docs):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    size = lambda t: len([x for x in re.split(r"[\x20\x09-\x0d]+", t or "") if x])
+    want = Counter((d, size(t), n * size(t)) for (d, t, _), n in zip(rows, mix_by_hand(rows)))
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_report(docs).collect()) == want
