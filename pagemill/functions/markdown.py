@@ -32,7 +32,7 @@ PERMALINK_SIGNS = ("#", "¶", "§", "¤", "🔗")
 CHROME_SCAN = 12
 
 #: A line falls into code spans, links and images, and what stands between; every alternative is possessive, so a long line is read once.
-PIECES = r"(?<!`)`[^`]++`(?!`)|!?\[[^\[\]]*+\]\((?:[^()]++|\([^()]*+\))*+\)|[^`\[!]++|[`\[!]"
+PIECES = r"(?<!`)`[^`]++`(?!`)|!?\[[^\[\]]*+\]\((?:[^()]++|\([^()]*+\))*+\)|(?:[^`\[!]++|!(?!\[))++|[`\[!]"
 HEADING = r"^#{1,6}\s"
 ITEM = r"^(?:[-*+]|\d+\.)\s"
 
@@ -195,7 +195,7 @@ def links_resolved(text: Column, page: Column) -> Column:
         target = F.substr(p, F.length(head) + 1, F.length(p) - F.length(head) - 1)
         return F.when(p.rlike(r"^!?\[[^\[\]]*+\]\(.*\)$"), F.concat(head, U.resolved(target, page), F.lit(")"))).otherwise(p)
 
-    pieces = r"(?s)!?\[[^\[\]]*+\]\((?:[^()]++|\([^()]*+\))*+\)|[^\[!]++|[\[!]"
+    pieces = r"(?s)!?\[[^\[\]]*+\]\((?:[^()]++|\([^()]*+\))*+\)|(?:[^\[!]++|!(?!\[))++|[\[!]"
     return outside_fences(text, lambda s: F.when(s.contains("]("), F.array_join(F.transform(F.regexp_extract_all(s, F.lit(pieces), F.lit(0)), one), "")).otherwise(s))
 
 

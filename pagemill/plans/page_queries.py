@@ -293,10 +293,29 @@ _GATES = f"""WITH p AS (PAGES),
     a AS (SELECT page_id, b, regexp_extract(b, '(?is)<article[^>]*>(.*?)</article>', 1) AS x FROM c),
     r AS (SELECT page_id, b, CASE WHEN length(trim(x)) > 100 THEN x END AS r FROM a),
     t AS (SELECT *, list_filter(list_transform(string_split(regexp_replace({_ENT("regexp_replace(regexp_replace(r, '(?i)<br[^>]*>|</?(p|div|li|h[1-6]|tr)([ ][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')")}, '\\n\\s+', chr(10), 'g'), chr(10)), lambda y: trim(y)), lambda y: length(y) > 20) AS l FROM r),
-    g AS (SELECT page_id, r, CASE WHEN r IS NULL THEN 'no-region' WHEN {_SEEN('b')} >= 100 AND {_SEEN('r')} < 0.15 * {_SEEN('b')} THEN 'content-ratio' WHEN b LIKE '%<table%' AND r NOT LIKE '%<table%' THEN 'retention'
+    g AS (SELECT page_id, b, r, CASE WHEN r IS NULL THEN 'no-region' WHEN {_SEEN('b')} >= 100 AND {_SEEN('r')} < 0.15 * {_SEEN('b')} THEN 'content-ratio' WHEN b LIKE '%<table%' AND r NOT LIKE '%<table%' THEN 'retention'
             WHEN len(l) >= 3 AND len(list_filter(l, lambda y: NOT regexp_matches(y, '[.!?:;"'')\\]`]$'))) > 0.95 * len(l) THEN 'truncated-sentences' END AS gate_failed FROM t)"""
 
+# The report over pages like those of the tables: a region of headings, paragraphs, links, bold text and breaks.
+_REPORT = "CASE WHEN gate_failed IS NULL THEN r ELSE b END"
+for _pattern, _new in (
+    ("(?is)<h1[^<>]*>\\s*(.*?)</h1\\s*>", "chr(10) || chr(10) || '# \\1' || chr(10) || chr(10)"),
+    ("(?is)<a\\b[^<>]*?\\shref=[\"'']([^\"'']*)[\"''][^<>]*>(.*?)</a\\s*>", "'[\\2](\\1)'"),
+    ("(?is)<b\\b[^<>]*>(.*?)</b\\s*>", "'**\\1**'"), ("(?is)<br\\b[^<>]*>", "chr(10)"), ("(?is)<li\\b[^<>]*>\\s*", "chr(10) || '- '"),
+    ("(?is)</?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|header|figure|details|summary)\\b[^<>]*>", "chr(10) || chr(10)"),
+    ("(?s)<[^<>]*>", "''"), ("[ \\t]+\\n", "chr(10)"), ("\\n[ \\t]+([^\\s])", "chr(10) || '\\1'"), ("\\n{3,}", "chr(10) || chr(10)"),
+):
+    _REPORT = f"regexp_replace({_REPORT}, '{_pattern}', {_new}, 'g')"
+_REPORT = f"regexp_replace(regexp_replace({_ENT(_REPORT)}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_REPORT = _GATES.replace("PAGES", "SELECT page_id, html AS h FROM pages") + f""",
+    m AS (SELECT page_id, gate_failed, {_REPORT} AS m FROM g),
+    i AS (SELECT page_id, gate_failed, regexp_replace(array_to_string(list_transform(string_split(m, chr(10)), lambda y: CASE WHEN regexp_matches(y, '^#{{1,6}}\\s') THEN rtrim(regexp_replace(y, '^(#+)\\s+', '\\1 ')) ELSE y END), chr(10)), '([.!?:;])([A-Z])', '\\1 \\2', 'g') AS m FROM m),
+    f AS (SELECT page_id, url, {_T} AS title, gate_failed, m, regexp_replace(url, '^(https?://[^/?#]*)([?#]|$)', '\\1/\\2') AS resolved_url FROM i JOIN pages USING (page_id)),
+    w AS (SELECT *, CASE WHEN m LIKE '# %' THEN m ELSE '# ' || title || chr(10) || chr(10) || m END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ' _' || title || '_ | [_Original Source_](' || resolved_url || ') | _01/31/2024_' AS markdown FROM f)
+    SELECT page_id, url, resolved_url, title, markdown, '{FETCHED_AT}' AS fetched_at, CASE WHEN gate_failed IS NULL THEN 'article' ELSE 'document' END AS source_kind, gate_failed, NULL::VARCHAR AS error, length(markdown)::INTEGER AS content_size, false AS truncated FROM w"""
+
 SQL = {
+    "page_report": _REPORT,
     "page_title": f"SELECT page_id, {_T} AS title, {_H} AS heading FROM pages",
     "page_metadata": "SELECT page_id, 'Page ' || page_id || ' & more' AS title, 'second' AS description, CASE WHEN page_id % 2 = 0 THEN 'Ann' END AS author, NULL::VARCHAR AS image, regexp_extract(url, '^https?://[^/?#]+') || '/favicon.ico' AS favicon, '2024-01-01' AS published_at, NULL::VARCHAR AS modified_at FROM pages",
     "head_metadata": "SELECT page_id, 'Page ' || page_id || ' & more' AS title, 'second' AS description, CASE WHEN page_id % 2 = 0 THEN 'Ann' END AS author FROM pages",
@@ -326,7 +345,7 @@ SQL = {
     "inline_limit": """WITH b AS (SELECT doc_id, regexp_replace(text, '[\\[\\]`~]', '', 'g') AS b FROM documents),
         t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN rpad(b, 470, 'x') || '[label that goes on](https://e.org/' || b WHEN 1 THEN '```' || chr(10) || b ELSE b END AS t FROM b),
         m AS (SELECT *, chr(10) || chr(10) || '...[truncated]' AS m FROM t)
-        SELECT doc_id, CASE WHEN length(t) <= 500 THEN t WHEN doc_id % 4 = 0 THEN left(t, 470) || m WHEN doc_id % 4 = 1 THEN left(t, 479) || chr(10) || '```' || chr(10) || m ELSE left(t, 484) || m END AS content,
+        SELECT doc_id, CASE WHEN length(t) <= 500 THEN t WHEN doc_id % 4 = 0 THEN left(t, CASE WHEN substr(t, 470, 1) = '!' THEN 469 ELSE 470 END) || m WHEN doc_id % 4 = 1 THEN left(t, 479) || chr(10) || '```' || chr(10) || m ELSE left(t, 484) || m END AS content,
           length(t)::INTEGER AS content_size, length(t) > 500 AS truncated FROM m""",
     "size_labels": "WITH s AS (SELECT doc_id, strlen(text) * 100 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 10240 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) WHEN n < 1048576 THEN floor(n / 1024.0 + 0.5)::BIGINT || ' KB' ELSE printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) END AS label FROM s",
     "html_tables": "SELECT page_id, trim(regexp_replace(trim(regexp_replace(" + _VISIBLE + ", '\\s+', ' ', 'g')), '[^\\p{L}\\p{N} ]+', '', 'g')) || chr(10) || chr(10) || '" + FRAGMENT_MARKDOWN.replace("\n", "' || chr(10) || '") + "' AS markdown FROM pages",
