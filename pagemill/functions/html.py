@@ -48,9 +48,9 @@ def without_elements(html: Column, names) -> Column:
     for name in names:
         if name in NAVIGATION_TAGS:
             for _ in range(4):
-                html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*+>(?:(?!</?{name}\b).)*+</{name}\s*>", "")
+                html = F.regexp_replace(html, rf"(?is)<{name}\b[^<>]*+>(?:(?!</?{name}\b).)*+</{name}\s*>", "")
         else:
-            html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*+>.*?</{name}\s*>", "")
+            html = F.regexp_replace(html, rf"(?is)<{name}\b[^<>]*+>.*?</{name}\s*>", "")
     return html
 
 
@@ -61,14 +61,14 @@ PROMO_TOKENS = ("banner", "promo", "announcement", "cta", "advert", "ads", "spon
 def without_promotion(html: Column) -> Column:
     """Without flat elements whose class or id has a promotion word of its own."""
     words = "|".join(PROMO_TOKENS)
-    return F.regexp_replace(html, rf"(?is)<(div|section|aside|ul|p|span)\b[^>]*\s(?:class|id)=[\"'](?:[^\"']*[^a-z0-9\"'])?(?:{words})(?:[^a-z0-9\"'][^\"']*)?[\"'][^>]*>(?:(?!</?\1\b).)*+</\1\s*>", "")
+    return F.regexp_replace(html, rf"(?is)<(div|section|aside|ul|p|span)\b[^<>]*\s(?:class|id)=[\"'](?:[^\"']*[^a-z0-9\"'])?(?:{words})(?:[^a-z0-9\"'][^\"']*)?[\"'][^<>]*>(?:(?!</?\1\b).)*+</\1\s*>", "")
 
 
 def kept_navigation(html: Column) -> Column:
     """Navigation and footers that hold content, 500 characters or more without many links or a main element, as plain sections."""
 
     def region(x: Column) -> Column:
-        text = F.length(F.btrim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*+>", " "), r"\s+", " ")))
+        text = F.length(F.btrim(F.regexp_replace(F.regexp_replace(x, r"<[^<>]*+>", " "), r"\s+", " ")))
         links = F.regexp_count(x, F.lit(r"(?i)<a\b"))
         dense = (links >= 10) & (links * 100 >= 0.5 * text * 1.0)
         keep = x.rlike(r"(?i)<(?:article|main|section)\b") | ((text >= 500) & ~dense)
@@ -78,15 +78,15 @@ def kept_navigation(html: Column) -> Column:
         kept = region(x)
         return F.when(kept == x, x).otherwise(F.concat(F.lit("<div"), kept, F.lit("</div>")))
 
-    pattern = r"(?is)<(nav|footer)\b[^>]*+>(?:(?!</?\1\b).)*+</\1\s*>"
+    pattern = r"(?is)<(nav|footer)\b[^<>]*+>(?:(?!</?\1\b).)*+</\1\s*>"
     return once(html, lambda h: F.when(h.rlike(r"(?i)<(?:nav|footer)\b"), passes.each(h, pattern, renamed)).otherwise(h))
 
 
 def without_hidden(html: Column) -> Column:
     """Without flat elements that are hidden by attribute or style, unless they are interactive widgets."""
     mark = r"(?:\shidden(?=[\s>=])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))"
-    widget = r"(?![^>]*\srole=[\"']?(?:tabpanel|dialog|menu|listbox|tree|grid|combobox)\b)"
-    return F.regexp_replace(html, rf"(?is)<(div|span|p|section|ul|li|a)\b{widget}[^>]*{mark}[^>]*>(?:(?!</?\1\b).)*+</\1\s*>", "")
+    widget = r"(?![^<>]*\srole=[\"']?(?:tabpanel|dialog|menu|listbox|tree|grid|combobox)\b)"
+    return F.regexp_replace(html, rf"(?is)<(div|span|p|section|ul|li|a)\b{widget}[^<>]*{mark}[^<>]*>(?:(?!</?\1\b).)*+</\1\s*>", "")
 
 
 def may_have_noise(html: Column) -> Column:
@@ -172,324 +172,6 @@ def _up_to_own_end(pieces: Column, name: Column) -> Column:
     return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), "")
 
 
-# Where a page's content may be, in order, as tag and attribute; and what else may hold its heading.
-REGIONS = (
-    ("article", ""), ("main", ""), ("", "role=main"), ("", "id=content"), ("", "id=main-content"), ("", "class=content"), ("", "class=main-content"),
-    ("", "class=post-content"), ("", "class=article-content"), ("", "class=entry-content"), ("", "itemprop=articleBody"), ("", "data-content"),
-    ("", "class=post-body"), ("", "class=article-body"),
-)
-HEADING_REGIONS = (("", "class=markdown-body"), ("", "itemprop=text"))
-LEAST_REGION = 100
-
-
-def _region_start(tag: str, attribute_: str) -> str:
-    """A start tag of the region as a pattern, its name as group 1."""
-    if tag:
-        return rf"(?is)<({tag})\b[^>]*+>"
-    name, _, value = attribute_.partition("=")
-    if not value:
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}(?=[\s>=])[^>]*>"
-    if name == "class":
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{value}(?:\s[^\"']*)?[\"']|{value}(?=[\s>]))[^>]*>"
-    return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}\s*=\s*[\"']?{value}[\"']?(?=[\s>])[^>]*>"
-
-
-def inner_html(html: Column, start: str) -> Column:
-    """What the first element with this start tag holds, up to the end tag at its own depth; null without one.
-
-    Depth is the count of start tags less that of end tags of its name in the pieces before each end tag.
-    """
-
-    def inside(rest: Column, name: Column) -> Column:
-        # pieces end before an end tag of the name; the element ends at the first piece before which as many have ended as begun
-        pieces = F.split(rest, r"(?i)(?=</(?:article|main|div|section)\s*>)")
-        return once(F.struct(pieces.alias("p"), name.alias("n")), lambda v: _up_to_own_end(v["p"], v["n"]))
-
-    at = F.regexp_instr(html, F.lit(start))
-    tag, name = F.regexp_extract(html, start, 0), F.lower(F.regexp_extract(html, start, 1))
-    return F.when(at > 0, once(F.struct(F.substr(html, at + F.length(tag)).alias("rest"), name.alias("name")), lambda v: inside(v["rest"], v["name"])))
-
-
-def _up_to_own_end(pieces: Column, name: Column) -> Column:
-    """The pieces before the end tag that closes an element of ``name`` opened before the first piece."""
-
-    def step(acc: Column, x: Column) -> Column:
-        ends = F.lower(F.substring(x, 1, 12)).startswith(F.concat(F.lit("</"), name))
-        depth = acc["depth"] - ends.cast("int")
-        begins = F.size(F.split(F.lower(x), F.concat(F.lit("<"), name, F.lit("(?![a-z0-9-])")))) - 1
-        done = acc["done"] | (depth == 0)
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), (depth + begins).alias("depth"), done.alias("done"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"), F.lit(False).alias("done"))
-    n = F.aggregate(pieces, start, step, lambda acc: acc["n"])
-    return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), "")
-
-
-# Where a page's content may be, in order, as tag and attribute; and what else may hold its heading.
-REGIONS = (
-    ("article", ""), ("main", ""), ("", "role=main"), ("", "id=content"), ("", "id=main-content"), ("", "class=content"), ("", "class=main-content"),
-    ("", "class=post-content"), ("", "class=article-content"), ("", "class=entry-content"), ("", "itemprop=articleBody"), ("", "data-content"),
-    ("", "class=post-body"), ("", "class=article-body"),
-)
-HEADING_REGIONS = (("", "class=markdown-body"), ("", "itemprop=text"))
-LEAST_REGION = 100
-
-
-def _region_start(tag: str, attribute_: str) -> str:
-    """A start tag of the region as a pattern, its name as group 1."""
-    if tag:
-        return rf"(?is)<({tag})\b[^>]*+>"
-    name, _, value = attribute_.partition("=")
-    if not value:
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}(?=[\s>=])[^>]*>"
-    if name == "class":
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{value}(?:\s[^\"']*)?[\"']|{value}(?=[\s>]))[^>]*>"
-    return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}\s*=\s*[\"']?{value}[\"']?(?=[\s>])[^>]*>"
-
-
-def inner_html(html: Column, start: str) -> Column:
-    """What the first element with this start tag holds, up to the end tag at its own depth; null without one.
-
-    Depth is the count of start tags less that of end tags of its name in the pieces before each end tag.
-    """
-
-    def inside(rest: Column, name: Column) -> Column:
-        # pieces end before an end tag of the name; the element ends at the first piece before which as many have ended as begun
-        pieces = F.split(rest, r"(?i)(?=</(?:article|main|div|section)\s*>)")
-        return once(F.struct(pieces.alias("p"), name.alias("n")), lambda v: _up_to_own_end(v["p"], v["n"]))
-
-    at = F.regexp_instr(html, F.lit(start))
-    tag, name = F.regexp_extract(html, start, 0), F.lower(F.regexp_extract(html, start, 1))
-    return F.when(at > 0, once(F.struct(F.substr(html, at + F.length(tag)).alias("rest"), name.alias("name")), lambda v: inside(v["rest"], v["name"])))
-
-
-def _up_to_own_end(pieces: Column, name: Column) -> Column:
-    """The pieces before the end tag that closes an element of ``name`` opened before the first piece."""
-
-    def step(acc: Column, x: Column) -> Column:
-        ends = F.lower(F.substring(x, 1, 12)).startswith(F.concat(F.lit("</"), name))
-        depth = acc["depth"] - ends.cast("int")
-        begins = F.size(F.split(F.lower(x), F.concat(F.lit("<"), name, F.lit("(?![a-z0-9-])")))) - 1
-        done = acc["done"] | (depth == 0)
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), (depth + begins).alias("depth"), done.alias("done"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"), F.lit(False).alias("done"))
-    n = F.aggregate(pieces, start, step, lambda acc: acc["n"])
-    return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), "")
-
-
-# Where a page's content may be, in order, as tag and attribute; and what else may hold its heading.
-REGIONS = (
-    ("article", ""), ("main", ""), ("", "role=main"), ("", "id=content"), ("", "id=main-content"), ("", "class=content"), ("", "class=main-content"),
-    ("", "class=post-content"), ("", "class=article-content"), ("", "class=entry-content"), ("", "itemprop=articleBody"), ("", "data-content"),
-    ("", "class=post-body"), ("", "class=article-body"),
-)
-HEADING_REGIONS = (("", "class=markdown-body"), ("", "itemprop=text"))
-LEAST_REGION = 100
-
-
-def _region_start(tag: str, attribute_: str) -> str:
-    """A start tag of the region as a pattern, its name as group 1."""
-    if tag:
-        return rf"(?is)<({tag})\b[^>]*+>"
-    name, _, value = attribute_.partition("=")
-    if not value:
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}(?=[\s>=])[^>]*>"
-    if name == "class":
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{value}(?:\s[^\"']*)?[\"']|{value}(?=[\s>]))[^>]*>"
-    return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}\s*=\s*[\"']?{value}[\"']?(?=[\s>])[^>]*>"
-
-
-def inner_html(html: Column, start: str) -> Column:
-    """What the first element with this start tag holds, up to the end tag at its own depth; null without one.
-
-    Depth is the count of start tags less that of end tags of its name in the pieces before each end tag.
-    """
-
-    def inside(rest: Column, name: Column) -> Column:
-        # pieces end before an end tag of the name; the element ends at the first piece before which as many have ended as begun
-        pieces = F.split(rest, r"(?i)(?=</(?:article|main|div|section)\s*>)")
-        return once(F.struct(pieces.alias("p"), name.alias("n")), lambda v: _up_to_own_end(v["p"], v["n"]))
-
-    at = F.regexp_instr(html, F.lit(start))
-    tag, name = F.regexp_extract(html, start, 0), F.lower(F.regexp_extract(html, start, 1))
-    return F.when(at > 0, once(F.struct(F.substr(html, at + F.length(tag)).alias("rest"), name.alias("name")), lambda v: inside(v["rest"], v["name"])))
-
-
-def _up_to_own_end(pieces: Column, name: Column) -> Column:
-    """The pieces before the end tag that closes an element of ``name`` opened before the first piece."""
-
-    def step(acc: Column, x: Column) -> Column:
-        ends = F.lower(F.substring(x, 1, 12)).startswith(F.concat(F.lit("</"), name))
-        depth = acc["depth"] - ends.cast("int")
-        begins = F.size(F.split(F.lower(x), F.concat(F.lit("<"), name, F.lit("(?![a-z0-9-])")))) - 1
-        done = acc["done"] | (depth == 0)
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), (depth + begins).alias("depth"), done.alias("done"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"), F.lit(False).alias("done"))
-    n = F.aggregate(pieces, start, step, lambda acc: acc["n"])
-    return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), "")
-
-
-# Where a page's content may be, in order, as tag and attribute; and what else may hold its heading.
-REGIONS = (
-    ("article", ""), ("main", ""), ("", "role=main"), ("", "id=content"), ("", "id=main-content"), ("", "class=content"), ("", "class=main-content"),
-    ("", "class=post-content"), ("", "class=article-content"), ("", "class=entry-content"), ("", "itemprop=articleBody"), ("", "data-content"),
-    ("", "class=post-body"), ("", "class=article-body"),
-)
-HEADING_REGIONS = (("", "class=markdown-body"), ("", "itemprop=text"))
-LEAST_REGION = 100
-
-
-def _region_start(tag: str, attribute_: str) -> str:
-    """A start tag of the region as a pattern, its name as group 1."""
-    if tag:
-        return rf"(?is)<({tag})\b[^>]*+>"
-    name, _, value = attribute_.partition("=")
-    if not value:
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}(?=[\s>=])[^>]*>"
-    if name == "class":
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{value}(?:\s[^\"']*)?[\"']|{value}(?=[\s>]))[^>]*>"
-    return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}\s*=\s*[\"']?{value}[\"']?(?=[\s>])[^>]*>"
-
-
-def inner_html(html: Column, start: str) -> Column:
-    """What the first element with this start tag holds, up to the end tag at its own depth; null without one.
-
-    Depth is the count of start tags less that of end tags of its name in the pieces before each end tag.
-    """
-
-    def inside(rest: Column, name: Column) -> Column:
-        # pieces end before an end tag of the name; the element ends at the first piece before which as many have ended as begun
-        pieces = F.split(rest, r"(?i)(?=</(?:article|main|div|section)\s*>)")
-        return once(F.struct(pieces.alias("p"), name.alias("n")), lambda v: _up_to_own_end(v["p"], v["n"]))
-
-    at = F.regexp_instr(html, F.lit(start))
-    tag, name = F.regexp_extract(html, start, 0), F.lower(F.regexp_extract(html, start, 1))
-    return F.when(at > 0, once(F.struct(F.substr(html, at + F.length(tag)).alias("rest"), name.alias("name")), lambda v: inside(v["rest"], v["name"])))
-
-
-def _up_to_own_end(pieces: Column, name: Column) -> Column:
-    """The pieces before the end tag that closes an element of ``name`` opened before the first piece."""
-
-    def step(acc: Column, x: Column) -> Column:
-        ends = F.lower(F.substring(x, 1, 12)).startswith(F.concat(F.lit("</"), name))
-        depth = acc["depth"] - ends.cast("int")
-        begins = F.size(F.split(F.lower(x), F.concat(F.lit("<"), name, F.lit("(?![a-z0-9-])")))) - 1
-        done = acc["done"] | (depth == 0)
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), (depth + begins).alias("depth"), done.alias("done"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"), F.lit(False).alias("done"))
-    n = F.aggregate(pieces, start, step, lambda acc: acc["n"])
-    return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), "")
-
-
-# Where a page's content may be, in order, as tag and attribute; and what else may hold its heading.
-REGIONS = (
-    ("article", ""), ("main", ""), ("", "role=main"), ("", "id=content"), ("", "id=main-content"), ("", "class=content"), ("", "class=main-content"),
-    ("", "class=post-content"), ("", "class=article-content"), ("", "class=entry-content"), ("", "itemprop=articleBody"), ("", "data-content"),
-    ("", "class=post-body"), ("", "class=article-body"),
-)
-HEADING_REGIONS = (("", "class=markdown-body"), ("", "itemprop=text"))
-LEAST_REGION = 100
-
-
-def _region_start(tag: str, attribute_: str) -> str:
-    """A start tag of the region as a pattern, its name as group 1."""
-    if tag:
-        return rf"(?is)<({tag})\b[^>]*+>"
-    name, _, value = attribute_.partition("=")
-    if not value:
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}(?=[\s>=])[^>]*>"
-    if name == "class":
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{value}(?:\s[^\"']*)?[\"']|{value}(?=[\s>]))[^>]*>"
-    return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}\s*=\s*[\"']?{value}[\"']?(?=[\s>])[^>]*>"
-
-
-def inner_html(html: Column, start: str) -> Column:
-    """What the first element with this start tag holds, up to the end tag at its own depth; null without one.
-
-    Depth is the count of start tags less that of end tags of its name in the pieces before each end tag.
-    """
-
-    def inside(rest: Column, name: Column) -> Column:
-        # pieces end before an end tag of the name; the element ends at the first piece before which as many have ended as begun
-        pieces = F.split(rest, r"(?i)(?=</(?:article|main|div|section)\s*>)")
-        return once(F.struct(pieces.alias("p"), name.alias("n")), lambda v: _up_to_own_end(v["p"], v["n"]))
-
-    at = F.regexp_instr(html, F.lit(start))
-    tag, name = F.regexp_extract(html, start, 0), F.lower(F.regexp_extract(html, start, 1))
-    return F.when(at > 0, once(F.struct(F.substr(html, at + F.length(tag)).alias("rest"), name.alias("name")), lambda v: inside(v["rest"], v["name"])))
-
-
-def _up_to_own_end(pieces: Column, name: Column) -> Column:
-    """The pieces before the end tag that closes an element of ``name`` opened before the first piece."""
-
-    def step(acc: Column, x: Column) -> Column:
-        ends = F.lower(F.substring(x, 1, 12)).startswith(F.concat(F.lit("</"), name))
-        depth = acc["depth"] - ends.cast("int")
-        begins = F.size(F.split(F.lower(x), F.concat(F.lit("<"), name, F.lit("(?![a-z0-9-])")))) - 1
-        done = acc["done"] | (depth == 0)
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), (depth + begins).alias("depth"), done.alias("done"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"), F.lit(False).alias("done"))
-    n = F.aggregate(pieces, start, step, lambda acc: acc["n"])
-    return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), "")
-
-
-# Where a page's content may be, in order, as tag and attribute; and what else may hold its heading.
-REGIONS = (
-    ("article", ""), ("main", ""), ("", "role=main"), ("", "id=content"), ("", "id=main-content"), ("", "class=content"), ("", "class=main-content"),
-    ("", "class=post-content"), ("", "class=article-content"), ("", "class=entry-content"), ("", "itemprop=articleBody"), ("", "data-content"),
-    ("", "class=post-body"), ("", "class=article-body"),
-)
-HEADING_REGIONS = (("", "class=markdown-body"), ("", "itemprop=text"))
-LEAST_REGION = 100
-
-
-def _region_start(tag: str, attribute_: str) -> str:
-    """A start tag of the region as a pattern, its name as group 1."""
-    if tag:
-        return rf"(?is)<({tag})\b[^>]*+>"
-    name, _, value = attribute_.partition("=")
-    if not value:
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}(?=[\s>=])[^>]*>"
-    if name == "class":
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{value}(?:\s[^\"']*)?[\"']|{value}(?=[\s>]))[^>]*>"
-    return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\s{name}\s*=\s*[\"']?{value}[\"']?(?=[\s>])[^>]*>"
-
-
-def inner_html(html: Column, start: str) -> Column:
-    """What the first element with this start tag holds, up to the end tag at its own depth; null without one.
-
-    Depth is the count of start tags less that of end tags of its name in the pieces before each end tag.
-    """
-
-    def inside(rest: Column, name: Column) -> Column:
-        # pieces end before an end tag of the name; the element ends at the first piece before which as many have ended as begun
-        pieces = F.split(rest, r"(?i)(?=</(?:article|main|div|section)\s*>)")
-        return once(F.struct(pieces.alias("p"), name.alias("n")), lambda v: _up_to_own_end(v["p"], v["n"]))
-
-    at = F.regexp_instr(html, F.lit(start))
-    tag, name = F.regexp_extract(html, start, 0), F.lower(F.regexp_extract(html, start, 1))
-    return F.when(at > 0, once(F.struct(F.substr(html, at + F.length(tag)).alias("rest"), name.alias("name")), lambda v: inside(v["rest"], v["name"])))
-
-
-def _up_to_own_end(pieces: Column, name: Column) -> Column:
-    """The pieces before the end tag that closes an element of ``name`` opened before the first piece."""
-
-    def step(acc: Column, x: Column) -> Column:
-        ends = F.lower(F.substring(x, 1, 12)).startswith(F.concat(F.lit("</"), name))
-        depth = acc["depth"] - ends.cast("int")
-        begins = F.size(F.split(F.lower(x), F.concat(F.lit("<"), name, F.lit("(?![a-z0-9-])")))) - 1
-        done = acc["done"] | (depth == 0)
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), (depth + begins).alias("depth"), done.alias("done"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"), F.lit(False).alias("done"))
-    n = F.aggregate(pieces, start, step, lambda acc: acc["n"])
-    return F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), "")
-
-
 def content_region(html: Column) -> Column:
     """The inside of the first region with over 100 characters, in the order of ``REGIONS``; null if there is none."""
 
@@ -507,11 +189,11 @@ def content_region(html: Column) -> Column:
 
 def _heading_text(html: Column, pattern: str) -> Column:
     inner = F.regexp_extract(html, pattern, 1)
-    return F.nullif(F.btrim(F.regexp_replace(unescaped(F.regexp_replace(inner, r"(?s)<[^>]*+>", "")), r"\s+", " ")), F.lit(""))
+    return F.nullif(F.btrim(F.regexp_replace(unescaped(F.regexp_replace(inner, r"(?s)<[^<>]*+>", "")), r"\s+", " ")), F.lit(""))
 
 
-_MARKED_TITLE = r"(?is)<[a-z][a-z0-9]*\b[^>]*\sdata-title\s*=\s*[\"']?true[\"']?[^>]*>([^<]*+)<"
-_H1, _H2 = r"(?is)<h1\b[^>]*+>(.*?)</h1\s*>", r"(?is)<h2\b[^>]*+>(.*?)</h2\s*>"
+_MARKED_TITLE = r"(?is)<[a-z][a-z0-9]*\b[^<>]*\sdata-title\s*=\s*[\"']?true[\"']?[^<>]*>([^<]*+)<"
+_H1, _H2 = r"(?is)<h1\b[^<>]*+>(.*?)</h1\s*>", r"(?is)<h2\b[^<>]*+>(.*?)</h2\s*>"
 
 
 def primary_heading(html: Column) -> Column:
@@ -528,8 +210,8 @@ def primary_heading(html: Column) -> Column:
     return once(html, found)
 
 
-TABLE = r"(?is)<table\b[^>]*+>(?:(?!</?table\b).)*+</table\s*>"
-LIST = r"(?is)<(ul|ol)\b[^>]*+>(?:(?!</?[uo]l\b).)*+</\1\s*>"
+TABLE = r"(?is)<table\b[^<>]*+>(?:(?!</?table\b).)*+</table\s*>"
+LIST = r"(?is)<(ul|ol)\b[^<>]*+>(?:(?!</?[uo]l\b).)*+</\1\s*>"
 #: Levels of nested lists that are told apart; deeper ones stay at the last.
 LIST_LEVELS = 6
 _LEVEL = "\x02"
@@ -539,9 +221,9 @@ def tables(html: Column) -> Column:
     """Tables as rows of pipes, with a line of dashes under the first row."""
 
     def one(table: Column) -> Column:
-        cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^>]*+>(.*?)</t[hd]\s*>"), F.lit(1)), lambda c: F.btrim(c, F.lit(" \t\r\n")))
+        cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^<>]*+>(.*?)</t[hd]\s*>"), F.lit(1)), lambda c: F.btrim(c, F.lit(" \t\r\n")))
         line = lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
-        rows = F.filter(F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*+>(.*?)</tr\s*>"), F.lit(1)), cells), lambda r: F.size(r) > 0)
+        rows = F.filter(F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^<>]*+>(.*?)</tr\s*>"), F.lit(1)), cells), lambda r: F.size(r) > 0)
         rule = lambda rs: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(rs[0])), " | "), F.lit(" |"))
         text = lambda rs: F.concat(F.lit("\n\n"), line(rs[0]), F.lit("\n"), rule(rs), F.array_join(F.transform(F.slice(rs, 2, 1_000_000_000), lambda r: F.concat(F.lit("\n"), line(r))), ""), F.lit("\n\n"))
         return once(rows, lambda rs: F.when(F.size(rs) > 0, text(rs)).otherwise(F.lit("")))
@@ -554,9 +236,9 @@ def lists(html: Column) -> Column:
 
     def one(x: Column) -> Column:
         ordered = F.lower(F.substring(x, 1, 3)) == "<ol"
-        inner = F.regexp_replace(F.regexp_replace(x, r"(?is)^<[uo]l\b[^>]*+>|</[uo]l\s*>$|</li\s*>", ""), "\n" + _LEVEL, "\n" + _LEVEL + _LEVEL)
+        inner = F.regexp_replace(F.regexp_replace(x, r"(?is)^<[uo]l\b[^<>]*+>|</[uo]l\s*>$|</li\s*>", ""), "\n" + _LEVEL, "\n" + _LEVEL + _LEVEL)
         bullet = lambda i: F.when(ordered, F.concat(i.cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-        items = F.transform(F.split(inner, r"(?i)<li\b[^>]*+>\s*"), lambda t, i: F.when(i == 0, F.btrim(t, F.lit(" \t\r\n"))).otherwise(F.concat(F.lit("\n" + _LEVEL), bullet(i), F.rtrim(t, F.lit(" \t\r\n")))))
+        items = F.transform(F.split(inner, r"(?i)<li\b[^<>]*+>\s*"), lambda t, i: F.when(i == 0, F.btrim(t, F.lit(" \t\r\n"))).otherwise(F.concat(F.lit("\n" + _LEVEL), bullet(i), F.rtrim(t, F.lit(" \t\r\n")))))
         return F.array_join(items, "")
 
     for _ in range(LIST_LEVELS):
@@ -573,9 +255,9 @@ def code_blocks(html: Column) -> Column:
     """``pre`` as fenced blocks: diagrams as such, else with the language of a class, a data-language or the code itself."""
 
     def one(x: Column) -> Column:
-        tags = F.regexp_extract(x, r"(?is)^<pre\b[^>]*+>\s*+(?:<code\b[^>]*+>)?+", 0)
-        body = F.regexp_replace(F.regexp_replace(x, r"(?is)^<pre\b[^>]*+>\s*+(?:<code\b[^>]*+>)?+|\s*+(?:</code\s*>)?\s*</pre\s*>$", ""), r"(?s)<[^>]*+>", "")
-        names = F.concat_ws(" ", F.regexp_extract(tags, r"(?i)^<pre\b[^>]*\sclass=[\"']([^\"']*+)", 1), F.regexp_extract(tags, r"(?i)<code\b[^>]*\sclass=[\"']([^\"']*+)", 1))
+        tags = F.regexp_extract(x, r"(?is)^<pre\b[^<>]*+>\s*+(?:<code\b[^<>]*+>)?+", 0)
+        body = F.regexp_replace(F.regexp_replace(x, r"(?is)^<pre\b[^<>]*+>\s*+(?:<code\b[^<>]*+>)?+|\s*+(?:</code\s*>)?\s*</pre\s*>$", ""), r"(?s)<[^<>]*+>", "")
+        names = F.concat_ws(" ", F.regexp_extract(tags, r"(?i)^<pre\b[^<>]*\sclass=[\"']([^\"']*+)", 1), F.regexp_extract(tags, r"(?i)<code\b[^<>]*\sclass=[\"']([^\"']*+)", 1))
         data = F.regexp_extract(tags, r"(?i)\sdata-language=[\"']?(\w+)", 1)
         return once(F.struct(body.alias("b"), names.alias("n"), data.alias("d")), fenced)
 
@@ -583,7 +265,7 @@ def code_blocks(html: Column) -> Column:
         language = F.when(v["n"].contains("mermaid"), "mermaid").otherwise(F.coalesce(markdown_.language_of_class(v["n"], v["d"]), markdown_.language_of_code(unescaped(v["b"])), F.lit("")))
         return F.concat(F.lit("\n\n```"), language, F.lit("\n"), v["b"], F.lit("\n```\n\n"))
 
-    return once(html, lambda h: F.when(h.rlike(r"(?i)<pre\b"), passes.each(h, r"(?is)<pre\b[^>]*+>(?:(?!</?pre\b).)*+</pre\s*>", one)).otherwise(h))
+    return once(html, lambda h: F.when(h.rlike(r"(?i)<pre\b"), passes.each(h, r"(?is)<pre\b[^<>]*+>(?:(?!</?pre\b).)*+</pre\s*>", one)).otherwise(h))
 
 
 def image_text(tag: Column) -> Column:
@@ -602,7 +284,7 @@ def image_text(tag: Column) -> Column:
 
 
 def images(html: Column) -> Column:
-    return once(html, lambda h: F.when(h.rlike(r"(?i)<img\b"), passes.each(h, r"(?is)<img\b[^>]*+>", image_text)).otherwise(h))
+    return once(html, lambda h: F.when(h.rlike(r"(?i)<img\b"), passes.each(h, r"(?is)<img\b[^<>]*+>", image_text)).otherwise(h))
 
 
 # Marks around the text of small elements.
@@ -611,21 +293,23 @@ WRAPPED = (("strong|b", "**"), ("em|i", "_"), ("code|kbd", "`"), ("mark", "=="),
 
 def inline_marks(html: Column) -> Column:
     """Links, diagrams in divs, headings, emphasis and blocks as Markdown; what else is left of tags goes."""
-    out = F.regexp_replace(html, r"(?is)<div\b[^>]*class=[\"'][^\"']*\bmermaid\b[^>]*>((?:(?!</?div\b).)*+)</div\s*>", "\n\n```mermaid\n$1\n```\n\n")
+    out = F.regexp_replace(html, r"(?is)<div\b[^<>]*class=[\"'][^\"']*\bmermaid\b[^<>]*>((?:(?!</?div\b).)*+)</div\s*>", "\n\n```mermaid\n$1\n```\n\n")
     for n in range(1, 7):
-        out = F.regexp_replace(out, rf"(?is)<h{n}\b[^>]*+>\s*(.*?)\s*</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
-    out = F.regexp_replace(out, r"(?is)<a\b[^>]*?\shref=[\"']([^\"']*+)[\"'][^>]*+>(.*?)</a\s*>", "[$2]($1)")
+        out = F.regexp_replace(out, rf"(?is)<h{n}\b[^<>]*+>\s*+(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
+    out = F.regexp_replace(out, r"(?is)<a\b[^<>]*?\shref=[\"']([^\"']*+)[\"'][^<>]*+>(.*?)</a\s*>", "[$2]($1)")
+    # code that holds a back-tick takes two
+    out = F.regexp_replace(out, r"(?is)<code\b[^<>]*+>([^<`]*+`[^<]*+)</code\s*>", "`` $1 ``")
     for names, mark in WRAPPED:
-        out = F.regexp_replace(out, rf"(?is)<({names})\b[^>]*+>(.*?)</\1\s*>", mark.replace("$", "\\$") + "$2" + mark)
+        out = F.regexp_replace(out, rf"(?is)<({names})\b[^<>]*+>(.*?)</\1\s*>", mark.replace("$", "\\$") + "$2" + mark)
     for pattern, new in (
-        (r"(?is)<blockquote\b[^>]*+>\s*", "\n\n> "),
-        (r"(?is)<br\b[^>]*+>", "\n"),
-        (r"(?is)<hr\b[^>]*+>", "\n\n---\n\n"),
-        (r"(?is)<li\b[^>]*+>\s*", "\n- "),
-        (r"(?is)<span\b[^>]*\sdata-as=[\"']p[\"'][^>]*>([^<]*+)</span\s*>", "\n\n$1\n\n"),
-        (r"(?is)</?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|header|figure|details|summary)\b[^>]*+>", "\n\n"),
-        (r"(?s)<[^>]*+>", ""),
-        (r"[ \t]+\n", "\n"),
+        (r"(?is)<blockquote\b[^<>]*+>\s*", "\n\n> "),
+        (r"(?is)<br\b[^<>]*+>", "\n"),
+        (r"(?is)<hr\b[^<>]*+>", "\n\n---\n\n"),
+        (r"(?is)<li\b[^<>]*+>\s*", "\n- "),
+        (r"(?is)<span\b[^<>]*\sdata-as=[\"']p[\"'][^<>]*>([^<]*+)</span\s*>", "\n\n$1\n\n"),
+        (r"(?is)</?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|header|figure|details|summary)\b[^<>]*+>", "\n\n"),
+        (r"(?s)<[^<>]*+>", ""),
+        (r"(?<![ \t])[ \t]++\n", "\n"),
     ):
         out = F.regexp_replace(out, pattern, new)
     return out
@@ -635,7 +319,7 @@ def markdown(html: Column) -> Column:
     """Markdown of a cleaned fragment: code, tables, nested lists, images, headings, links, emphasis, quotes, rules and paragraphs. Code keeps its lines as they are."""
     whole = lists(tables(images(code_blocks(html))))
     out = markdown_.outside_fences(whole, lambda s: list_marks_resolved(F.regexp_replace(F.regexp_replace(inline_marks(s), r"\n[ \t]+(?=\S)", "\n"), r"\n{3,}", "\n\n")))
-    return F.regexp_replace(F.regexp_replace(unescaped(out), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(unescaped(out), r"\n{3,}", "\n\n"), r"\A\s++|(?<!\s)\s++\z", "")
 
 
 def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:

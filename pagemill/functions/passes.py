@@ -10,18 +10,6 @@ from pyspark.sql import Column, functions as F
 
 from pagemill.functions.binding import once
 
-from pagemill.functions.binding import once
-
-from pagemill.functions.binding import once
-
-from pagemill.functions.binding import once
-
-from pagemill.functions.binding import once
-
-from pagemill.functions.binding import once
-
-from pagemill.functions.binding import once
-
 # Lazy-loading attributes that hold an image's real address.
 LAZY_SOURCES = ("data-src", "data-lazy-src", "data-original")
 
@@ -93,288 +81,6 @@ def code_editors(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<pre\b[^<>]*aria-hidden=[\"']true[\"'][^<>]*>(?:(?!</?pre\b).)*+</pre\s*>\s*<textarea\b[^<>]*>((?:(?!</?textarea\b).)*+)</textarea\s*>", "<pre><code>$1</code></pre>")
 
 
-# Hosts of the image proxy that puts the origin's host first in the path.
-PROXY_HOST = r"^https?://i[0-9]\.wp\.com/"
-
-
-def proxied(src: Column) -> Column:
-    """Whether an image comes through the proxy."""
-    return F.coalesce(F.lower(src).rlike(PROXY_HOST), F.lit(False))
-
-
-def unproxied(src: Column, page_host: Column) -> Column:
-    """A proxied image's address at the page's own host; other addresses stay."""
-    path = F.regexp_extract(src, r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)", 1)
-    return F.when(proxied(src) & (path != ""), F.concat(F.lit("https://"), page_host, path)).otherwise(src)
-
-
-def images_unproxied(html: Column, page_host: Column) -> Column:
-    """Images without a srcset at the page's own host instead of the proxy's."""
-
-    def image(tag: Column) -> Column:
-        src = F.regexp_extract(tag, r"(?is)\ssrc\s*=\s*[\"']([^\"']*+)[\"']", 1)
-        return F.when(proxied(src) & ~tag.rlike(r"(?i)\ssrcset\s*="), F.replace(tag, src, unproxied(src, page_host))).otherwise(tag)
-
-    return once(html, lambda h: F.when(h.contains(".wp.com/"), each(h, r"(?is)<img\b[^>]*+>", image)).otherwise(h))
-
-
-def host_like(text: Column) -> Column:
-    """Whether a text is a bare host name."""
-    return F.coalesce(text.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), F.lit(False))
-
-
-# Starts of addresses that are not resolved.
-KEPT_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
-
-
-def kept_address(href: Column) -> Column:
-    """Whether an address stays as it is when a page's addresses are made absolute."""
-    out, low = F.lit(False), F.lower(F.ltrim(href))
-    for prefix in KEPT_PREFIXES:
-        out = out | low.startswith(prefix)
-    return F.coalesce(out, F.lit(False))
-
-
-def code_editors(html: Column) -> Column:
-    """An editor's hidden highlighted block and its text area become one plain code block."""
-    return F.regexp_replace(html, r"(?is)<pre\b[^>]*aria-hidden=[\"']true[\"'][^>]*>(?:(?!</?pre\b).)*+</pre\s*>\s*<textarea\b[^>]*>((?:(?!</?textarea\b).)*+)</textarea\s*>", "<pre><code>$1</code></pre>")
-
-
-# Hosts of the image proxy that puts the origin's host first in the path.
-PROXY_HOST = r"^https?://i[0-9]\.wp\.com/"
-
-
-def proxied(src: Column) -> Column:
-    """Whether an image comes through the proxy."""
-    return F.coalesce(F.lower(src).rlike(PROXY_HOST), F.lit(False))
-
-
-def unproxied(src: Column, page_host: Column) -> Column:
-    """A proxied image's address at the page's own host; other addresses stay."""
-    path = F.regexp_extract(src, r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)", 1)
-    return F.when(proxied(src) & (path != ""), F.concat(F.lit("https://"), page_host, path)).otherwise(src)
-
-
-def images_unproxied(html: Column, page_host: Column) -> Column:
-    """Images without a srcset at the page's own host instead of the proxy's."""
-
-    def image(tag: Column) -> Column:
-        src = F.regexp_extract(tag, r"(?is)\ssrc\s*=\s*[\"']([^\"']*+)[\"']", 1)
-        return F.when(proxied(src) & ~tag.rlike(r"(?i)\ssrcset\s*="), F.replace(tag, src, unproxied(src, page_host))).otherwise(tag)
-
-    return once(html, lambda h: F.when(h.contains(".wp.com/"), each(h, r"(?is)<img\b[^>]*+>", image)).otherwise(h))
-
-
-def host_like(text: Column) -> Column:
-    """Whether a text is a bare host name."""
-    return F.coalesce(text.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), F.lit(False))
-
-
-# Starts of addresses that are not resolved.
-KEPT_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
-
-
-def kept_address(href: Column) -> Column:
-    """Whether an address stays as it is when a page's addresses are made absolute."""
-    out, low = F.lit(False), F.lower(F.ltrim(href))
-    for prefix in KEPT_PREFIXES:
-        out = out | low.startswith(prefix)
-    return F.coalesce(out, F.lit(False))
-
-
-def code_editors(html: Column) -> Column:
-    """An editor's hidden highlighted block and its text area become one plain code block."""
-    return F.regexp_replace(html, r"(?is)<pre\b[^>]*aria-hidden=[\"']true[\"'][^>]*>(?:(?!</?pre\b).)*+</pre\s*>\s*<textarea\b[^>]*>((?:(?!</?textarea\b).)*+)</textarea\s*>", "<pre><code>$1</code></pre>")
-
-
-# Hosts of the image proxy that puts the origin's host first in the path.
-PROXY_HOST = r"^https?://i[0-9]\.wp\.com/"
-
-
-def proxied(src: Column) -> Column:
-    """Whether an image comes through the proxy."""
-    return F.coalesce(F.lower(src).rlike(PROXY_HOST), F.lit(False))
-
-
-def unproxied(src: Column, page_host: Column) -> Column:
-    """A proxied image's address at the page's own host; other addresses stay."""
-    path = F.regexp_extract(src, r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)", 1)
-    return F.when(proxied(src) & (path != ""), F.concat(F.lit("https://"), page_host, path)).otherwise(src)
-
-
-def images_unproxied(html: Column, page_host: Column) -> Column:
-    """Images without a srcset at the page's own host instead of the proxy's."""
-
-    def image(tag: Column) -> Column:
-        src = F.regexp_extract(tag, r"(?is)\ssrc\s*=\s*[\"']([^\"']*+)[\"']", 1)
-        return F.when(proxied(src) & ~tag.rlike(r"(?i)\ssrcset\s*="), F.replace(tag, src, unproxied(src, page_host))).otherwise(tag)
-
-    return once(html, lambda h: F.when(h.contains(".wp.com/"), each(h, r"(?is)<img\b[^>]*+>", image)).otherwise(h))
-
-
-def host_like(text: Column) -> Column:
-    """Whether a text is a bare host name."""
-    return F.coalesce(text.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), F.lit(False))
-
-
-# Starts of addresses that are not resolved.
-KEPT_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
-
-
-def kept_address(href: Column) -> Column:
-    """Whether an address stays as it is when a page's addresses are made absolute."""
-    out, low = F.lit(False), F.lower(F.ltrim(href))
-    for prefix in KEPT_PREFIXES:
-        out = out | low.startswith(prefix)
-    return F.coalesce(out, F.lit(False))
-
-
-def code_editors(html: Column) -> Column:
-    """An editor's hidden highlighted block and its text area become one plain code block."""
-    return F.regexp_replace(html, r"(?is)<pre\b[^>]*aria-hidden=[\"']true[\"'][^>]*>(?:(?!</?pre\b).)*+</pre\s*>\s*<textarea\b[^>]*>((?:(?!</?textarea\b).)*+)</textarea\s*>", "<pre><code>$1</code></pre>")
-
-
-# Hosts of the image proxy that puts the origin's host first in the path.
-PROXY_HOST = r"^https?://i[0-9]\.wp\.com/"
-
-
-def proxied(src: Column) -> Column:
-    """Whether an image comes through the proxy."""
-    return F.coalesce(F.lower(src).rlike(PROXY_HOST), F.lit(False))
-
-
-def unproxied(src: Column, page_host: Column) -> Column:
-    """A proxied image's address at the page's own host; other addresses stay."""
-    path = F.regexp_extract(src, r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)", 1)
-    return F.when(proxied(src) & (path != ""), F.concat(F.lit("https://"), page_host, path)).otherwise(src)
-
-
-def images_unproxied(html: Column, page_host: Column) -> Column:
-    """Images without a srcset at the page's own host instead of the proxy's."""
-
-    def image(tag: Column) -> Column:
-        src = F.regexp_extract(tag, r"(?is)\ssrc\s*=\s*[\"']([^\"']*+)[\"']", 1)
-        return F.when(proxied(src) & ~tag.rlike(r"(?i)\ssrcset\s*="), F.replace(tag, src, unproxied(src, page_host))).otherwise(tag)
-
-    return once(html, lambda h: F.when(h.contains(".wp.com/"), each(h, r"(?is)<img\b[^>]*+>", image)).otherwise(h))
-
-
-def host_like(text: Column) -> Column:
-    """Whether a text is a bare host name."""
-    return F.coalesce(text.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), F.lit(False))
-
-
-# Starts of addresses that are not resolved.
-KEPT_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
-
-
-def kept_address(href: Column) -> Column:
-    """Whether an address stays as it is when a page's addresses are made absolute."""
-    out, low = F.lit(False), F.lower(F.ltrim(href))
-    for prefix in KEPT_PREFIXES:
-        out = out | low.startswith(prefix)
-    return F.coalesce(out, F.lit(False))
-
-
-def code_editors(html: Column) -> Column:
-    """An editor's hidden highlighted block and its text area become one plain code block."""
-    return F.regexp_replace(html, r"(?is)<pre\b[^>]*aria-hidden=[\"']true[\"'][^>]*>(?:(?!</?pre\b).)*+</pre\s*>\s*<textarea\b[^>]*>((?:(?!</?textarea\b).)*+)</textarea\s*>", "<pre><code>$1</code></pre>")
-
-
-# Hosts of the image proxy that puts the origin's host first in the path.
-PROXY_HOST = r"^https?://i[0-9]\.wp\.com/"
-
-
-def proxied(src: Column) -> Column:
-    """Whether an image comes through the proxy."""
-    return F.coalesce(F.lower(src).rlike(PROXY_HOST), F.lit(False))
-
-
-def unproxied(src: Column, page_host: Column) -> Column:
-    """A proxied image's address at the page's own host; other addresses stay."""
-    path = F.regexp_extract(src, r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)", 1)
-    return F.when(proxied(src) & (path != ""), F.concat(F.lit("https://"), page_host, path)).otherwise(src)
-
-
-def images_unproxied(html: Column, page_host: Column) -> Column:
-    """Images without a srcset at the page's own host instead of the proxy's."""
-
-    def image(tag: Column) -> Column:
-        src = F.regexp_extract(tag, r"(?is)\ssrc\s*=\s*[\"']([^\"']*+)[\"']", 1)
-        return F.when(proxied(src) & ~tag.rlike(r"(?i)\ssrcset\s*="), F.replace(tag, src, unproxied(src, page_host))).otherwise(tag)
-
-    return once(html, lambda h: F.when(h.contains(".wp.com/"), each(h, r"(?is)<img\b[^>]*+>", image)).otherwise(h))
-
-
-def host_like(text: Column) -> Column:
-    """Whether a text is a bare host name."""
-    return F.coalesce(text.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), F.lit(False))
-
-
-# Starts of addresses that are not resolved.
-KEPT_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
-
-
-def kept_address(href: Column) -> Column:
-    """Whether an address stays as it is when a page's addresses are made absolute."""
-    out, low = F.lit(False), F.lower(F.ltrim(href))
-    for prefix in KEPT_PREFIXES:
-        out = out | low.startswith(prefix)
-    return F.coalesce(out, F.lit(False))
-
-
-def code_editors(html: Column) -> Column:
-    """An editor's hidden highlighted block and its text area become one plain code block."""
-    return F.regexp_replace(html, r"(?is)<pre\b[^>]*aria-hidden=[\"']true[\"'][^>]*>(?:(?!</?pre\b).)*+</pre\s*>\s*<textarea\b[^>]*>((?:(?!</?textarea\b).)*+)</textarea\s*>", "<pre><code>$1</code></pre>")
-
-
-# Hosts of the image proxy that puts the origin's host first in the path.
-PROXY_HOST = r"^https?://i[0-9]\.wp\.com/"
-
-
-def proxied(src: Column) -> Column:
-    """Whether an image comes through the proxy."""
-    return F.coalesce(F.lower(src).rlike(PROXY_HOST), F.lit(False))
-
-
-def unproxied(src: Column, page_host: Column) -> Column:
-    """A proxied image's address at the page's own host; other addresses stay."""
-    path = F.regexp_extract(src, r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)", 1)
-    return F.when(proxied(src) & (path != ""), F.concat(F.lit("https://"), page_host, path)).otherwise(src)
-
-
-def images_unproxied(html: Column, page_host: Column) -> Column:
-    """Images without a srcset at the page's own host instead of the proxy's."""
-
-    def image(tag: Column) -> Column:
-        src = F.regexp_extract(tag, r"(?is)\ssrc\s*=\s*[\"']([^\"']*+)[\"']", 1)
-        return F.when(proxied(src) & ~tag.rlike(r"(?i)\ssrcset\s*="), F.replace(tag, src, unproxied(src, page_host))).otherwise(tag)
-
-    return once(html, lambda h: F.when(h.contains(".wp.com/"), each(h, r"(?is)<img\b[^>]*+>", image)).otherwise(h))
-
-
-def host_like(text: Column) -> Column:
-    """Whether a text is a bare host name."""
-    return F.coalesce(text.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), F.lit(False))
-
-
-# Starts of addresses that are not resolved.
-KEPT_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
-
-
-def kept_address(href: Column) -> Column:
-    """Whether an address stays as it is when a page's addresses are made absolute."""
-    out, low = F.lit(False), F.lower(F.ltrim(href))
-    for prefix in KEPT_PREFIXES:
-        out = out | low.startswith(prefix)
-    return F.coalesce(out, F.lit(False))
-
-
-def code_editors(html: Column) -> Column:
-    """An editor's hidden highlighted block and its text area become one plain code block."""
-    return F.regexp_replace(html, r"(?is)<pre\b[^>]*aria-hidden=[\"']true[\"'][^>]*>(?:(?!</?pre\b).)*+</pre\s*>\s*<textarea\b[^>]*>((?:(?!</?textarea\b).)*+)</textarea\s*>", "<pre><code>$1</code></pre>")
-
-
 def campaign_links(html: Column) -> Column:
     """Links with campaign parameters go, with their text."""
     return F.regexp_replace(html, r"(?is)<a\b[^<>]*\shref=[\"'][^\"']*[?&](?:amp;)?utm_(?:source|medium|campaign)=[^\"']*[\"'][^<>]*>(?:(?!</?a\b).)*+</a\s*>", "")

@@ -172,6 +172,22 @@ def resolved(href: Column, page: Column) -> Column:
     return F.when(href.isNotNull(), once(parts, against))
 
 
+@F.pandas_udf(T.StringType())
+def _idna(name: pd.Series) -> pd.Series:
+    def one(x):
+        try:
+            return None if x is None else ".".join(p.encode("idna").decode() if not p.isascii() else p for p in x.split("."))
+        except UnicodeError:
+            return None
+
+    return name.map(one)
+
+
+def ascii_host(name: Column) -> Column:
+    """A host name in ASCII: lower case, without trailing dots, labels of other letters in their ASCII form; null where that can't be."""
+    return F.nullif(F.lower(_idna(F.rtrim(F.lower(F.btrim(name)), F.lit(".")))), F.lit(""))
+
+
 def request_target(url: Column) -> Column:
     """struct<url, original, transformed, error>: the address normalized, rewritten to raw content where it can be, and normalized again then."""
     first = normalized(url)

@@ -310,7 +310,7 @@ _REPORT = f"regexp_replace(regexp_replace({_ENT(_REPORT)}, '\\n{{3,}}', chr(10)
 _REPORT = _GATES.replace("PAGES", "SELECT page_id, html AS h FROM pages") + f""",
     m AS (SELECT page_id, gate_failed, {_REPORT} AS m FROM g),
     i AS (SELECT page_id, gate_failed, regexp_replace(array_to_string(list_transform(string_split(m, chr(10)), lambda y: CASE WHEN regexp_matches(y, '^#{{1,6}}\\s') THEN rtrim(regexp_replace(y, '^(#+)\\s+', '\\1 ')) ELSE y END), chr(10)), '([.!?:;])([A-Z])', '\\1 \\2', 'g') AS m FROM m),
-    f AS (SELECT page_id, url, {_T} AS title, gate_failed, m, regexp_replace(url, '^(https?://[^/?#]*)([?#]|$)', '\\1/\\2') AS resolved_url FROM i JOIN pages USING (page_id)),
+    f AS (SELECT page_id, url, {_T} AS title, gate_failed, regexp_replace(m, '^[^\\n#>|`*+0-9\\[\\]()-]{{1,40}}\\n\\s*(#{{1,2}}\\s)', '\\1') AS m, regexp_replace(url, '^(https?://[^/?#]*)([?#]|$)', '\\1/\\2') AS resolved_url FROM i JOIN pages USING (page_id)),
     w AS (SELECT *, CASE WHEN m LIKE '# %' THEN m ELSE '# ' || title || chr(10) || chr(10) || m END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ' _' || title || '_ | [_Original Source_](' || resolved_url || ') | _01/31/2024_' AS markdown FROM f)
     SELECT page_id, url, resolved_url, title, markdown, '{FETCHED_AT}' AS fetched_at, CASE WHEN gate_failed IS NULL THEN 'article' ELSE 'document' END AS source_kind, gate_failed, NULL::VARCHAR AS error, length(markdown)::INTEGER AS content_size, false AS truncated FROM w"""
 

@@ -135,6 +135,13 @@ def request_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", U.request_target(F.col("u")).alias("t")).select("page_id", "t.url", "t.transformed", "t.error")
 
 
+def ascii_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages under labels of other letters, in ASCII."""
+    rows = table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("h"))
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" Bücher.Größe."), F.col("h"), F.lit(". "))).otherwise(F.concat(F.lit("пример."), F.col("h")))
+    return rows.select("page_id", U.ascii_host(name).alias("host"))
+
+
 def v6_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocked IPv6 addresses, written with zones, brackets and capitals."""
     ip = F.expr("CASE event_id % 5 WHEN 0 THEN concat('fe80::', CAST(event_id AS STRING), '%eth0') WHEN 1 THEN '2606:4700::1111' WHEN 2 THEN concat('[FD00::', CAST(event_id % 1000 AS STRING), ']') WHEN 3 THEN '::1' ELSE concat('2a00:1450::', CAST(event_id % 1000 AS STRING)) END")
@@ -181,7 +188,7 @@ def issue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.issue_text(issues).alias("message"))
 
 
-QUERIES = {f.__name__: f for f in (url_parts, host_counts, url_redact, url_rewrite, url_raw_text, url_display, url_normalize, host_header, ip_block, ip_networks, target_policy, header_charset, body_encoding, byte_cut, dangling_tag, binary_text, error_category, error_counts, error_payloads, request_targets, v6_block, retry_after, owner_keys, issue_text)}
+QUERIES = {f.__name__: f for f in (url_parts, host_counts, url_redact, url_rewrite, url_raw_text, url_display, url_normalize, host_header, ip_block, ip_networks, target_policy, header_charset, body_encoding, byte_cut, dangling_tag, binary_text, error_category, error_counts, error_payloads, request_targets, ascii_hosts, v6_block, retry_after, owner_keys, issue_text)}
 
 _P = r"'^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$'"
 _DUCK_RAW = _RAW_INPUT.replace("STRING", "VARCHAR")
@@ -234,6 +241,7 @@ SQL = {
 }
 SQL["request_targets"] = f"""WITH r AS ({SQL['url_rewrite']}), i AS (SELECT page_id, {_DUCK_RAW} AS u FROM pages)
     SELECT page_id, CASE WHEN page_id % 7 = 6 THEN regexp_replace(r.url, '^(https?://[^/?#]*)([?#]|$)', '\\1/\\2') ELSE r.url END AS url, transformed, NULL::VARCHAR AS error FROM r JOIN i USING (page_id)"""
+SQL["ascii_hosts"] = f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'xn--bcher-kva.xn--grsse-kua.' ELSE 'xn--e1afmkfd.' END || lower(regexp_extract(url, {_P}, 3)) AS host FROM pages"
 SQL["v6_block"] = "SELECT event_id, event_id % 5 IN (0, 2, 3) AS blocked FROM events"
 SQL["error_payloads"] = "WITH m AS (SELECT event_id, user_id, CASE event_id % 11 " + " ".join("WHEN %d THEN %s" % (i, "'" + t.replace("%s", "h' || user_id || '") + "'") for i, t in enumerate(X.MESSAGES.values())) + """ END AS m FROM events),
     d AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN '"retryAfter":60' END AS a, CASE WHEN event_id % 2 = 0 THEN '"reason":"timeout"' END AS b FROM m)

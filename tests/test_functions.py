@@ -114,6 +114,13 @@ def test_line_clean_up(spark):
     assert column(spark, ["Home\n\n# T\nx", "Edit this page\ntext", "## Contents\n" + "- [a](#a)\n" * 20 + "\nend"], lambda t: M.without_leading_chrome(P.toc_removed(t))) == ["# T\nx", "\ntext", "\nend"[1:]]
 
 
+def test_whole_clean_up(spark):
+    dressed = "Edit this page\n\n# Title [#](#title)\nWas this page helpful?\n\n## Empty\n\n## Next\n\nEnd.Start [a](b)[c](d)\n\n```\nEnd.Start\n- \\|\n```\n\nNote: one thing\n\nmore text"
+    want = "\n\n# Title\n\n## Next\n\nEnd. Start [a](b) [c](d)\n\n```\nEnd.Start\n- \\|\n```\n\n### Note: one thing\n\nmore text"
+    assert column(spark, [dressed, "", None], M.cleaned) == [want, "", None]
+    assert column(spark, ["<code>a`b</code> <code>c</code>"], H.markdown) == ["`` a`b `` `c`"]
+
+
 def test_links_of_markdown(spark):
     page = F.lit("https://a.org/b/c.html")
     got = column(spark, ["[x](d) ![i](/e.png) [w](https://z.org/(q)) [f](#f)\n```\n[k](d)\n```", "no links", None], lambda t: M.links_resolved(t, page))
