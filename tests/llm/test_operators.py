@@ -352,6 +352,25 @@ def test_shards(docs, empty):
     assert sharding.shards(empty).count() == 0
 
 
+def test_shards_by_hand(docs):
+    """A row's shard by plain running sums over all rows in order."""
+    n, rows = sharding.SHARDS, []
+    for d, t in rows_of(docs):
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        rows.append((h - (1 << 64) if h >> 63 else h, sharding.NO_ID if d is None else d, len((t or "").encode()) + 1))
+    total, at, want = sum(r[2] for r in rows), 0, Counter()
+    groups: dict = {}
+    for h, d, size in sorted(rows):
+        groups.setdefault(h, []).append((d, size, at))
+        at += size
+    for group in groups.values():
+        whole = sum(size for _, size, _ in group)
+        for d, size, own in group:
+            twice = 2 * group[0][2] + whole if whole <= sharding.GROUP_SHARE * total / n else 2 * own + size
+            want[None if d == sharding.NO_ID else d, size, min(n - 1, twice * n // (2 * total))] += 1
+    assert Counter((r["doc_id"], r["size"], r["shard"]) for r in sharding.shards(docs).collect()) == want
+
+
 def test_shards_of_equal_rows(spark, monkeypatch):
     """Rows that nothing tells apart are divided too."""
     monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
