@@ -74,7 +74,8 @@ def _link(piece: Column) -> Column:
 
 def _plain(piece: Column) -> Column:
     """Text between spans: a space after a sentence's end, escaped dashes between words as dashes."""
-    return F.regexp_replace(F.regexp_replace(piece, r"(?<=[.!?:;])(?=[A-Z])", " "), r"(?<!^) *+\\- *+(?=\S)", " - ")
+    spaced = F.regexp_replace(piece, r"(?<=[.!?:;])(?=[A-Z])", " ")
+    return F.when(piece.contains("\\-"), F.regexp_replace(spaced, r"(?:(?<=[^ ]) *+|^ ++)\\- *+(?=\S)", " - ")).otherwise(spaced)
 
 
 def _pieces_tidied(line: Column) -> Column:
