@@ -31,7 +31,7 @@ GROUP_WINDOWS = 128
 #: Parts of a remainder; what is left below the last stays one piece.
 PARTS = (1024, 512, 256)
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 _ODD_SPACE = re.compile("[\x09-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _encoders: dict[str, "Encoder"] = {}
