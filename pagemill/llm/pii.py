@@ -292,7 +292,7 @@ def exceptions(known: DataFrame, key: bytes) -> DataFrame:
     def space(sort: str) -> Column:
         return F.split(sort, ":")[0]
 
-    sorted_ = written(with_gender(known), "parts")
+    sorted_ = written(with_gender(written(known, "entities")), "parts")  # written first: the texts are scanned once
     # one surrogate for each name, however often it stands: under its own sort or one without gender that follows it
     table = sorted_.select(F.col("as_sort").alias("sort"), "form").distinct().withColumn("attempt", F.lit(0)).withColumn("new", drawn("sort", "form", "attempt"))
     table = written(table, "surrogates")
