@@ -15,6 +15,18 @@ from pagemill.llm.queries import surrogate_key
 from pagemill.shipping import ship
 
 
+#: Texts in a batch that goes to a Python worker; Spark's own default of 10 000 is meant for narrower rows.
+BATCH_TEXTS = 2_000
+
+
+def prepared(spark: SparkSession) -> None:
+    """Send the sources to the executors, and keep batches of texts small where the session leaves their size at the default."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_TEXTS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.quality_filter(docs)
@@ -22,13 +34,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more) the document with the least doc_id."""
-    ship(spark)
+    prepared(spark)
     return simhash.one_of_each_group(docs)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates for personal data."""
-    ship(spark)
+    prepared(spark)
     return pii.replace_entities(docs, surrogate_key(spark)).select(*docs.columns)
 
 
@@ -39,7 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    ship(spark)
+    prepared(spark)
     return packing.packed(docs)
 
 
