@@ -318,7 +318,8 @@ def connected(links_: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    below = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return below.union(below.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
