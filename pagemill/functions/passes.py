@@ -36,6 +36,7 @@ def placeholder_source(src: Column) -> Column:
 
 # Hosts of the image proxy that puts the origin's host first in the path.
 PROXY_HOST = r"^https?://i[0-9]\.wp\.com/"
+PROXY_PATH = r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)"
 
 
 def proxied(src: Column) -> Column:
@@ -45,7 +46,7 @@ def proxied(src: Column) -> Column:
 
 def unproxied(src: Column, page_host: Column) -> Column:
     """A proxied image's address at the page's own host; other addresses stay."""
-    path = F.regexp_extract(src, r"(?i)^https?://i[0-9]\.wp\.com/[^/?#]*\.[^/?#]*(/[^?#]+)", 1)
+    path = F.regexp_extract(src, PROXY_PATH, 1)
     return F.when(proxied(src) & (path != ""), F.concat(F.lit("https://"), page_host, path)).otherwise(src)
 
 

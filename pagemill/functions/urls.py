@@ -202,6 +202,15 @@ def request_target(url: Column) -> Column:
     return once(first, rewritten)
 
 
+def with_target(rows: DataFrame, url: str = "url") -> DataFrame:
+    """``rows`` with ``resolved_url`` and ``url_error``: what ``request_target`` gives, by named steps, which keep the plan small. An address that is no URL stays as it stands."""
+    first = rows.withColumn("_n", normalized(F.col(url)))
+    second = first.withColumn("_r", raw_rewrite(F.col("_n.url")))
+    third = second.withColumn("_m", F.when(F.col("_r.transformed"), F.col("_r.url")))
+    again = third.withColumn("_a", F.when(F.col("_m").isNotNull(), normalized(F.col("_m"))["url"]).otherwise(F.col("_n.url")))
+    return again.select(*rows.columns, F.coalesce(F.when(F.col("_n.error").isNull(), F.col("_a")), F.col(url)).alias("resolved_url"), F.col("_n.error").alias("url_error"))
+
+
 def host_of_header(value: Column) -> Column:
     """The host name of a Host header: first of a list, without port, brackets, trailing dots; null if none is left."""
     first = F.lower(F.btrim(F.split(value, ",")[0]))

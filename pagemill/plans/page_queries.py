@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagemill.functions import encoding as E, html as H, markdown as M, metadata as D, passes as P, urls as U
+from pagemill.operators import blocks, content, elements
 from pagemill.sources.tables import table
 
 FETCHED_AT = "2024-01-31 00:00:00"
@@ -50,30 +51,41 @@ def gates(rows: DataFrame) -> DataFrame:
     return sized.select(*rows.columns, gate.alias("gate_failed"))
 
 
-def render(pages: DataFrame, fetched_at: str = FETCHED_AT, inline_limit: int = 0) -> DataFrame:
+def content_rows(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html") -> DataFrame:
+    """The element rows of each page's content: without noise, scored, with the region chosen."""
+    return content.regions(content.scored(content.cleaned_rows(elements.element_rows(pages, key, html, payload), key, rules), key), key)
+
+
+def to_markdown(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", host: str = "CAST(NULL AS STRING)") -> DataFrame:
+    """(key, payload, markdown, region_markdown, body, region) of each page: Markdown and markup of its content, and of the region of main content, if one was found."""
+    pieces = blocks.pieces(content_rows(pages, key, payload, rules, html), key, host)
+    return blocks.pages(blocks.lines(blocks.blocks(pieces, key, payload), key), key, payload)
+
+
+def render(pages: DataFrame, fetched_at: str = FETCHED_AT, inline_limit: int = 0, rules: content.Rules = content.Rules()) -> DataFrame:
     """The output record of each page of ``pages(page_id, url, html)``: address, title, metadata, Markdown, size, where the content came from, which gate failed.
 
-    Projections without shuffles. The address is normalized, rewritten to raw content where it can be, and normalized again. A raw page
-    keeps its text, with a line for its source. Else the region of main content is used if it passes the gates, else the cleaned body;
-    links are made absolute, and the metadata follow as a footer. ``inline_limit`` bounds the Markdown's length (0: no bound).
+    The address is normalized, rewritten to raw content where it can be, and normalized again. A raw page keeps its text, with a line for its
+    source. Others become rows of their element trees, which are shuffled once, by page: noise goes at any depth, the region of main content is
+    found by name or by score and used if it passes the gates, else the whole body; links are made absolute, and the metadata follow as a footer.
+    ``inline_limit`` bounds the Markdown's length (0: no bound).
     """
-    target = pages.select("page_id", "url", "html", U.request_target(F.col("url")).alias("target"))
     # a table whose addresses are no URLs is rendered all the same, with the address as it stands
-    base = target.select("page_id", "url", "html", F.coalesce("target.url", "url").alias("resolved_url"), F.col("target.error").alias("url_error"), E.looks_binary(F.col("html")).alias("binary"))
+    base = U.with_target(pages.select("page_id", "url", "html")).withColumn("binary", E.looks_binary(F.col("html")))
     raw = base.withColumn("raw", is_raw_page(F.col("html"), F.col("resolved_url")))
-    found = raw.select(
-        "*", D.limited(D.metadata(F.col("html"), F.col("resolved_url"))).alias("metadata"), H.primary_heading(F.col("html")).alias("heading"),
-        F.when(~F.col("raw"), H.cleaned(P.prepared(P.images_unproxied(H.body_section(F.col("html")), U.host(F.col("resolved_url")))))).alias("body"),
-    )
-    judged = gates(found.withColumn("region", H.content_region(F.col("body"))))
-    kind = F.when(F.col("raw"), "raw").when(F.col("gate_failed").isNull(), "article").otherwise("document")
-    prefers = M.prefers_heading(F.col("heading"), F.col("metadata.title")) | U.is_repository_root(F.col("resolved_url")) & F.col("heading").isNotNull()
-    title = F.when(F.col("raw"), M.raw_title(F.col("html"))).when(prefers, F.col("heading")).otherwise(F.col("metadata.title"))
+    found = raw.select("*", D.limited(D.metadata(F.col("html"), F.col("resolved_url"))).alias("metadata"), H.primary_heading(F.col("html")).alias("heading"), U.host(F.col("resolved_url")).alias("host"))
+    # pages are told apart by a number of their own: page_id may repeat or be missing
+    page = F.struct("page_id", "url", "resolved_url", "url_error", "binary", "raw", "metadata", "heading", "host", F.when(F.col("raw"), F.col("html")).alias("text"))
+    parts = to_markdown(found.select(F.monotonically_increasing_id().alias("page_row"), page.alias("page"), F.when(~F.col("raw"), F.col("html")).alias("markup")), "page_row", ("page",), rules, "markup", "page.host")
+    judged = gates(parts)
+    kind = F.when(F.col("page.raw"), "raw").when(F.col("gate_failed").isNull(), "article").otherwise("document")
+    prefers = M.prefers_heading(F.col("page.heading"), F.col("page.metadata.title")) | U.is_repository_root(F.col("page.resolved_url")) & F.col("page.heading").isNotNull()
+    title = F.when(F.col("page.raw"), M.raw_title(F.col("page.text"))).when(prefers, F.col("page.heading")).otherwise(F.col("page.metadata.title"))
     chosen = judged.select(
-        "page_id", "url", "resolved_url", "url_error", "html", "binary", "raw", "metadata", "heading", title.alias("title"), kind.alias("source_kind"),
-        F.when(~F.col("raw"), F.col("gate_failed")).alias("gate_failed"), F.when(F.col("gate_failed").isNull(), F.col("region")).otherwise(F.col("body")).alias("content"),
+        "page.*", title.alias("title"), kind.alias("source_kind"), F.when(~F.col("page.raw"), F.col("gate_failed")).alias("gate_failed"),
+        F.when(F.col("gate_failed").isNull(), F.col("region_markdown")).otherwise(F.col("markdown")).alias("content"),
     )
-    text = chosen.withColumn("text", F.when(F.col("raw"), M.with_source(F.col("html"), F.col("resolved_url"))).otherwise(M.cleaned(H.markdown(F.col("content")), keep_empty_headings=True)))
+    text = chosen.withColumn("text", F.when(F.col("raw"), M.with_source(F.col("text"), F.col("resolved_url"))).otherwise(M.cleaned(F.col("content"), keep_empty_headings=True)))
     linked = text.withColumn("text", M.links_resolved(F.col("text"), F.col("resolved_url")))
     headed = linked.withColumn("text", F.when(F.col("raw"), F.col("text")).otherwise(M.titled(M.repository_heading_stripped(F.col("text"), F.col("heading"), F.col("resolved_url")), F.col("title"))))
     footer = M.footer(F.col("title"), F.col("metadata.author"), F.col("resolved_url"), F.lit(fetched_at).cast("timestamp"), F.col("metadata.description"))
