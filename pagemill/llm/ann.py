@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pagemill.llm.common import written
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Results for each query.
@@ -100,8 +101,8 @@ class Block:
                 yield q, np.sort(np.concatenate((more, np.nonzero(seen == least)[0][: need - len(more)])))
             open_, half = np.array(left, np.int64), half * WIDEN
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        need = max(LEAST * k, math.ceil(VERIFY * len(self.ids)))
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, exact: bool = False) -> list[tuple[int, int, float]]:
+        need = len(self.ids) if exact else max(LEAST * k, math.ceil(VERIFY * len(self.ids)))
         scaled = queries * (self.norm / np.linalg.norm(queries, axis=1))[:, None]
         out: list[tuple[int, int, float]] = []
         for i, rows in self.candidates(scaled @ self.lines[:-1], need):
@@ -119,8 +120,11 @@ class Block:
         return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the ``k`` nearest found of each row for which ``is_query`` holds."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", exact: bool = False) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of the ``k`` nearest found of each row for which ``is_query`` holds; with ``exact`` every vector is verified, whatever its collisions.
+
+    Queries that don't fit one round of ``QUERY_BYTES`` are asked round after round: the best of each block are written before the next queries reach the driver.
+    """
     fit = vectors.where(usable(F.col(vector_column)) & F.col(id_column).isNotNull())
     fit = fit.select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -145,7 +149,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "
 
             def found(own: list[pd.DataFrame]) -> pd.DataFrame:
                 f = pd.concat(own)
-                rows = Block(f["id"].to_numpy(np.int64), np.stack(f["v"].to_numpy()), norm).search(ids, queries, k)
+                rows = Block(f["id"].to_numpy(np.int64), np.stack(f["v"].to_numpy()), norm).search(ids, queries, k, exact)
                 return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
             kept, size = [], 0
@@ -160,8 +164,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "
             if kept:
                 yield found(kept)
 
-        return data.mapInPandas(search, schema)
+        found = data.mapInPandas(search, schema)
+        if rounds == 1:
+            return found
+        found = written(found, "nearest-round")
+        shared.destroy()
+        return found
 
+    if rounds > 1:
+        data = written(data, "vectors")
     best = asked(0)
     for number in range(1, rounds):
         best = best.unionByName(asked(number))

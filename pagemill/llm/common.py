@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagemill.sources.tables import table
@@ -46,6 +49,19 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bytes of text that a task works at once.
+SLICE_BYTES = 4 << 20
+
+
+def sliced(frames: Iterator[pd.DataFrame], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pd.DataFrame]:
+    """``frames`` in pieces of about ``most`` characters of ``column``, or one row: what a task holds doesn't follow from the session's batch size."""
+    for f in frames:
+        upto = f[column].str.len().fillna(0).cumsum().to_numpy()
+        cuts = [0, *(np.nonzero(np.diff(upto // most))[0] + 1).tolist(), len(f)] if len(f) else [0, 0]
+        for a, b in zip(cuts, cuts[1:]):
+            yield f.iloc[a:b].reset_index(drop=True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -122,36 +122,39 @@ def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return numbered.withColumn("_part", part).join(starts, [group, "_part"]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("idx"), "n")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.shiftright("idx", BLOCK_HEIGHT))
+def _roots(block_height: int):
+    def run(block: pa.Table) -> pa.Table:
+        n = block["n"][0].as_py()
+        found = block_root(block.sort_by("idx")["h"].to_pylist(), min(block_height, height_of(n)))
+        return pa.table({"g": block["g"][:1], "idx": block["block"][:1], "n": pa.array([-(-n >> block_height)], pa.int64()), "h": [found]})
 
+    return run
 
-def _roots(block: pa.Table) -> pa.Table:
-    n = block["n"][0].as_py()
-    found = block_root(block.sort_by("idx")["h"].to_pylist(), min(BLOCK_HEIGHT, height_of(n)))
-    return pa.table({"g": block["g"][:1], "idx": block["block"][:1], "n": pa.array([-(-n >> BLOCK_HEIGHT)], pa.int64()), "h": [found]})
 
+def _paths(block_height: int):
+    def run(block: pa.Table, upper: pa.Table) -> pa.Table:
+        block = block.sort_by("idx")
+        height = min(block_height, height_of(block["n"][0].as_py()))
+        rest = upper["path"][0].as_py() if len(upper) else []
+        paths = [path + rest for path in traversed(block["h"].to_pylist(), height)] if height else [rest] * len(block)
+        return block.drop_columns(["block"]).append_column("path", pa.array(paths, pa.list_(pa.string())))
 
-def _paths(block: pa.Table, upper: pa.Table) -> pa.Table:
-    block = block.sort_by("idx")
-    height = min(BLOCK_HEIGHT, height_of(block["n"][0].as_py()))
-    rest = upper["path"][0].as_py() if len(upper) else []
-    paths = [path + rest for path in traversed(block["h"].to_pylist(), height)] if height else [rest] * len(block)
-    return block.drop_columns(["block"]).append_column("path", pa.array(paths, pa.list_(pa.string())))
+    return run
 
 
-def climbed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def climbed(nodes: DataFrame, block_height: int = BLOCK_HEIGHT) -> tuple[DataFrame, DataFrame]:
     """(g, root) of each group, and ``nodes(g, idx, n, h, ...)`` with ``path``, from each node to its group's root."""
+    blocks = lambda level: level.withColumn("block", F.shiftright("idx", block_height)).groupBy("g", "block")
     levels, most = [nodes], nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        levels.append(written(_blocks(levels[-1]).groupBy("g", "block").applyInArrow(_roots, "g string, idx long, n long, h string"), "manifest-roots"))
-        most = -(-most >> BLOCK_HEIGHT)
+        levels.append(written(blocks(levels[-1]).applyInArrow(_roots(block_height), "g string, idx long, n long, h string"), "manifest-roots"))
+        most = -(-most >> block_height)
     roots = levels[-1].select("g", F.col("h").alias("root"))
     found = levels[-1].withColumn("path", F.array().cast("array<string>"))
     for level in reversed(levels[:-1]):
         upper = found.select("g", F.col("idx").alias("block"), "path")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in level.schema) + ", path array<string>"
-        found = _blocks(level).groupBy("g", "block").cogroup(upper.groupBy("g", "block")).applyInArrow(_paths, schema)
+        found = blocks(level).cogroup(upper.groupBy("g", "block")).applyInArrow(_paths(block_height), schema)
     return roots, found
 
 
@@ -170,28 +173,28 @@ def proof(path: Column) -> Column:
     return F.transform(F.filter(path, lambda s: s != "-"), lambda s: F.substring(s, 2, 64))
 
 
-def manifest(rows: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", key: str = "doc_id", keep: dict[str, Column] | None = None) -> DataFrame:
+def manifest(rows: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", key: str = "doc_id", keep: dict[str, Column] | None = None, block_height: int = BLOCK_HEIGHT) -> DataFrame:
     """key, leaf, subroot, root, path (from the leaf over its group's root to the root) and the columns of ``keep`` for each row."""
     keep = keep or {}
     name = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))  # null before all others
     leaves = rows.select(name.alias("g"), F.col(key).alias("k"), leaf([F.col(f) for f in fields]).alias("h"), *[c.alias(f"keep_{n}") for n, c in keep.items()])
     nodes = written(placed(leaves, "g", ["k", "h"]), "manifest-nodes")
-    subroots, paths = climbed(nodes)
+    subroots, paths = climbed(nodes, block_height)
     top = placed(subroots.select(F.lit("all").alias("all"), F.col("g").alias("name"), F.col("root").alias("h")), "all", ["name"])
-    root, upper = climbed(written(top.select(F.col("all").alias("g"), "idx", "n", "h", "name"), "manifest-groups"))
+    root, upper = climbed(written(top.select(F.col("all").alias("g"), "idx", "n", "h", "name"), "manifest-groups"), block_height)
     groups = written(upper.join(root, "g").select(F.col("name").alias("g"), F.col("h").alias("subroot"), "root", F.col("path").alias("upper")), "manifest-upper")
     return paths.join(groups, "g").select(
         F.col("k").alias(key), F.col("h").alias("leaf"), "subroot", "root", F.concat("path", "upper").alias("path"), *[F.col(f"keep_{n}").alias(n) for n in keep]
     )
 
 
-def verification_report(docs: DataFrame) -> DataFrame:
+def verification_report(docs: DataFrame, block_height: int = BLOCK_HEIGHT) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of each document, where documents whose id's CRC-32 is a multiple of seven were tampered with.
 
     A document without an id is not tampered with; one without a number of characters stays as it is.
     """
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
     other = leaf([F.when(tampered, F.col(f) + 1).otherwise(F.col(f)) if f == "n_chars" else F.col(f) for f in FIELDS])
-    found = manifest(docs, keep={"other": F.when(tampered, other)})
+    found = manifest(docs, keep={"other": F.when(tampered, other)}, block_height=block_height)
     read = found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(proof(F.col("path")), ""), 256).alias("proof_sha256"), folded(F.coalesce("other", "leaf"), F.col("path")).alias("folded_root"))
     return read.withColumn("verified", F.col("folded_root") == F.col("root"))

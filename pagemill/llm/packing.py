@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import written
+from pagemill.llm.common import sliced, written
 
 CAPACITY = 2048
 END_ID = 1
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
 
     def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path).ids, np.array([END_ID], "<u4").tobytes()
-        for f in frames:
+        for f in sliced(frames):
             rows = []
             for doc_id, text in zip(f["doc_id"].astype("Int64").tolist() if f["doc_id"].isna().any() else f["doc_id"].tolist(), f["text"]):
                 ids = encode(text or "") + end

@@ -26,13 +26,14 @@ columns are not read, or pass through ``without_repeats`` whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagemill.llm.common import written
+from pagemill.llm.common import sliced, written
 
 DEPTH = 100
 KMER = 24
@@ -40,8 +41,8 @@ KMER = 24
 SEGMENT = 1 << 20
 #: Rows with bytes sorted at once, if no group is larger.
 SORTED_ROWS = 1 << 15
-#: Salts over which the runs of a hot minimizer are dealt.
-SALTS = 64
+#: Runs of a hot minimizer that are dealt and sorted together.
+SALT_RUNS = 1 << 13
 #: Text that is sampled to find hot minimizers: this much, and more where there are many partitions (about 128 runs for each).
 SAMPLE_BYTES = 8 << 20
 #: Repeated doc_ids up to which they are broadcast.
@@ -216,11 +217,9 @@ def _find(hot: np.ndarray):
             anywhere = _mixed(d.view(np.uint64) * _BASE + s.view(np.uint64)).view(np.int64)
             h = r["h"].view(np.int64)[go]
             kind = np.where(np.isin(h, hot), HOT, OPEN)
-            # runs of a hot minimizer aren't gathered by it
-            h_ = np.concatenate((h, anywhere))
             yield pd.DataFrame(
                 {
-                    "d": np.concatenate((r["d"][go], d)), "t": np.concatenate((r["t"][go], t)), "s": np.concatenate((r["s"][go], s)).astype(np.int32), "h": h_,
+                    "d": np.concatenate((r["d"][go], d)), "t": np.concatenate((r["t"][go], t)), "s": np.concatenate((r["s"][go], s)).astype(np.int32), "h": np.concatenate((h, anywhere)),
                     "no": np.concatenate(((r["n"][go] << 8) | r["o"][go], n)).astype(np.int32), "kind": np.concatenate((kind, np.full(len(d), REMOVED))).astype(np.int32),
                 }
             )
@@ -228,8 +227,9 @@ def _find(hot: np.ndarray):
     return work
 
 
-def hot_minimizers(docs: DataFrame) -> np.ndarray:
-    """Hashes of the minimizers with more than a quarter of a partition's share of the runs, in a sample of the texts: at most four for each partition.
+def hot_minimizers(docs: DataFrame) -> dict[int, int]:
+    """Hashes of the minimizers with more than a quarter of a partition's share of the runs, in a sample of the texts: at most four for each partition. The value is
+    over how many salts their runs are dealt, one for every ``SALT_RUNS`` that the sample lets expect.
 
     Any set gives right results, as all tasks use the same.
     """
@@ -245,22 +245,27 @@ def hot_minimizers(docs: DataFrame) -> np.ndarray:
     chosen = docs.where(F.shiftrightunsigned(F.xxhash64("d", "t", F.lit(9)), 11) < F.lit(int(share * (1 << 53))))
     counts = chosen.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     least = max(8, share * total / 39 / (4 * partitions))
-    return np.array([r["h"] for r in counts.where(F.col("n") > least).orderBy(F.desc("n"), "h").limit(4 * partitions).collect()], np.int64)
+    return {r["h"]: max(2, math.ceil(r["n"] / share / SALT_RUNS)) for r in counts.where(F.col("n") > least).orderBy(F.desc("n"), "h").limit(4 * partitions).collect()}
 
 
 _BYTES = "key long, salt int, d long, t long, s int, n int, o int, data binary"
 
 
-def _bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bytes_of(hot: dict[int, int]):
     """Each run with its bytes; those of a hot minimizer with a salt."""
-    for f in frames:
-        rows = []
-        for d, t, text, found in zip(f["d"].tolist(), f["t"].tolist(), f["text"], f["runs"]):
-            data = (text or "").encode("utf-8", "replace")
-            for r in found:
-                s, n, o = r["s"], r["no"] >> 8, r["no"] & 255
-                rows.append((r["h"], 1 + (d ^ t) % SALTS if r["kind"] == HOT else 0, d, t, s, n, o, data[s : s + n + DEPTH - 1]))
-        yield pd.DataFrame(rows, columns=["key", "salt", "d", "t", "s", "n", "o", "data"]).astype({"key": "int64", "salt": "int32", "d": "int64", "t": "int64", "s": "int32", "n": "int32", "o": "int32"})
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in sliced(frames):
+            rows = []
+            for d, t, text, found in zip(f["d"].tolist(), f["t"].tolist(), f["text"], f["runs"]):
+                data = (text or "").encode("utf-8", "replace")
+                for r in found:
+                    s, n, o = r["s"], r["no"] >> 8, r["no"] & 255
+                    salt = 1 + (d ^ t ^ (s * 2654435761)) % hot.get(r["h"], 1) if r["kind"] == HOT else 0
+                    rows.append((r["h"], salt, d, t, s, n, o, data[s : s + n + DEPTH - 1]))
+            yield pd.DataFrame(rows, columns=["key", "salt", "d", "t", "s", "n", "o", "data"]).astype({"key": "int64", "salt": "int32", "d": "int64", "t": "int64", "s": "int32", "n": "int32", "o": "int32"})
+
+    return work
 
 
 def equal_runs(buf: np.ndarray, at: np.ndarray, n: np.ndarray, o: np.ndarray, first: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -370,15 +375,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return marked.select("row", "text", "d", F.when(F.col("shared"), h).otherwise(F.lit(0)).cast("long").alias("t"))
 
 
+def meeting_place() -> Column:
+    """Where runs look for others of their minimizer; those of a hot one go on without meeting, and are dealt anywhere."""
+    return F.when(F.col("kind") == HOT, F.xxhash64("d", "t", "s")).otherwise(F.col("h"))
+
+
 def removed_windows(docs: DataFrame) -> DataFrame:
     """(d, t, s, n): the starts s .. s + n - 1 of the windows of document (d, t) that also start earlier. ``docs`` is ``keyed``."""
     own = docs.select("d", "t", "text")
-    found = own.mapInPandas(_find(hot_minimizers(own)), _RUN)
-    beside = Window.partitionBy("h").orderBy("kind")
+    hot = hot_minimizers(own)
+    found = own.mapInPandas(_find(np.array(list(hot), np.int64)), _RUN)
+    beside = Window.partitionBy(meeting_place()).orderBy("kind")
     met = (F.col("kind") != OPEN) | F.lag("d").over(beside).isNotNull() | F.lead("d").over(beside).isNotNull()
     settled = written(found.withColumn("met", met).where("met").drop("met"), "runs")
     lists = settled.where(F.col("kind") != REMOVED).groupBy("d", "t").agg(F.collect_list(F.struct("s", "h", "no", "kind")).alias("runs"))
-    moved = docs.select("row", "text", "d", "t").join(lists, ["d", "t"]).mapInPandas(_bytes_of, _BYTES)
+    moved = docs.select("row", "text", "d", "t").join(lists, ["d", "t"]).mapInPandas(_bytes_of(hot), _BYTES)
     once = moved.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(_sort, _BYTES)
     twice = once.repartition("key").sortWithinPartitions("key").mapInPandas(_sort, _BYTES)
     return settled.where(F.col("kind") == REMOVED).select("d", "t", "s", F.col("no").alias("n")).union(twice.select("d", "t", "s", "n"))

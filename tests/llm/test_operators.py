@@ -516,7 +516,7 @@ def test_equality_never_rests_on_hashes(spark, monkeypatch, how):
     assert (found["kind"] == (S.HOT if how == "hot" else S.OPEN)).sum() > 30
     open_ = found[found["kind"] != S.REMOVED]
     lists = [(d, 0, t, open_[open_["d"] == d][["s", "h", "no", "kind"]].to_dict("records")) for d, t in rows]
-    moved = pd.concat(list(S._bytes_of(iter([pd.DataFrame(lists, columns=["d", "t", "text", "runs"])])))).sort_values(["key", "salt"])
+    moved = pd.concat(list(S._bytes_of({int(x): 64 for x in hot})(iter([pd.DataFrame(lists, columns=["d", "t", "text", "runs"])])))).sort_values(["key", "salt"])
     monkeypatch.setattr(S, "SORTED_ROWS", 50)
     once = pd.concat(list(S._sort(iter([moved.iloc[i : i + 20] for i in range(0, len(moved), 20)])))).sort_values("key")
     twice = pd.concat(list(S._sort(iter([once.iloc[i : i + 20] for i in range(0, len(once), 20)]))))
@@ -535,11 +535,49 @@ def test_repeats_of_hot_minimizers_in_spark(spark, monkeypatch):
     rng = random.Random(12)
     passage = prose(rng, 60)
     rows = [(i, prose(rng, 15) + passage + prose(rng, 15)) for i in range(40)]
-    monkeypatch.setattr(substring_dedup, "hot_minimizers", lambda docs: substring_dedup.found_runs([(d, 0, 0, t.encode()) for d, t in rows])[1]["h"].view(np.int64))
+    monkeypatch.setattr(substring_dedup, "hot_minimizers", lambda docs: {int(h): 5 for h in substring_dedup.found_runs([(d, 0, 0, t.encode()) for d, t in rows])[1]["h"].view(np.int64)})
     got = Counter(tuple(r) for r in substring_dedup.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
     assert got == removal_by_hand(rows)
 
 
+def test_hot_runs_are_dealt_over_places_and_salts(spark):
+    """Runs of one hot minimizer meet nowhere, and their bytes are dealt over as many salts as their number asks for."""
+    import pandas as pd
+
+    rows = [(d, 0, 7 * d, 99, 1 << 8, substring_dedup.HOT) for d in range(300)] + [(d, 0, 5, 42, 1 << 8, substring_dedup.OPEN) for d in range(20)]
+    places = spark.createDataFrame(rows, "d long, t long, s int, h long, no int, kind int").select("kind", substring_dedup.meeting_place().alias("p")).distinct().groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in places} == {substring_dedup.HOT: 300, substring_dedup.OPEN: 1}
+    found = [(d, 0, "x" * 3000, [{"s": s, "h": h, "no": no, "kind": k}]) for d, _, s, h, no, k in rows[:300]]
+    moved = pd.concat(list(substring_dedup._bytes_of({99: 10})(iter([pd.DataFrame(found, columns=["d", "t", "text", "runs"])]))))
+    counts = moved.groupby("salt").size()
+    assert len(counts) == 10 and counts.max() < 100
+    many = spark.createDataFrame([(i, "The same words in every text of this table, long enough for a window of a hundred bytes and then some more. " * 3) for i in range(400)], "d long, text string").selectExpr("d", "0L AS t", "text")
+    assert max(substring_dedup.hot_minimizers(many).values()) >= 2
+
+
+def test_texts_are_worked_in_slices():
+    import pandas as pd
+
+    from pagemill.llm.common import sliced
+
+    frame = pd.DataFrame({"doc_id": range(60), "text": ["x" * 100] * 30 + [None, ""] + ["y" * 1000] + ["z"] * 27})
+    parts = list(sliced(iter([frame, frame.iloc[:0]]), most=500))
+    assert pd.concat(parts)["doc_id"].tolist() == list(range(60)) and max(p["text"].str.len().sum() for p in parts) <= 1500 and len(parts) > 6
+
+
+def test_exact_search_and_rounds(spark, monkeypatch):
+    """Every neighbour is found with ``exact``; queries asked in many rounds give what one round gives."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 16))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    is_query = F.col("vec_id") % 20 == 0
+    want = ann.brute_force(np.arange(300), v, np.arange(0, 300, 20), 20)
+    take = lambda: {r["query_id"]: [i for _, i in sorted(r["v"])] for r in ann.nearest(vectors, is_query, exact=True).groupBy("query_id").agg(F.collect_list(F.struct("rank", "vec_id")).alias("v")).collect()}
+    assert take() == want
+    monkeypatch.setattr(ann, "QUERY_BYTES", 600)
+    assert take() == want
+
+
 # Personal data
 
 
