@@ -7,6 +7,8 @@ there twice), and all that is left is packed. All stages but the last return the
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import mixing, packing, pii, quality, simhash
@@ -15,16 +17,11 @@ from pagemill.llm.queries import surrogate_key
 from pagemill.shipping import ship
 
 
-#: Texts in a batch that goes to a Python worker; Spark's own default of 10 000 is meant for narrower rows.
-BATCH_TEXTS = 2_000
-
-
-def prepared(spark: SparkSession) -> None:
-    """Send the sources to the executors, and keep batches of texts small where the session leaves their size at the default."""
-    ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(BATCH_TEXTS))
+def key_of(spark: SparkSession) -> bytes:
+    """The surrogates' key; without the setting ``spark.pagemill.surrogate.key`` the open one of the tests, which protects nothing, with a warning."""
+    if not spark.conf.get("spark.pagemill.surrogate.key", None):
+        warnings.warn("spark.pagemill.surrogate.key is not set: surrogates are made with a public key", stacklevel=2)
+    return surrogate_key(spark)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +31,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more) the document with the least doc_id."""
-    prepared(spark)
+    ship(spark)
     return simhash.one_of_each_group(docs)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates for personal data."""
-    prepared(spark)
-    return pii.replace_entities(docs, surrogate_key(spark)).select(*docs.columns)
+    ship(spark)
+    return pii.replace_entities(docs, key_of(spark)).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +48,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    prepared(spark)
+    ship(spark)
     return packing.packed(docs)
 
 
