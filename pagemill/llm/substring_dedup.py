@@ -261,7 +261,7 @@ def _bytes_of(hot: dict[int, int]):
                 data = (text or "").encode("utf-8", "replace")
                 for r in found:
                     s, n, o = r["s"], r["no"] >> 8, r["no"] & 255
-                    salt = 1 + (d ^ t ^ (s * 2654435761)) % hot.get(r["h"], 1) if r["kind"] == HOT else 0
+                    salt = 1 + ((d * 2654435761 ^ s * 2246822519 ^ t) >> 13) % hot.get(r["h"], 1) if r["kind"] == HOT else 0
                     rows.append((r["h"], salt, d, t, s, n, o, data[s : s + n + DEPTH - 1]))
             yield pd.DataFrame(rows, columns=["key", "salt", "d", "t", "s", "n", "o", "data"]).astype({"key": "int64", "salt": "int32", "d": "int64", "t": "int64", "s": "int32", "n": "int32", "o": "int32"})
 
