@@ -93,12 +93,12 @@ def _in_order(value: str, order: str, flag: str = "true") -> str:
 
 
 def blocks(rows: DataFrame, key: str, payload: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each block of ``pieces`` rows: its text, plain text, kind and boxes (inside the region, for blocks there), its markup, whether it lies in the region; the payload of the page's first row."""
-    filled = "(kind IN ('text', 'void') AND (pre OR trim(piece) <> '')) OR table IS NOT NULL"
+    """One row for each block of ``pieces`` rows: its text, plain text, kind and boxes, its markup, whether it lies in the region (``around``: boxes from this row up lie around that); the payload of the page's first row."""
+    filled = "(kind IN ('text', 'void') AND (pre OR trim(piece) <> '')) OR table IS NOT NULL OR (kind = 'start' AND piece LIKE '[!%')"
     columns = [f"first(`{c}`, true) AS `{c}`" for c in payload] + [
         f"{_in_order('piece', 'pos', 'piece <> ' + lit(''))} AS text", f"{_in_order('plain', 'pos', 'plain <> ' + lit(''))} AS plain", f"{_in_order('raw', 'pos', 'raw IS NOT NULL')} AS raw", f"{_in_order('raw', 'pos', 'in_region')} AS region_raw",
         "max(pre) AS pre", "max(level) AS level", "max(dt AND piece <> '') AS dt", "max(dd AND piece <> '') AS dd", "max(table) AS table", "max(in_region) AS in_region", "max(region IS NOT NULL) AS has_region",
-        f"min_by(filter(place, b -> NOT in_region OR b.node > region.pos), CASE WHEN {filled} THEN pos END) AS boxes", "concat_ws(' ', collect_list(code.names)) AS names", "max(code.data) AS data",
+        f"min_by(place, CASE WHEN {filled} THEN pos END) AS boxes", "max(CASE WHEN in_region THEN CASE region.tier WHEN 1 THEN region.parent ELSE region.pos END END) AS around", "concat_ws(' ', collect_list(code.names)) AS names", "max(code.data) AS data",
     ]
     return rows.groupBy(key, "block").agg(*[F.expr(c) for c in columns])
 
@@ -122,27 +122,36 @@ def lines(rows: DataFrame, key: str) -> DataFrame:
     language = F.when(F.col("names").contains("mermaid"), "mermaid").otherwise(F.coalesce(M.language_of_class(F.col("names"), F.col("data")), M.language_of_code(F.col("text")), F.lit("")))
     marked = rows.selectExpr("*", f"{is_row} AND NOT coalesce(last(CASE WHEN {is_row} THEN table END, true) {earlier} = table, false) AS _first").withColumn("_language", F.when(F.col("pre"), language).otherwise(""))
     own = marked.withColumn("own", _block_text()).selectExpr("*", "coalesce(boxes, CAST(array() AS array<struct<node:int,mark:string>>)) AS _now")
-    near = own.selectExpr("*", f"last(CASE WHEN own <> '' THEN named_struct('boxes', _now, 'own', own, 'table', table) END, true) {earlier} AS _before")
-    # marks of boxes that go on, and those that begin here
-    seen = near.selectExpr("*", "filter(_now, (b, i) -> coalesce(get(_before.boxes, i).node = b.node, false)) AS _shared", "filter(_now, (b, i) -> NOT coalesce(get(_before.boxes, i).node = b.node, false)) AS _fresh")
-    # list marks are indented by two for each level around them, which the clean-up doubles; other lines by four
-    kept = lambda boxes, space: f"array_join(transform({boxes}, b -> CASE WHEN b.mark = '> ' THEN '> ' ELSE {space} END), '')"
-    deep = "CASE WHEN exists(_fresh, f -> f.mark <> '> ') THEN '  ' ELSE '    ' END"
-    first = f"concat({kept('_shared', deep)}, array_join(transform(_fresh, b -> b.mark), ''))"
-    blank = f"rtrim({kept('_shared', lit(''))})"
+    inner = "coalesce(filter(_now, b -> b.node > around), _now)"
+    near = own.selectExpr("*", f"{inner} AS _inner").selectExpr("*", f"last(CASE WHEN own <> '' THEN named_struct('now', _now, 'inner', _inner, 'own', own, 'table', table) END, true) {earlier} AS _before")
     note = lit(r"^\[![A-Z]+\]$")
-    # items of one list, and what opens a list inside an item, stand on lines of their own, as rows of a table do; all else has a blank line between
-    tight = f"((exists(_fresh, b -> b.mark <> '> ') AND NOT exists(_fresh, b -> b.mark = '> ') AND exists(_before.boxes, b -> b.mark <> '> ') AND _before.own NOT LIKE '```%') OR table = _before.table OR _before.own RLIKE {note})"
-    gap = f"CASE WHEN _before IS NULL THEN '' WHEN coalesce({tight}, false) THEN {lit(chr(10))} ELSE concat({lit(chr(10))}, {blank}, {lit(chr(10))}) END"
-    line = f"CASE WHEN own <> '' THEN concat({first}, replace(own, {lit(chr(10))}, concat({lit(chr(10))}, {kept('_now', lit('    '))}))) END"
-    return seen.selectExpr(*[f"`{c}`" for c in rows.columns], "own", f"{gap} AS gap", f"{line} AS line")
+
+    def marked_line(boxes: str) -> tuple[str, str]:
+        """The gap and the line, with the marks of these boxes."""
+        old, now = f"_before.{boxes}", f"_{boxes}"
+        # marks of boxes that go on, and those that begin here
+        shared, fresh = f"filter({now}, (b, i) -> coalesce(get({old}, i).node = b.node, false))", f"filter({now}, (b, i) -> NOT coalesce(get({old}, i).node = b.node, false))"
+        # list marks are indented by two for each level around them, which the clean-up doubles; other lines by four
+        kept = lambda xs, space: f"array_join(transform({xs}, b -> CASE WHEN b.mark = '> ' THEN '> ' ELSE {space} END), '')"
+        deep = f"CASE WHEN exists({fresh}, f -> f.mark <> '> ') THEN '  ' ELSE '    ' END"
+        first = f"concat({kept(shared, deep)}, array_join(transform({fresh}, b -> b.mark), ''))"
+        # items of one list, and what opens a list inside an item, stand on lines of their own, as rows of a table do; all else has a blank line between
+        tight = f"((exists({fresh}, b -> b.mark <> '> ') AND NOT exists({fresh}, b -> b.mark = '> ') AND exists({old}, b -> b.mark <> '> ') AND size(filter({old}, b -> b.mark = '> ')) = size(filter({shared}, b -> b.mark = '> ')) AND _before.own NOT LIKE '```%') OR table = _before.table OR _before.own RLIKE {note})"
+        gap = f"CASE WHEN _before IS NULL THEN '' WHEN coalesce({tight}, false) THEN {lit(chr(10))} ELSE concat({lit(chr(10))}, rtrim({kept(shared, lit(''))}), {lit(chr(10))}) END"
+        plain = f"CASE WHEN _before IS NULL OR NOT coalesce(table = _before.table OR _before.own RLIKE {note}, false) THEN CASE WHEN _before IS NULL THEN '' ELSE {lit(chr(10) * 2)} END ELSE {lit(chr(10))} END"
+        line = f"concat({first}, replace(own, {lit(chr(10))}, concat({lit(chr(10))}, {kept(now, lit('    '))})))"
+        bare = f"size({now}) = 0"
+        return f"CASE WHEN {bare} THEN {plain} ELSE {gap} END", f"CASE WHEN own = '' THEN NULL WHEN {bare} THEN own ELSE {line} END"
+
+    (gap, line), (inner_gap, inner_line) = marked_line("now"), marked_line("inner")
+    return near.selectExpr(*[f"`{c}`" for c in rows.columns], "own", f"{gap} AS gap", f"{line} AS line", f"CASE WHEN in_region THEN {inner_gap} END AS inner_gap", f"CASE WHEN in_region THEN {inner_line} END AS inner_line")
 
 
 def pages(rows: DataFrame, key: str, payload: tuple[str, ...] = ()) -> DataFrame:
     """One row for each page of ``lines`` rows: ``markdown`` and ``region_markdown`` (null without a region), ``body`` and ``region`` markup, and the payload."""
-    text = lambda flag: f"array_sort(collect_list(CASE WHEN {flag} AND line IS NOT NULL THEN named_struct('block', block, 'gap', gap, 'line', line) END))"
+    text = lambda part: f"array_sort(collect_list(CASE WHEN {part}line IS NOT NULL THEN named_struct('block', block, 'gap', {part}gap, 'line', {part}line) END))"
     whole = lambda xs: f"array_join(transform({xs}, (x, i) -> CASE WHEN i = 0 THEN x.line ELSE concat(x.gap, x.line) END), '')"
     tidy = lambda t: f"regexp_replace(regexp_replace({t}, {lit(chr(92) + 'n{3,}')}, {lit(chr(10) * 2)}), {lit(EDGES)}, '')"
-    columns = [f"first(`{c}`, true) AS `{c}`" for c in payload] + [f"{text('true')} AS _all", f"{text('in_region')} AS _in", f"{_in_order('raw', 'block')} AS body", f"{_in_order('region_raw', 'block')} AS _region", "max(has_region) AS _has"]
+    columns = [f"first(`{c}`, true) AS `{c}`" for c in payload] + [f"{text('')} AS _all", f"{text('inner_')} AS _in", f"{_in_order('raw', 'block')} AS body", f"{_in_order('region_raw', 'block')} AS _region", "max(has_region) AS _has"]
     found = rows.groupBy(key).agg(*[F.expr(c) for c in columns])
     return found.selectExpr(f"`{key}`", *[f"`{c}`" for c in payload], f"{tidy(whole('_all'))} AS markdown", f"CASE WHEN _has THEN {tidy(whole('_in'))} END AS region_markdown", "body", "CASE WHEN _has THEN _region END AS region")

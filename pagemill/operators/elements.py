@@ -81,6 +81,7 @@ class Tree:
         self.items: list[int] = []  # next number of each open list; None for lists without numbers
         self.count = [0] * len(COUNTS)
         self.begun: list[tuple] = []  # the counts when each open element began
+        self.ended: set[str] = set()  # page and body, whose end tags end nothing yet
         self.mains = self.links = self.titles = 0  # open main parts, links, headings
 
     def add(self, kind, name, raw, text, attrs, node=None, closed=None) -> int:
@@ -121,7 +122,7 @@ class Tree:
         while len(self.open) > depth:
             name, start = self.open.pop()
             self.at[name].pop()
-            closed = own and len(self.open) == depth
+            closed = own and len(self.open) == depth or name in self.ended
             first, begun = self.rows[start], self.begun.pop()
             self.mains -= begun[-1]
             self.links -= name == "a"
@@ -193,6 +194,7 @@ class Tree:
 
     def end(self, name: str) -> None:
         if name in ("html", "body"):
+            self.ended.add(name)
             return
         if self.ignored[name]:
             self.ignored[name] -= 1

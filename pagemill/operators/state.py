@@ -118,10 +118,19 @@ def page(table: DataFrame, order: str, after, size: int) -> DataFrame:
     return rest.orderBy(order).limit(size + 1)
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def progress(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Only the rows on which a key's value exceeds all before."""
     before = F.max(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(value) > F.col("_before"))).drop("_before")
+    name = _unused(events, "_before")
+    return events.withColumn(name, before).where(F.col(name).isNull() | (F.col(value) > F.col(name))).drop(name)
 
 
 def spans(events: DataFrame, key: str, kind: str, start: str, end: str, ts: str = "ts", tie: str = "event_id", within: str = "1 day") -> DataFrame:
@@ -154,7 +163,8 @@ def cancelled(tasks: DataFrame, requests: DataFrame) -> DataFrame:
 def status_changes(events: DataFrame, task: str, order: list[str], status: str) -> DataFrame:
     """The rows on which a task's status differs from the one before, and the first."""
     before = F.lag(status).over(Window.partitionBy(task).orderBy(*order))
-    return events.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col(status))).withColumnRenamed("_before", "previous")
+    name = _unused(events, "_before")
+    return events.withColumn(name, before).where(~F.col(name).eqNullSafe(F.col(status))).withColumnRenamed(name, "previous")
 
 
 def stage_times(events: DataFrame, key: str, stage: str, ts: str = "ts", tie: str = "event_id", budget_s: float = 30.0, warn: float = 0.5) -> DataFrame:

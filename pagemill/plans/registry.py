@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import event_queries, page_queries, pass_queries, url_queries
+from pagemill.plans import event_queries, page_queries, pass_queries, tree_queries, url_queries
 from pagemill.shipping import shipped
 
-_GROUPS = (page_queries, pass_queries, url_queries, event_queries)
+_GROUPS = (page_queries, tree_queries, pass_queries, url_queries, event_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
