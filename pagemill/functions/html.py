@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.functions import markdown as markdown_, passes
-from pagemill.functions.binding import once
+from pagemill.functions.binding import inside, once
 
 HEAD_SCAN = 50_000
 
@@ -40,17 +40,20 @@ def tag_count(html: Column, pattern: str) -> Column:
 
 
 def without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    return F.regexp_replace(html, r"(?s)<!--(?:.*?-->|.*+\z)", "")
 
 
 def without_elements(html: Column, names) -> Column:
     """Without the named elements and all they hold. Navigation may be nested, up to four deep: innermost elements go first."""
     for name in names:
-        if name in NAVIGATION_TAGS:
+        if name in ("script", "style"):  # without an end these reach to the end of the page
+            html = F.regexp_replace(html, rf"(?is)<{name}\b[^<>]*+>(?:.*?</{name}\s*>|.*+\z)", "")
+        elif name in NAVIGATION_TAGS:
             for _ in range(4):
                 html = F.regexp_replace(html, rf"(?is)<{name}\b[^<>]*+>(?:(?!</?{name}\b).)*+</{name}\s*>", "")
         else:
-            html = F.regexp_replace(html, rf"(?is)<{name}\b[^<>]*+>.*?</{name}\s*>", "")
+            for _ in range(2):
+                html = F.regexp_replace(html, rf"(?is)<{name}\b[^<>]*+>{inside(name)}</{name}\s*>", "")
     return html
 
 
@@ -193,7 +196,7 @@ def _heading_text(html: Column, pattern: str) -> Column:
 
 
 _MARKED_TITLE = r"(?is)<[a-z][a-z0-9]*\b[^<>]*\sdata-title\s*=\s*[\"']?true[\"']?[^<>]*>([^<]*+)<"
-_H1, _H2 = r"(?is)<h1\b[^<>]*+>(.*?)</h1\s*>", r"(?is)<h2\b[^<>]*+>(.*?)</h2\s*>"
+_H1, _H2 = (rf"(?is)<{h}\b[^<>]*+>({inside(h)})</{h}\s*>" for h in ("h1", "h2"))
 
 
 def primary_heading(html: Column) -> Column:
@@ -221,9 +224,9 @@ def tables(html: Column) -> Column:
     """Tables as rows of pipes, with a line of dashes under the first row."""
 
     def one(table: Column) -> Column:
-        cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^<>]*+>(.*?)</t[hd]\s*>"), F.lit(1)), lambda c: F.btrim(c, F.lit(" \t\r\n")))
+        cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(rf"(?is)<t[hd]\b[^<>]*+>({inside('t[hd]')})</t[hd]\s*>"), F.lit(1)), lambda c: F.btrim(c, F.lit(" \t\r\n")))
         line = lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
-        rows = F.filter(F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^<>]*+>(.*?)</tr\s*>"), F.lit(1)), cells), lambda r: F.size(r) > 0)
+        rows = F.filter(F.transform(F.regexp_extract_all(table, F.lit(rf"(?is)<tr\b[^<>]*+>({inside('tr')})</tr\s*>"), F.lit(1)), cells), lambda r: F.size(r) > 0)
         rule = lambda rs: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(rs[0])), " | "), F.lit(" |"))
         text = lambda rs: F.concat(F.lit("\n\n"), line(rs[0]), F.lit("\n"), rule(rs), F.array_join(F.transform(F.slice(rs, 2, 1_000_000_000), lambda r: F.concat(F.lit("\n"), line(r))), ""), F.lit("\n\n"))
         return once(rows, lambda rs: F.when(F.size(rs) > 0, text(rs)).otherwise(F.lit("")))
@@ -295,12 +298,12 @@ def inline_marks(html: Column) -> Column:
     """Links, diagrams in divs, headings, emphasis and blocks as Markdown; what else is left of tags goes."""
     out = F.regexp_replace(html, r"(?is)<div\b[^<>]*class=[\"'][^\"']*\bmermaid\b[^<>]*>((?:(?!</?div\b).)*+)</div\s*>", "\n\n```mermaid\n$1\n```\n\n")
     for n in range(1, 7):
-        out = F.regexp_replace(out, rf"(?is)<h{n}\b[^<>]*+>\s*+(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
-    out = F.regexp_replace(out, r"(?is)<a\b[^<>]*?\shref=[\"']([^\"']*+)[\"'][^<>]*+>(.*?)</a\s*>", "[$2]($1)")
+        out = F.regexp_replace(out, rf"(?is)<h{n}\b[^<>]*+>\s*+({inside(f'h{n}')})</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
+    out = F.regexp_replace(out, rf"(?is)<a\b[^<>]*?\shref=[\"']([^\"']*+)[\"'][^<>]*+>({inside('a')})</a\s*>", "[$2]($1)")
     # code that holds a back-tick takes two
     out = F.regexp_replace(out, r"(?is)<code\b[^<>]*+>([^<`]*+`[^<]*+)</code\s*>", "`` $1 ``")
     for names, mark in WRAPPED:
-        out = F.regexp_replace(out, rf"(?is)<({names})\b[^<>]*+>(.*?)</\1\s*>", mark.replace("$", "\\$") + "$2" + mark)
+        out = F.regexp_replace(out, rf"(?is)<({names})\b[^<>]*+>((?:(?!</?\1\b).)*+)</\1\s*>", mark.replace("$", "\\$") + "$2" + mark)
     for pattern, new in (
         (r"(?is)<blockquote\b[^<>]*+>\s*", "\n\n> "),
         (r"(?is)<br\b[^<>]*+>", "\n"),
@@ -324,7 +327,7 @@ def markdown(html: Column) -> Column:
 
 def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, pos, kind, name, raw): the tags, comments and text pieces of each page as rows, for audits."""
-    parts = F.regexp_extract_all("html", F.lit(r"(?s)<!--.*?-->|<[^<>]*>|[^<]+"), F.lit(0))
+    parts = F.regexp_extract_all("html", F.lit(r"(?s)<!--(?:.*?-->|.*+\z)|<[^<>]*>|[^<]+"), F.lit(0))
     rows = pages.select(key, F.posexplode(parts).alias("pos", "raw"))
     raw = F.col("raw")
     kind = F.when(raw.startswith("<!--"), "comment").when(raw.startswith("<!"), "doctype").when(raw.startswith("</"), "end").when(raw.startswith("<"), "start").otherwise("text")
@@ -333,7 +336,7 @@ def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, pos, href, text): the anchors of each page as rows."""
-    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^<>]*>.*?</a\s*>"), F.lit(0))
+    anchors = F.regexp_extract_all("html", F.lit(rf"(?is)<a\b[^<>]*>{inside('a')}</a\s*>"), F.lit(0))
     rows = pages.select(key, F.posexplode(anchors).alias("pos", "raw"))
     text = F.btrim(F.regexp_replace(unescaped(F.regexp_replace("raw", r"(?s)<[^<>]*>", "")), r"\s+", " "))
     return rows.select(key, "pos", attribute(F.regexp_extract("raw", r"(?s)^<[^<>]*>", 0), "href").alias("href"), text.alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagemill.functions import html as H, urls as U
-from pagemill.functions.binding import once
+from pagemill.functions.binding import inside, once
 
 FIELDS = ("title", "description", "author", "image", "favicon", "published_at", "modified_at")
 
@@ -21,7 +21,7 @@ def _meta(html: Column, kind: str, name: str) -> Column:
 
 
 def title_tag(html: Column) -> Column:
-    inner = F.regexp_extract(html, r"(?is)<title\b[^<>]*>(.*?)</title\s*>", 1)
+    inner = F.regexp_extract(html, rf"(?is)<title\b[^<>]*>({inside('title')})</title\s*>", 1)
     return F.nullif(F.btrim(H.unescaped(inner), F.lit(" \t\n\r")), F.lit(""))
 
 

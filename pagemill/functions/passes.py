@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pagemill.functions.binding import once
+from pagemill.functions.binding import inside, once
 
 # Lazy-loading attributes that hold an image's real address.
 LAZY_SOURCES = ("data-src", "data-lazy-src", "data-original")
@@ -149,12 +149,12 @@ def table_cells(html: Column) -> Column:
         return F.replace(flat, F.lit("|"), F.lit("\\|"))
 
     head = lambda x: F.regexp_replace(x, r"(?i)<(/?)td\b", "<$1th")
-    return once(html, lambda h: F.when(h.rlike(r"(?i)<t[hd]\b"), each(each(h, CELL, cell), r"(?is)<thead\b[^<>]*>.*?</thead\s*>", head)).otherwise(h))
+    return once(html, lambda h: F.when(h.rlike(r"(?i)<t[hd]\b"), each(each(h, CELL, cell), rf"(?is)<thead\b[^<>]*>{inside('thead')}</thead\s*>", head)).otherwise(h))
 
 
 def definition_lists(html: Column) -> Column:
     """Terms in bold, definitions after a colon."""
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<dt\b[^<>]*>\s*(.*?)\s*</dt\s*>", "<p><b>$1</b></p>"), r"(?is)<dd\b[^<>]*>\s*(.*?)\s*</dd\s*>", "<p>: $1</p>")
+    return F.regexp_replace(F.regexp_replace(html, rf"(?is)<dt\b[^<>]*>\s*+({inside('dt')})</dt\s*>", "<p><b>$1</b></p>"), rf"(?is)<dd\b[^<>]*>\s*+({inside('dd')})</dd\s*>", "<p>: $1</p>")
 
 
 def code_lines(html: Column) -> Column:

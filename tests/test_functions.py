@@ -154,7 +154,7 @@ def test_a_busy_key_is_folded_in_batches(spark):
 LONG = {
     "open tags": "<" * 100_000, "open links": '<a href="' * 12_000, "hidden": "<div hidden>" + "x é😀" * 25_000 + "</div>", "nested": "<nav>" * 300 + "y" * 100_000 + "</nav>" * 300,
     "lists": "<ul><li>" * 60 + "z" * 100_000, "cells": "<table><tr><td>" + "c<br>" * 20_000 + "</td></tr></table>", "code": "<pre>" + "line\n" * 20_000 + "</pre>",
-    "payload": '<script>self.__next_f.push([1,"' + "ab\\n" * 25_000 + '"])</script>', "lines": "Text. More\n\n# H\n- i `c` [l](u)\n" * 3_000, "spaces": "<p>" + " " * 100_000 + "x",
+    "payload": '<script>self.__next_f.push([1,"' + "ab\\n" * 25_000 + '"])</script>', "scripts": "<script>" * 12_000, "bold": "<p>x<b>" * 14_000, "anchors": "<a href='x'>y" * 8_000, "comments": "<!-- " * 20_000, "titles": "<title><h1>" * 9_000, "terms": "<dl><dt>x<dd>y" * 7_000, "lines": "Text. More\n\n# H\n- i `c` [l](u)\n" * 3_000, "spaces": "<p>" + " " * 100_000 + "x",
 }
 
 
