@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagemill.functions import encoding as E, html as H, markdown as M, metadata as D, passes as P, urls as U
 from pagemill.operators import blocks, content, elements
-from pagemill.sources.tables import table
+from pagemill.sources.tables import spread_table, table
 
 FETCHED_AT = "2024-01-31 00:00:00"
 
@@ -98,7 +98,7 @@ def render(pages: DataFrame, fetched_at: str = FETCHED_AT, inline_limit: int = 0
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(_pages(spark, sf_dir)).drop("metadata")
+    return render(spread_table(spark, sf_dir, "pages")).drop("metadata")
 
 
 def limited_report(spark: SparkSession, sf_dir: str) -> DataFrame:
