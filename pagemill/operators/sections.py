@@ -32,8 +32,8 @@ def upserted(texts: DataFrame, sections: DataFrame, key: str, text: str) -> Data
     order = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.row_number().over(Window.partitionBy(key, "heading").orderBy("n")) == 1
     marked = rows.withColumn("first", first & (F.col("n") > 0))
-    met = marked.join(new.withColumnRenamed("heading", "h").withColumnRenamed(key, "k"), F.col(key).eqNullSafe(F.col("k")) & (F.col("heading") == F.col("h")) & F.col("first"), "full")
-    whole = met.select(F.coalesce(key, "k").alias(key), "n", "level", "body", "title", "content")
+    met = marked.join(new.withColumnRenamed("heading", "_h").withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("heading") == F.col("_h")) & F.col("first"), "full")
+    whole = met.select(F.coalesce(key, "_k").alias(key), "n", "level", "body", "title", "content")
     # a section reaches to the next heading of its level or above: the subsections of a replaced one go with it
     replaced = F.last(F.when(F.col("title").isNotNull() & F.col("n").isNotNull(), F.struct("n", "level")), ignorenulls=True).over(order)
     since = Window.partitionBy(key, "_in.n").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)

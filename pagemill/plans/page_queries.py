@@ -103,8 +103,7 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limited_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within 1000 characters a page."""
-    rows = render(_pages(spark, sf_dir), inline_limit=1000)
-    return rows.select("page_id", (F.length("markdown") <= 1000).alias("fits"), (~F.col("truncated") | F.col("markdown").endswith(M.MARKER)).alias("marked"))
+    return render(_pages(spark, sf_dir), inline_limit=1000).select("page_id", "markdown", "content_size", "truncated")
 
 
 def decoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,5 +363,7 @@ SQL = {
     "tidied_lines": "SELECT doc_id, '# Title' || chr(10) || chr(10) || 'see `a.b` x [`c](d) [e](f) g' || chr(10) || 'w ' || regexp_replace(text, '[^\\p{L}\\p{N} ]+', ' ', 'g') || 'w' || chr(10) || chr(10) || '- item' || chr(10) || 't - u [v]' || chr(10) || chr(10) || 'a: \"x\"' || chr(10) || chr(10) || 'b: \"y\"' || chr(10) || '| \\<b\\> | c |' AS markdown FROM documents",
     "help_section": "SELECT doc_id, '# Usage notes' || chr(10) || replace(text, '#', '') AS part FROM documents",
     "decoded_pages": "SELECT page_id, CASE WHEN page_id % 5 < 3 THEN html END AS html, CASE page_id % 5 WHEN 3 THEN 'binary_content' WHEN 4 THEN 'unsupported_type' END AS body_error FROM pages",
-    "limited_report": "SELECT page_id, true AS fits, true AS marked FROM pages",
+    "limited_report": f"""WITH r AS (SELECT page_id, markdown, length(markdown) > 1000 AS truncated FROM ({_REPORT})),
+        c AS (SELECT page_id, truncated, CASE WHEN truncated THEN regexp_replace(left(markdown, {1000 - len(M.MARKER)}), '!?\\[[^\\]\\[]*(\\](\\([^)]*)?)?$', '') || chr(10) || chr(10) || '...[truncated]' ELSE markdown END AS markdown FROM r)
+        SELECT page_id, markdown, length(markdown)::INTEGER AS content_size, truncated FROM c""",
 }

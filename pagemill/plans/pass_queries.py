@@ -82,7 +82,8 @@ def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("accessToken"), F.lit("x"), F.lit("kind"), F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.map_keys(P.logged(fields)), ",").alias("keys"))
+    kept = P.logged(fields)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.map_keys(kept), ",").alias("keys"), F.array_join(F.map_values(kept), ",").alias("values"))
 
 
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +118,7 @@ SQL = {f"pass_{n}": _expected(n) for n in _CASES} | {
         SELECT 'https://e.org/' || start AS start, 'https://e.org/' || f AS final, hops, error FROM l WHERE k = 1""",
     "alias_policy": "SELECT 'h' || page_id || '.org' AS start, CASE WHEN page_id % 6 = 0 THEN '10.0.0.1' WHEN page_id % 3 = 0 THEN '8.8.8.8' ELSE 'h' || page_id || '.org' END AS final, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS hops, page_id % 6 = 0 AS is_blocked FROM pages",
     "page_payloads": "SELECT page_id, unnest(['a' || chr(10) || 'b é' || page_id, 'x\"y']) AS payload FROM pages",
-    "log_fields": "SELECT event_id, 'user,kind' AS keys FROM events",
+    "log_fields": "SELECT event_id, 'user,kind' AS keys, concat_ws(',', user_id::VARCHAR, event_type) AS values FROM events",
     "cursors": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_id::VARCHAR END AS anchor FROM events",
     "image_sources": """SELECT page_id, page_id % 5 NOT IN (2, 3) AS placeholder, page_id % 5 = 3 AS proxied, CASE page_id % 5 WHEN 0 THEN '/img/blank.gif' WHEN 1 THEN 'data:image/png;base64,xx' WHEN 2 THEN '/img/' || page_id || '.png'
         WHEN 3 THEN 'https://' || regexp_extract(url, '^https?://([^/?#:]+)', 1) || '/a/' || page_id || '.png' END AS src, true AS host_like, page_id % 5 IN (1, 4) AS kept FROM pages""",
