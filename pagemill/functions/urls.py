@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+import re
+from urllib.parse import quote, unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -188,6 +190,68 @@ def ascii_host(name: Column) -> Column:
     return F.nullif(F.lower(_idna(F.rtrim(F.lower(F.btrim(name)), F.lit(".")))), F.lit(""))
 
 
+# Fixed values of the URL standard: full stops of host names, and characters that no host has.
+_STOPS = re.compile("[.\u3002\uff0e\uff61]")
+_NO_HOST = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
+_WEB = re.compile(r"(https?):[/\\]*([^/\\?#]*)([^?#]*)(.*)", re.I | re.S)
+_NUMBER = re.compile(r"0[xX][0-9a-fA-F]*|[0-9]+")
+#: What needs a closer look: characters beyond printable ASCII, back slashes, odd slashes, per cent signs before the path, hosts that end in a number.
+_ODD = r"[^\x21-\x7e]|\\|^(?i)https?:(?!//[^/])|^[^/?#]*//[^/?#]*%|^[^/?#]*//(?:[^/?#@]*@)?(?:[^/?#@:]*\.)?(?:0[xX][0-9a-fA-F]*|[0-9]+)\.?(?:[:/?#]|$)"
+
+
+def _v4_of(labels: list[str]) -> str | None:
+    """The dotted form of an address of one to four numbers, octal or hexadecimal too; the last one fills what is left. None if it is none."""
+    if len(labels) > 4 or not all(_NUMBER.fullmatch(x) for x in labels):
+        return None
+    try:
+        numbers = [int(x[2:] or "0", 16) if x[:2] in ("0x", "0X") else int(x, 8 if x[0] == "0" else 10) for x in labels]
+    except ValueError:
+        return None
+    if any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
+        return None
+    value = sum(n * 256 ** (3 - i) for i, n in enumerate(numbers[:-1])) + numbers[-1]
+    return str(ipaddress.IPv4Address(value))
+
+
+def plain_host(name: str) -> str | None:
+    """A URL's host as it is asked for: escapes decoded, letters in ASCII form, numbers as a dotted address; None if it is no host."""
+    try:
+        labels = [x.lower() if x.isascii() else x.encode("idna").decode().lower() for x in _STOPS.split(unquote_to_bytes(name).decode())]
+    except UnicodeError:
+        return None
+    if any("." in x or _NO_HOST.search(x) for x in labels):
+        return None
+    bare = labels[:-1] if len(labels) > 1 and not labels[-1] else labels
+    return _v4_of(bare) if _NUMBER.fullmatch(bare[-1]) else ".".join(labels)
+
+
+def _as_read(url: str) -> str:
+    text = re.sub(r"[\t\n\r]", "", url.strip("".join(map(chr, range(33)))))
+    parts = _WEB.fullmatch(text)
+    if not parts:
+        return text
+    user, at, place = parts[2].rpartition("@")
+    if place.startswith("["):
+        return text
+    name, colon, port = place.partition(":")
+    rest = quote(parts[3].replace("\\", "/") + parts[4], safe="".join(map(chr, range(33, 127))))
+    return f"{parts[1]}://{user}{at}{plain_host(name) or ''}{colon}{port}{rest}"
+
+
+@F.pandas_udf(T.StringType())
+def _read(url: pd.Series) -> pd.Series:
+    return url.map(lambda x: None if x is None else _as_read(x))
+
+
+def as_read(url: Column) -> Column:
+    """A web address as browsers read it, for ``normalized`` to judge: tabs and line ends go, back slashes become slashes, host names of any script become
+    ASCII (by IDNA 2003), numbers a dotted address, other characters in paths and queries escapes of UTF-8. A host that can't be is left empty, which is invalid.
+
+    Addresses without any of these stay as they are and never reach Python.
+    """
+    return F.coalesce(_read(F.when(url.rlike(_ODD), url)), url)
+
+
 def request_target(url: Column) -> Column:
     """struct<url, original, transformed, error>: the address normalized, rewritten to raw content where it can be, and normalized again then."""
     first = normalized(url)
@@ -203,8 +267,8 @@ def request_target(url: Column) -> Column:
 
 
 def with_target(rows: DataFrame, url: str = "url") -> DataFrame:
-    """``rows`` with ``resolved_url`` and ``url_error``: what ``request_target`` gives, by named steps, which keep the plan small. An address that is no URL stays as it stands."""
-    first = rows.withColumn("_n", normalized(F.col(url)))
+    """``rows`` with ``resolved_url`` and ``url_error``: what ``request_target`` gives, by named steps, which keep the plan small, for addresses in any script (``as_read``). An address that is no URL stays as it stands."""
+    first = rows.withColumn("_n", normalized(as_read(F.col(url))))
     second = first.withColumn("_r", raw_rewrite(F.col("_n.url")))
     third = second.withColumn("_m", F.when(F.col("_r.transformed"), F.col("_r.url")))
     again = third.withColumn("_a", F.when(F.col("_m").isNotNull(), normalized(F.col("_m"))["url"]).otherwise(F.col("_n.url")))

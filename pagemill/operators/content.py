@@ -60,6 +60,8 @@ class Rules:
     selectors: tuple[str, ...] = ()
     aggressive: bool = False
     keep_drawings: bool = False
+    #: whether previews that repeat the code of their figure go; pages with figures are read twice then
+    previews: bool = False
 
 
 def lit(value: str) -> str:

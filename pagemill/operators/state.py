@@ -142,6 +142,23 @@ def spans(events: DataFrame, key: str, kind: str, start: str, end: str, ts: str
     return following.where(fits).select(key, tie, F.col(ts).alias("started"), F.col("_at").alias("ended"))
 
 
+# Fixed value: milliseconds beyond which a request is slow.
+SLOW_REQUEST_MS = 5_000
+
+
+def request_spans(starts: DataFrame, ends: DataFrame, request: str = "request_id", within: str = "1 hour", slow_ms: int = SLOW_REQUEST_MS) -> DataFrame:
+    """(request, started, ended, ms, slow) of ``starts(request, started)`` and ``ends(request, ended)``, timestamps: each request that ends within a time.
+
+    Tables or streams. Streams need watermarks on both times: the bound on the time between them then lets either side forget what can no longer
+    meet its partner, and rows later than the watermark are left out. Rows without request or time meet nothing; a request that starts or ends more than once
+    has a row for each start and end that lie within the time.
+    """
+    a, b = starts.select(F.col(request).alias(request), "started"), ends.select(F.col(request).alias("_ended_request"), "ended")
+    met = a.join(b, (F.col(request) == F.col("_ended_request")) & (F.col("ended") >= F.col("started")) & (F.col("ended") <= F.col("started") + F.expr(f"INTERVAL {within}")))
+    ms = F.floor((F.unix_micros("ended") - F.unix_micros("started")) / 1000)
+    return met.select(request, "started", "ended", ms.alias("ms"), (ms > slow_ms).alias("slow"))
+
+
 # Fixed value: milliseconds that a delivered result is still kept.
 DELIVERY_GRACE_MS = 10_000
 

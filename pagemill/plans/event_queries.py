@@ -75,6 +75,21 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spans(_events(spark, sf_dir), "user_id", "event_type", "click", "purchase")
 
 
+def request_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of events as starts and ends of requests: those that took an hour at most, and which took more than half of it."""
+    starts, ends = stateful.requests_of(_events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp")))
+    return _told(S.request_spans(starts, ends, within="1 hour", slow_ms=1_800_000))
+
+
+def stream_request_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a join of two streams."""
+    return _told(stateful.request_spans_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", within="1 hour", slow_ms=1_800_000))
+
+
+def _told(spans: DataFrame) -> DataFrame:
+    return spans.select("request_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "ms", "slow")
+
+
 def task_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the events, as tasks that began at their time and some of which ended or were delivered, have expired at the end of the month."""
     ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
@@ -122,7 +137,7 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.rate_limit_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", limit=3, window_ms=86_400_000)
 
 
-QUERIES = {f.__name__: f for f in (rate_limit, token_bucket, event_sessions, last_seen, owner_counts, value_percentiles, task_states, task_page, ttl_values, progress, event_spans, task_expiry, task_cancel, task_feed, stage_times, progress_steps, windows, stream_windows, stream_rate_limit)}
+QUERIES = {f.__name__: f for f in (rate_limit, token_bucket, event_sessions, last_seen, owner_counts, value_percentiles, task_states, task_page, ttl_values, progress, event_spans, request_spans, stream_request_spans, task_expiry, task_cancel, task_feed, stage_times, progress_steps, windows, stream_windows, stream_rate_limit)}
 
 _LIMIT = """
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
@@ -165,3 +180,5 @@ SQL = {
     "windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2",
 }
 SQL["stream_windows"] = SQL["windows"]
+SQL["request_spans"] = SQL["stream_request_spans"] = """SELECT s.event_id AS request_id, epoch_us(s.ts) AS started_us, epoch_us(e.ts) AS ended_us, (epoch_us(e.ts) - epoch_us(s.ts)) // 1000 AS ms, (epoch_us(e.ts) - epoch_us(s.ts)) // 1000 > 1800000 AS slow
+    FROM events s JOIN events e ON s.event_id % 2 = 0 AND e.event_id = s.event_id + 1 AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagemill.functions import encoding as E, html as H, markdown as M, metadata as D, passes as P, urls as U
-from pagemill.operators import blocks, content, elements
+from pagemill.operators import blocks, content, elements, previews
 from pagemill.sources.tables import spread_table, table
 
 FETCHED_AT = "2024-01-31 00:00:00"
@@ -53,7 +53,11 @@ def gates(rows: DataFrame) -> DataFrame:
 
 def content_rows(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html") -> DataFrame:
     """The element rows of each page's content: without noise, scored, with the region chosen."""
-    return content.regions(content.scored(content.cleaned_rows(elements.element_rows(pages, key, html, payload), key, rules), key), key)
+    rows = elements.element_rows(pages, key, html, payload)
+    if rules.previews:
+        figures = pages.where(F.col(html).rlike("(?i)<figure") & F.col(html).rlike("(?i)<pre"))
+        rows = previews.without(rows, previews.redundant(elements.element_rows(figures, key, html), key), key)
+    return content.regions(content.scored(content.cleaned_rows(rows, key, rules), key), key)
 
 
 def to_markdown(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", host: str = "CAST(NULL AS STRING)") -> DataFrame:

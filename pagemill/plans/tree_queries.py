@@ -70,6 +70,21 @@ def preserved_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FIGURE = (
+    '<figure><div class="view"><p>Hello  #</p><div><span>name #</span></div></div><div class="code"><pre>print("Hello #",\n "name #")</pre></div><div><p>Hello #</p><p>not in code #</p></div>'
+    '<section><a href="/x">Hello #</a></section><div><svg></svg><p>name #</p><p>drawn #</p></div><figcaption>Hello #</figcaption></figure>'
+)
+
+
+def code_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each page's region of content without previews that repeat code, after a figure was put into it: the first and the last pane go, the others say more than the code."""
+    dressing = F.replace(F.lit(FIGURE), F.lit("#"), F.col("page_id").cast("string"))
+    pages = _pages(spark, sf_dir).select("page_id", F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), dressing)).alias("html"))
+    rows = content_rows(pages, "page_id", rules=content.Rules(previews=True)).where("kind = 'text' AND in_region")
+    whole = F.expr("array_join(transform(array_sort(collect_list(struct(pos, text))), x -> x.text), ' ')")
+    return rows.groupBy("page_id").agg(F.btrim(F.regexp_replace(whole, r"\s+", " ")).alias("text"))
+
+
 def _escaped(text: str) -> F.col:
     return F.replace(F.replace(F.col(text), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
@@ -110,7 +125,7 @@ def upserted_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.upserted(docs, new, "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (element_counts, element_texts, content_scores, nested_noise, preserved_marks, quoted_documents, decoded_references, payload_references, upserted_sections)}
+QUERIES = {f.__name__: f for f in (element_counts, element_texts, content_scores, nested_noise, preserved_marks, code_previews, quoted_documents, decoded_references, payload_references, upserted_sections)}
 
 # Pages without comments and what scripts and styles hold.
 _PLAIN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
@@ -136,6 +151,8 @@ SQL = {
         SELECT pages.page_id, CASE WHEN score > 0 THEN 'article' END AS name, coalesce(score, 0) AS score FROM pages LEFT JOIN s USING (page_id)""",
     "nested_noise": f"""WITH a AS (SELECT page_id, regexp_extract({_PLAIN}, '(?s)<article>(.*)</article>', 1) AS a FROM pages)
         SELECT page_id, trim(regexp_replace({_DECODED("regexp_replace(a, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM a""",
+    "code_previews": f"""WITH a AS (SELECT page_id, regexp_extract({_PLAIN}, '(?s)<article>(.*)</article>', 1) AS a FROM pages)
+        SELECT page_id, trim('print("Hello ' || page_id || '", "name ' || page_id || '") Hello ' || page_id || ' not in code ' || page_id || ' Hello ' || page_id || ' Hello ' || page_id || ' ' || trim(regexp_replace({_DECODED("regexp_replace(a, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))) AS text FROM a""",
     "preserved_marks": """SELECT page_id, '![one ' || page_id || '](/a' || page_id || '.png) ![two](/b' || page_id || '.png)' AS images, '## Section ' || page_id AS headings,
         '```rust' || chr(10) || 'fn f' || page_id || '() {}' AS code, contains(html, 'caption') OR regexp_matches(regexp_extract(html, '(?s)<article>(.*)</article>', 1), 'next') AS has_controls FROM pages""",
     "quoted_documents": f"""WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(160), ' ') AS x FROM documents), d AS (SELECT doc_id, {_TIDY} AS x FROM t),

@@ -142,6 +142,19 @@ def ascii_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", U.ascii_host(name).alias("host"))
 
 
+_READ_INPUT = r"""CASE page_id % 10
+    WHEN 0 THEN concat('http://Bücher.', h, '/a?b') WHEN 1 THEN concat('http://１２７．0。0.１/', page_id) WHEN 2 THEN concat('http://0x7f.1/', page_id)
+    WHEN 3 THEN concat('https://2130706433:8080/', page_id) WHEN 4 THEN concat('http:\\\\', h, '\\a\\', page_id) WHEN 5 THEN concat(' http://', replace(h, 'e', '%65'), '/a b/ü?q=é', page_id)
+    WHEN 6 THEN concat('http://a℀', h, '/') WHEN 7 THEN concat('http://012.1.2.', page_id % 8, '/') WHEN 8 THEN concat('http://134744072/', page_id)
+    ELSE concat('ht\ttp:', h, '\n/x') END"""
+
+
+def addresses_as_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with hosts in other scripts, numbers, escapes and back slashes, judged as browsers read them."""
+    rows = table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("h"))
+    return rows.select("page_id", F.expr(_READ_INPUT).alias("u")).select("page_id", U.normalized(U.as_read(F.col("u"))).alias("n")).select("page_id", "n.url", "n.hostname", "n.error")
+
+
 def v6_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocked IPv6 addresses, written with zones, brackets and capitals."""
     ip = F.expr("CASE event_id % 5 WHEN 0 THEN concat('fe80::', CAST(event_id AS STRING), '%eth0') WHEN 1 THEN '2606:4700::1111' WHEN 2 THEN concat('[FD00::', CAST(event_id % 1000 AS STRING), ']') WHEN 3 THEN '::1' ELSE concat('2a00:1450::', CAST(event_id % 1000 AS STRING)) END")
@@ -188,7 +201,7 @@ def issue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.issue_text(issues).alias("message"))
 
 
-QUERIES = {f.__name__: f for f in (url_parts, host_counts, url_redact, url_rewrite, url_raw_text, url_display, url_normalize, host_header, ip_block, ip_networks, target_policy, header_charset, body_encoding, byte_cut, dangling_tag, binary_text, error_category, error_counts, error_payloads, request_targets, ascii_hosts, v6_block, retry_after, owner_keys, issue_text)}
+QUERIES = {f.__name__: f for f in (url_parts, host_counts, url_redact, url_rewrite, url_raw_text, url_display, url_normalize, host_header, ip_block, ip_networks, target_policy, header_charset, body_encoding, byte_cut, dangling_tag, binary_text, error_category, error_counts, error_payloads, request_targets, ascii_hosts, addresses_as_read, v6_block, retry_after, owner_keys, issue_text)}
 
 _P = r"'^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$'"
 _DUCK_RAW = _RAW_INPUT.replace("STRING", "VARCHAR")
@@ -247,3 +260,8 @@ SQL["error_payloads"] = "WITH m AS (SELECT event_id, user_id, CASE event_id % 11
     d AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN '"retryAfter":60' END AS a, CASE WHEN event_id % 2 = 0 THEN '"reason":"timeout"' END AS b FROM m)
     SELECT event_id, '{"error":"' || m || '","url":"https://e.org/","category":"network","code":"HTTP_503","statusCode":503' || CASE WHEN a IS NULL AND b IS NULL THEN '' ELSE ',"details":{' || concat_ws(',', a, b) || '}' END || '}' AS payload FROM d"""
 SQL["error_counts"] = f"SELECT category, count(*) AS n FROM ({SQL['error_category']}) GROUP BY category"
+SQL["addresses_as_read"] = f"""WITH p AS (SELECT page_id, page_id % 10 AS k, lower(regexp_extract(url, {_P}, 3)) AS h FROM pages)
+    SELECT page_id, CASE k WHEN 0 THEN 'http://xn--bcher-kva.' || h || '/a?b' WHEN 4 THEN 'http://' || h || '/a/' || page_id WHEN 5 THEN 'http://' || h || '/a%20b/%C3%BC?q=%C3%A9' || page_id
+        WHEN 8 THEN 'http://8.8.8.8/' || page_id WHEN 9 THEN 'http://' || h || '/x' END AS url,
+      CASE WHEN k IN (4, 5, 9) THEN h WHEN k = 0 THEN 'xn--bcher-kva.' || h WHEN k = 8 THEN '8.8.8.8' END AS hostname,
+      CASE WHEN k IN (1, 2, 3, 7) THEN 'blocked-ip' WHEN k = 6 THEN 'invalid' END AS error FROM p"""

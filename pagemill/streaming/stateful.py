@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagemill.operators import state as S
+
 WATERMARK = "31 days"
 
 
@@ -59,6 +61,18 @@ def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
     return drained(counts.select(F.unix_seconds("w.start").alias("hour"), "event_type", "n", "v"), "hourly", "complete")
 
 
+def requests_of(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``starts`` and ``ends`` of ``events(event_id, at)``: an even event starts a request, which the next one ends."""
+    starts = events.where("event_id % 2 = 0").select(F.col("event_id").alias("request_id"), F.col("at").alias("started"))
+    return starts, events.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("request_id"), F.col("at").alias("ended"))
+
+
+def request_spans_stream(spark: SparkSession, path: str, within: str = "1 hour", slow_ms: int = S.SLOW_REQUEST_MS) -> DataFrame:
+    """``state.request_spans`` as a join of two streams: starts and ends come in any order within the watermark, and each pair is told once both are there."""
+    starts, ends = requests_of(event_stream(spark, path))[0], requests_of(event_stream(spark, path))[1]
+    return drained(S.request_spans(starts, ends, within=within, slow_ms=slow_ms), "requests", "append")
+
+
 def rate_limit_stream(spark: SparkSession, path: str, limit: int = 100, window_ms: int = 60_000) -> DataFrame:
     """(user_id, event_id, allowed, retry_after): the rate limit with a user's window kept as state; idle users are dropped after two windows."""
 
