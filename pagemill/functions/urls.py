@@ -28,7 +28,7 @@ BLOCKED_V6 = (
     ("2002::", 16), ("fc00::", 7), ("fe80::", 10), ("ff00::", 8), ("::", 96),
 )
 
-_SPLIT = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+_SPLIT = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -74,7 +74,7 @@ def segments(url: Column) -> Column:
 def normalized(url: Column) -> Column:
     """struct<url, hostname, error> for ASCII URLs: trimmed, bounded, http or https, no credentials, lower host, no default port.
 
-    ``error`` is null exactly if the URL may be fetched; the other fields are null otherwise.
+    ``error`` is null exactly if the URL may be fetched; the other fields are null otherwise. Addresses in brackets (IPv6) and ports that are no numbers are invalid.
     """
 
 

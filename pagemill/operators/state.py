@@ -150,7 +150,8 @@ def request_spans(starts: DataFrame, ends: DataFrame, request: str = "request_id
     """(request, started, ended, ms, slow) of ``starts(request, started)`` and ``ends(request, ended)``, timestamps: each request that ends within a time.
 
     Tables or streams. Streams need watermarks on both times: the bound on the time between them then lets either side forget what can no longer
-    meet its partner, and rows later than the watermark are left out. Rows without request or time meet nothing; a request that starts or ends more than once
+    meet its partner, rows within the watermark are never lost, and a batch leaves out those behind the watermark of the batch
+    before it, which is that of the slower stream. Rows without request or time meet nothing; a request that starts or ends more than once
     has a row for each start and end that lie within the time.
     """
     a, b = starts.select(F.col(request).alias(request), "started"), ends.select(F.col(request).alias("_ended_request"), "ended")

@@ -24,6 +24,46 @@ def test_normalized(spark):
     assert got == [None, "unsupported-protocol", "credentials", "blocked-ip", "blocked-host", "empty", "empty", "invalid"]
 
 
+LABELS = ["bücher", "Größe", "пример", "例え", "faß", "ＡＢＣ", "ΑΣΣ", "münchen-ost", "مثال", "한국", "ñandú", "ǅ", "a\u00adb", "é", "e\u0301", "x" * 63, "日本語" * 4]
+
+
+def test_hosts_are_those_of_the_codec():
+    for label in LABELS:
+        for name in (label, f"www.{label}.example", f"{label}.{label}"):
+            assert U.plain_host(name) == name.encode("idna").decode().lower(), name
+    assert U.plain_host("a。b．c｡d") == "a.b.c.d"
+    assert [U.plain_host(x) for x in ("a℀b", "ü" * 60, "a⒈b", "a b", "a%2fb", "%ff", "1.2.3.4.5", "256.1.1.1", "1.2.3.256", "09", "4294967296")] == [None] * 11
+    assert U.plain_host("ü..de.") == "xn--tda..de."  # empty labels stand, as in browsers
+
+
+def test_numbers_as_hosts():
+    """Every way to write an address gives the same one."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    ways = (str, hex, lambda n: f"0X{n:X}", lambda n: f"0{n:o}", lambda n: f"000{n:o}")
+    for _ in range(50):
+        parts = [rng.choice([0, 1, 9, 127, 255, rng.randrange(256)]) for _ in range(4)]
+        whole = ".".join(map(str, parts))
+        for size in range(1, 5):
+            head, tail = parts[: size - 1], int.from_bytes(bytes(parts[size - 1 :]), "big")
+            for way in itertools.product(ways, repeat=min(size, 2)):
+                text = ".".join(way[i % len(way)](n) for i, n in enumerate([*head, tail]))
+                assert U.plain_host(text) == U.plain_host(text + ".") == whole, text
+
+
+def test_addresses_as_read(spark):
+    given = ["http://例え.jp", "HTTP:/\\Exa%6Dple.com\\a b?ü#é", "http://u:p@１.1/", "http://[::1]/", "http://a.org:８/", " \thttp://x.org/\n ", "ftp://ü/", "ü", "", None, "http://example.com/a'\"b", "http:///x", "http://0x/"]
+    read = ["http://xn--r8jz45g.jp", "HTTP://example.com/a%20b?%C3%BC#%C3%A9", "http://u:p@1.0.0.1/", "http://[::1]/", "http://a.org:８/", "http://x.org/", "ftp://ü/", "ü", "", None, "http://example.com/a'\"b", "http://x", "http://0.0.0.0/"]
+    assert column(spark, given, U.as_read) == read
+    errors = [None, None, "credentials", "invalid", "invalid", None, "unsupported-protocol", "invalid", "empty", "empty", None, None, "blocked-ip"]
+    assert column(spark, given, lambda u: U.normalized(U.as_read(u))["error"]) == errors
+    # plain addresses never reach Python
+    plain = spark.createDataFrame([("https://example.com:81/a?b#c",), ("http://1e.org/",), ("http://a.b.1c/x.9",)], "x string")
+    assert [r[0] for r in plain.select(F.col("x").rlike(U._ODD)).collect()] == [False] * 3
+
+
 def test_addresses(spark):
     assert column(spark, ["10.1.2.3", "8.8.8.8", "::ffff:192.168.0.1", "fe80::1%eth0", "2606:4700::1", "x", None], lambda c: U.blocked_v4(c) | U.blocked_v6(c)) == [True, False, True, True, False, False, False]
     assert column(spark, ["169.254.169.254", "a.internal", "example.org"], U.block_reason) == ["cloud-metadata", "blocked-suffix", None]
