@@ -28,7 +28,7 @@ BLOCKED_V6 = (
     ("2002::", 16), ("fc00::", 7), ("fe80::", 10), ("ff00::", 8), ("::", 96),
 )
 
-_SPLIT = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
+_SPLIT = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\[\]/?#@]*\]|[^/?#:]*)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -74,21 +74,22 @@ def segments(url: Column) -> Column:
 def normalized(url: Column) -> Column:
     """struct<url, hostname, error> for ASCII URLs: trimmed, bounded, http or https, no credentials, lower host, no default port.
 
-    ``error`` is null exactly if the URL may be fetched; the other fields are null otherwise. Addresses in brackets (IPv6) and ports that are no numbers are invalid.
+    ``error`` is null exactly if the URL may be fetched; the other fields are null otherwise. IPv6 addresses stand in brackets; ports that are no numbers are invalid.
     """
 
 
     def judged(p: Column) -> Column:
-        bare = F.rtrim(p["host"], F.lit("."))
+        bare, v6 = F.rtrim(p["host"], F.lit(".")), p["v6"]
         error = (
             F.when(p["url"] == "", "empty").when(F.length(p["url"]) > MAX_URL_LENGTH, "too-long").when(p["scheme"] == "", "invalid")
-            .when(~p["scheme"].isin("http", "https"), "unsupported-protocol").when(p["user"] != "", "credentials").when(p["host"] == "", "invalid")
-            .when(p["host"].isin(*METADATA_HOSTS), "cloud-metadata").when(blocked_v4(p["host"]), "blocked-ip").when(_any_suffix(bare, BLOCKED_SUFFIXES) | (bare == "localhost"), "blocked-host")
+            .when(~p["scheme"].isin("http", "https"), "unsupported-protocol").when(p["user"] != "", "credentials").when((p["host"] == "") | (p["host"].startswith("[") & v6.isNull()), "invalid")
+            .when(p["host"].isin(*METADATA_HOSTS), "cloud-metadata").when(blocked_v4(p["host"]) | blocked_v6_digits(v6), "blocked-ip").when(_any_suffix(bare, BLOCKED_SUFFIXES) | (bare == "localhost"), "blocked-host")
         )
         return F.struct(F.when(error.isNull(), p["whole"]).alias("url"), F.when(error.isNull(), p["host"]).alias("hostname"), error.alias("error"))
 
     u = F.btrim(F.coalesce(url, F.lit("")))
-    parts = F.struct(u.alias("url"), scheme(u).alias("scheme"), _part(u, 2).alias("user"), host(u).alias("host"), F.concat(base(u), query(u), fragment(u)).alias("whole"))
+    v6 = F.when(host(u).startswith("["), v6_digits(F.btrim(host(u), F.lit("[]"))))
+    parts = F.struct(u.alias("url"), scheme(u).alias("scheme"), _part(u, 2).alias("user"), host(u).alias("host"), v6.alias("v6"), F.concat(base(u), query(u), fragment(u)).alias("whole"))
     return once(parts, judged)
 
 
@@ -196,7 +197,7 @@ _NO_HOST = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
 _WEB = re.compile(r"(https?):[/\\]*([^/\\?#]*)([^?#]*)(.*)", re.I | re.S)
 _NUMBER = re.compile(r"0[xX][0-9a-fA-F]*|[0-9]+")
 #: What needs a closer look: characters beyond printable ASCII, back slashes, odd slashes, per cent signs before the path, hosts that end in a number.
-_ODD = r"[^\x21-\x7e]|\\|^(?i)https?:(?!//[^/])|^[^/?#]*//[^/?#]*%|^[^/?#]*//(?:[^/?#@]*@)?(?:[^/?#@:]*\.)?(?:0[xX][0-9a-fA-F]*|[0-9]+)\.?(?:[:/?#]|$)"
+_ODD = r"[^\x21-\x7e]|\\|^(?i)https?:(?!//[^/])|^[^/?#]*//[^/?#]*[%\[]|^[^/?#]*//(?:[^/?#@]*@)?(?:[^/?#@:]*\.)?(?:0[xX][0-9a-fA-F]*|[0-9]+)\.?(?:[:/?#]|$)"
 
 
 def _v4_of(labels: list[str]) -> str | None:
@@ -213,8 +214,22 @@ def _v4_of(labels: list[str]) -> str | None:
     return str(ipaddress.IPv4Address(value))
 
 
+def _v6_of(text: str) -> str | None:
+    """An IPv6 address in its shortest form, in brackets; without a zone, which no URL has. None if it is none."""
+    try:
+        ip = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if ip.scope_id is not None:
+        return None
+    mapped = int(ip) & 0xFFFFFFFF
+    return f"[::ffff:{mapped >> 16:x}:{mapped & 0xFFFF:x}]" if ip.ipv4_mapped else f"[{ip.compressed}]"
+
+
 def plain_host(name: str) -> str | None:
     """A URL's host as it is asked for: escapes decoded, letters in ASCII form, numbers as a dotted address; None if it is no host."""
+    if name.startswith("["):
+        return _v6_of(name[1:-1])
     try:
         labels = [x.lower() if x.isascii() else x.encode("idna").decode().lower() for x in _STOPS.split(unquote_to_bytes(name).decode())]
     except UnicodeError:
@@ -231,9 +246,10 @@ def _as_read(url: str) -> str:
     if not parts:
         return text
     user, at, place = parts[2].rpartition("@")
-    if place.startswith("["):
-        return text
     name, colon, port = place.partition(":")
+    if place.startswith("["):
+        name, ended, port = place.partition("]")
+        name, colon, port = name + "]" if ended else "/", ":" if port else "", port.removeprefix(":")
     rest = quote(parts[3].replace("\\", "/") + parts[4], safe="".join(map(chr, range(33, 127))))
     return f"{parts[1]}://{user}{at}{plain_host(name) or ''}{colon}{port}{rest}"
 
@@ -335,6 +351,38 @@ def blocked_v6(ip: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def v6_digits(ip: Column) -> Column:
+    """An IPv6 address, without brackets or zone, as its 32 hexadecimal digits, which compare like the addresses; null for anything else."""
+
+    def whole(text: Column) -> Column:
+        halves = F.split(text, "::")
+        groups = lambda half: F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+        return once(F.struct(groups(halves[0]).alias("left"), groups(F.get(halves, F.lit(1))).alias("right"), F.size(halves).alias("n")), filled)
+
+    def filled(p: Column) -> Column:
+        given = F.size(p["left"]) + F.size(p["right"])
+        fine = F.when(p["n"] == 1, given == 8).otherwise((p["n"] == 2) & (given <= 7)) & F.forall(F.concat(p["left"], p["right"]), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))
+        return F.when(fine, F.array_join(F.transform(F.concat(p["left"], zeros, p["right"]), lambda g: F.lpad(g, 4, "0")), ""))
+
+    low = F.lower(ip)
+    tail = F.regexp_extract(low, r"^.*:([0-9.]*\.[0-9.]*)$", 1)
+    number = F.lpad(F.lower(F.hex(v4_number(tail))), 8, "0")
+    return once(F.when(tail == "", low).otherwise(F.concat(F.regexp_extract(low, r"^(.*:)[0-9.]*$", 1), F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))), whole)
+
+
+def blocked_v6_digits(digits: Column) -> Column:
+    """Whether ``v6_digits`` lie in a blocked network, or hold an IPv4 address (``::ffff:0:0/96``) that does."""
+    mapped = F.when(digits.startswith("0" * 20 + "ffff"), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
+    out = F.lit(False)
+    for network, bits in BLOCKED_V6:
+        net = ipaddress.IPv6Network((network, bits))
+        out = out | digits.between(net.network_address.packed.hex(), net.broadcast_address.packed.hex())
+    for network, bits in BLOCKED_V4:
+        out = out | F.coalesce(mapped.between(*v4_range(network, bits)), F.lit(False))
+    return F.coalesce(out, F.lit(False))
+
+
 def block_reason(target: Column) -> Column:
     """cloud-metadata, blocked-ip, blocked-suffix, or null, in this order. IPv6 targets need ``blocked_v6`` beside it."""
     low = F.lower(F.btrim(target))

@@ -53,11 +53,45 @@ def test_numbers_as_hosts():
                 assert U.plain_host(text) == U.plain_host(text + ".") == whole, text
 
 
+def test_v6_addresses(spark):
+    """Digits and blocks of addresses in every form are those of the standard library; other texts are none."""
+    import ipaddress
+    import random
+
+    rng = random.Random(8)
+    texts = ["::", "::1", "1::", "::ffff:10.1.2.3", "::ffff:8.8.8.8", "::ffff:0a01:0203", "64:ff9b::1.2.3.4", "FE80::1", "1:2:3:4:5:6:7:8", "2001::1", "2001:4860::8888"]
+    texts += ["", ":", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", "1:2:3:4:5:6:7::8", "::12345", "::g", "1.2.3.4", "::1.2.3", "::1.2.3.456", "1:2:3:4:5:6:7:1.2.3.4", ":1:2:3:4:5:6:7", "::1%eth0", "1:", None]
+    for _ in range(200):
+        ip = ipaddress.IPv6Address(rng.choice([rng.getrandbits(128), rng.getrandbits(16), 0xFFFF << 32 | rng.getrandbits(32), (rng.choice([0xFC00, 0xFE80, 0xFF02, 0x2002, 0x2606]) << 112) | rng.getrandbits(20)]))
+        texts += [ip.compressed, ip.exploded, ip.compressed.upper()]
+
+    def parsed(text):
+        try:
+            return ipaddress.IPv6Address(text) if text and "%" not in text else None
+        except ValueError:
+            return None
+
+    def blocked(ip):
+        if ip is None:
+            return False
+        v4 = ip.ipv4_mapped is not None and any(ip.ipv4_mapped in ipaddress.IPv4Network(n) for n in U.BLOCKED_V4)
+        return v4 or any(ip in ipaddress.IPv6Network(n) for n in U.BLOCKED_V6)
+
+    ips = [parsed(t) for t in texts]
+    assert column(spark, texts, U.v6_digits) == [ip and ip.packed.hex() for ip in ips]
+    assert column(spark, texts, lambda t: U.blocked_v6_digits(U.v6_digits(t))) == [blocked(ip) for ip in ips]
+    urls = [f"http://[{t}]:81/x" for t in texts if t is not None]
+    want = ["blocked-ip" if blocked(parsed(t)) else None if parsed(t) else "invalid" for t in texts if t is not None]
+    assert column(spark, urls, lambda u: U.normalized(u)["error"]) == want
+    assert column(spark, urls, lambda u: U.normalized(U.as_read(u))["error"]) == want
+    assert column(spark, ["http://[2606:4700:0:0::1]/a", "https://[2606:4700::1]:443", "http://[2606:4700::1", "http://[2606:4700::1]x/"], lambda u: U.normalized(U.as_read(u))["url"]) == ["http://[2606:4700::1]/a", "https://[2606:4700::1]/", None, None]
+
+
 def test_addresses_as_read(spark):
     given = ["http://例え.jp", "HTTP:/\\Exa%6Dple.com\\a b?ü#é", "http://u:p@１.1/", "http://[::1]/", "http://a.org:８/", " \thttp://x.org/\n ", "ftp://ü/", "ü", "", None, "http://example.com/a'\"b", "http:///x", "http://0x/"]
     read = ["http://xn--r8jz45g.jp", "HTTP://example.com/a%20b?%C3%BC#%C3%A9", "http://u:p@1.0.0.1/", "http://[::1]/", "http://a.org:８/", "http://x.org/", "ftp://ü/", "ü", "", None, "http://example.com/a'\"b", "http://x", "http://0.0.0.0/"]
     assert column(spark, given, U.as_read) == read
-    errors = [None, None, "credentials", "invalid", "invalid", None, "unsupported-protocol", "invalid", "empty", "empty", None, None, "blocked-ip"]
+    errors = [None, None, "credentials", "blocked-ip", "invalid", None, "unsupported-protocol", "invalid", "empty", "empty", None, None, "blocked-ip"]
     assert column(spark, given, lambda u: U.normalized(U.as_read(u))["error"]) == errors
     # plain addresses never reach Python
     plain = spark.createDataFrame([("https://example.com:81/a?b#c",), ("http://1e.org/",), ("http://a.b.1c/x.9",)], "x string")
