@@ -371,16 +371,20 @@ def v6_digits(ip: Column) -> Column:
     return once(F.when(tail == "", low).otherwise(F.concat(F.regexp_extract(low, r"^(.*:)[0-9.]*$", 1), F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))), whole)
 
 
+def _network_digits(digits: str, bits: int) -> str:
+    """Pattern of the first digits that all addresses of a network have."""
+    whole, rest = divmod(bits, 4)
+    if not rest:
+        return digits[:whole]
+    low = int(digits[whole], 16)
+    return digits[:whole] + "[" + "".join(f"{n:x}" for n in range(low, low + (1 << (4 - rest)))) + "]"
+
+
 def blocked_v6_digits(digits: Column) -> Column:
-    """Whether ``v6_digits`` lie in a blocked network, or hold an IPv4 address (``::ffff:0:0/96``) that does."""
-    mapped = F.when(digits.startswith("0" * 20 + "ffff"), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
-    out = F.lit(False)
-    for network, bits in BLOCKED_V6:
-        net = ipaddress.IPv6Network((network, bits))
-        out = out | digits.between(net.network_address.packed.hex(), net.broadcast_address.packed.hex())
-    for network, bits in BLOCKED_V4:
-        out = out | F.coalesce(mapped.between(*v4_range(network, bits)), F.lit(False))
-    return F.coalesce(out, F.lit(False))
+    """Whether ``v6_digits`` lie in a blocked network, or hold an IPv4 address (``::ffff:0:0/96``) that does: one pattern of first digits."""
+    networks = [_network_digits(ipaddress.IPv6Address(n).packed.hex(), bits) for n, bits in BLOCKED_V6]
+    networks += [_network_digits("0" * 20 + "ffff" + ipaddress.IPv4Address(n).packed.hex(), 96 + bits) for n, bits in BLOCKED_V4]
+    return F.coalesce(digits.rlike("^(?:" + "|".join(networks) + ")"), F.lit(False))
 
 
 def block_reason(target: Column) -> Column:
