@@ -17,8 +17,9 @@ FINAL_STATES = ("completed", "failed", "cancelled")
 DEFAULT_TTL_MS, LEAST_TTL_MS, MOST_TTL_MS = 60_000, 1_000, 86_400_000
 
 
-def _millis(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1000)
+def whole_millis(ts: Column) -> Column:
+    """Milliseconds of a time, the nearest whole number, halves away from zero, as ``epoch_ms`` of SQL."""
+    return (F.round(F.unix_micros(ts.cast("timestamp")), -3) / 1000).cast("long")
 
 
 def _folded(rows: DataFrame, key: str, tie: str, start, step, schema: str, columns: list[str]) -> DataFrame:
@@ -43,7 +44,7 @@ def _folded(rows: DataFrame, key: str, tie: str, start, step, schema: str, colum
 
 
 def _stamped(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    return events.select(key, tie, _millis(F.col(ts)).cast("long").alias("ms")).where(F.col(key).isNotNull() & F.col("ms").isNotNull())
+    return events.select(key, tie, whole_millis(F.col(ts)).alias("ms")).where(F.col(key).isNotNull() & F.col("ms").isNotNull())
 
 
 def rate_limited(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id", limit: int = 100, window_ms: int = 60_000) -> DataFrame:

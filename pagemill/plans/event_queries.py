@@ -92,7 +92,7 @@ def _told(spans: DataFrame) -> DataFrame:
 
 def task_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the events, as tasks that began at their time and some of which ended or were delivered, have expired at the end of the month."""
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    ms = S.whole_millis(F.col("ts"))
     third = F.col("event_id") % 3
     ended, ttl_ms = F.when(third == 1, ms + 1000), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 5 * 10_000_000)
     expired = S.is_expired(F.lit(1_706_659_200_000), ms, ended, ttl_ms, F.col("event_id") % 2 == 0)

@@ -252,6 +252,16 @@ def test_rate_limit(spark):
     assert got == {0: (True, None), 1: (True, None), 2: (False, 40), 3: (False, 30), 4: (True, None), 5: (True, None)}
 
 
+def test_times_are_the_nearest_milliseconds(spark):
+    """As ``epoch_ms`` of DuckDB has them; a part of a millisecond changes no second of waiting."""
+    micros = [0, 499, 500, 1_499, 1_500, -499, -500, -1_501, 1_705_798_100_911_449, 1_706_371_807_518_904]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(micros)], "user_id long, event_id long, t long").select("user_id", "event_id", F.timestamp_micros("t").alias("ts"))
+    got = [r["ms"] for r in rows.orderBy("event_id").select(S.whole_millis(F.col("ts")).alias("ms")).collect()]
+    assert got == [0, 0, 1, 1, 2, 0, -1, -2, 1_705_798_100_911, 1_706_371_807_519]
+    two = rows.where("event_id IN (0, 2)")
+    assert {r["event_id"]: r["retry_after"] for r in S.rate_limited(two, limit=1, window_ms=60_001).collect()} == {0: None, 2: 60}
+
+
 def test_token_bucket(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([0, 0, 0, 1, 10])], "user_id long, event_id long, t long").select("user_id", "event_id", F.timestamp_seconds("t").alias("ts"))
     got = {r["event_id"]: (r["allowed"], r["dropped_before"]) for r in S.token_bucket(rows, capacity=2, per_second=1.0).collect()}
