@@ -95,6 +95,6 @@ def rate_limit_stream(spark: SparkSession, path: str, limit: int = 100, window_m
         frame["retry_after"] = frame["retry_after"].astype("Int64")
         yield frame
 
-    rows = event_stream(spark, path).where("user_id IS NOT NULL").select("user_id", "event_id", "at", (F.unix_micros("at") / 1000).cast("long").alias("ms"))
+    rows = event_stream(spark, path).where("user_id IS NOT NULL").select("user_id", "event_id", "at", S.whole_millis(F.col("at")).alias("ms"))
     schema = "user_id long, event_id long, allowed boolean, retry_after long"
     return drained(rows.groupBy("user_id").applyInPandasWithState(fold, schema, "until long, n int", "append", GroupStateTimeout.EventTimeTimeout), "rate", "append")

@@ -66,3 +66,10 @@ def test_late_rows_meet_nothing(spark, tmp_path):
     assert told(stateful.request_spans_stream(spark, path)) == [(0, 7000, True), (2, 1000, False)]
     starts, ends = stateful.requests_of(spark.read.parquet(path).withColumn("at", F.col("ts").cast("timestamp")))
     assert told(S.request_spans(starts, ends)) == [(0, 7000, True), (2, 1000, False), (4, 1000, False)]
+
+
+def test_streamed_times_are_the_nearest_milliseconds(spark, tmp_path):
+    at = lambda us: DAY + dt.timedelta(microseconds=us)
+    path = written(spark, tmp_path, [[(0, at(0), 1), (1, at(500), 1), (2, at(0), 2), (3, at(499), 2)]])
+    got = stateful.rate_limit_stream(spark, path, limit=1, window_ms=60_001)
+    assert {r["event_id"]: r["retry_after"] for r in got.collect()} == {0: None, 1: 60, 2: None, 3: 61}
