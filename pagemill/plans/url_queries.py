@@ -156,8 +156,9 @@ def addresses_as_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v6_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocked IPv6 addresses, written with zones, brackets and capitals."""
-    ip = F.expr("CASE event_id % 5 WHEN 0 THEN concat('fe80::', CAST(event_id AS STRING), '%eth0') WHEN 1 THEN '2606:4700::1111' WHEN 2 THEN concat('[FD00::', CAST(event_id % 1000 AS STRING), ']') WHEN 3 THEN '::1' ELSE concat('2a00:1450::', CAST(event_id % 1000 AS STRING)) END")
+    """Blocked IPv6 addresses, written with zones, brackets and capitals. The first kind holds the whole event_id, in four groups: one group has four digits at most."""
+    groups = "regexp_replace(lpad(hex(event_id), 16, '0'), '(.{4})(?=.)', '$1:')"
+    ip = F.expr(f"CASE event_id % 5 WHEN 0 THEN concat('fe80::', {groups}, '%eth0') WHEN 1 THEN '2606:4700::1111' WHEN 2 THEN concat('[FD00::', CAST(event_id % 1000 AS STRING), ']') WHEN 3 THEN '::1' ELSE concat('2a00:1450::', CAST(event_id % 1000 AS STRING)) END")
     return table(spark, sf_dir, "events").select("event_id", U.blocked_v6(ip).alias("blocked"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import encoding as E, errors as X, html as H, markdown as M, metadata as D, passes as P, urls as U
 from pagemill.operators import state as S
+from pagemill.plans import url_queries
 from pagemill.plans.page_queries import decoded, render
 
 
@@ -252,6 +253,14 @@ def test_rate_limit(spark):
     assert got == {0: (True, None), 1: (True, None), 2: (False, 40), 3: (False, 30), 4: (True, None), 5: (True, None)}
 
 
+def test_v6_block_with_large_numbers(spark, tmp_path):
+    """Event numbers of more than four digits still make addresses."""
+    ids = [5, 9_995, 10_000, 10_001, 10_002, 10_003, 10_004, 99_995, 6_000_000_000, 9_223_372_036_854_775_805]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["event_id"]: r["blocked"] for r in url_queries.v6_block(spark, str(tmp_path)).collect()} == {i: i % 5 in (0, 2, 3) for i in ids}
+    assert column(spark, ["fe80::10000", "fe80::1:0000%x"], U.blocked_v6) == [False, True]
+
+
 def test_times_are_the_nearest_milliseconds(spark):
     """As ``epoch_ms`` of DuckDB has them; a part of a millisecond changes no second of waiting."""
     micros = [0, 499, 500, 1_499, 1_500, -499, -500, -1_501, 1_705_798_100_911_449, 1_706_371_807_518_904]
