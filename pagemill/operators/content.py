@@ -194,9 +194,9 @@ def scored(rows: DataFrame, key: str) -> DataFrame:
 
 
 def regions(rows: DataFrame, key: str) -> DataFrame:
-    """Scored rows with ``region`` (of the page's chosen element: tier 0 by name or 1 by score, pos, last, parent, score) and ``in_region``: the first region by name that is long enough, else the element with the best score and its siblings."""
+    """Scored rows with ``region`` (of the page's chosen element: tier 0 by name or 1 by score, pos, last, parent, score) and ``in_region``: the first region by name that is long enough, else the element with the best score, if it is as long, and its siblings."""
     named = f"kind = 'start' AND size > {LEAST_REGION} AND rank IS NOT NULL"
-    best = f"kind = 'start' AND score >= {LEAST_SCORE} AND name NOT IN ('html', 'p', 'li', 'td', 'tr', 'pre')"
+    best = f"kind = 'start' AND size > {LEAST_REGION} AND score >= {LEAST_SCORE} AND name NOT IN ('html', 'p', 'li', 'td', 'tr', 'pre')"
     choice = lambda tier, order: f"named_struct('tier', {tier}, 'order', CAST({order} AS DOUBLE), 'pos', pos, 'last', last, 'parent', parent, 'score', score)"
     ranked = rows.selectExpr("*", f"CASE WHEN kind = 'start' THEN {region_rank()} END AS rank")
     known = ranked.selectExpr("*", f"min(CASE WHEN {named} THEN {choice(0, 'rank')} WHEN {best} THEN {choice(1, '-score')} END) OVER (PARTITION BY `{key}`) AS region")

@@ -183,6 +183,13 @@ def test_scores_find_content_without_names(shown):
     assert LONG.strip() in got["region_markdown"] and "menu" not in got["region_markdown"] and "Short note" not in got["region_markdown"] and "menu" in got["markdown"]
 
 
+def test_a_region_by_score_is_as_long_as_one_by_name(shown):
+    """Commas alone make no region of a short article whose paragraph is left open."""
+    short = "<article><h1>Some, four, words, here and on.</h1><p><b>Some, four, words, here and on.<br></article>"
+    got = shown([f"<body>{short}</body>", f"<body>{short.replace('<br>', '<br>' + 'x' * 30)}</body>", f"<body><div><p>Some, four, words, here and on.{'x' * 70}</p></div></body>"])
+    assert got[0]["region"] is None and got[1]["region"] is not None and got[2]["region"] is not None
+
+
 def test_scores_by_hand(spark):
     """Points of paragraphs to parent and grandparent, less the share of links."""
     page = f"<body><div id=a><div id=b><p>{LONG}</p><p>{LONG}<a href=x>{LONG}</a></p></div><p>too short</p></div>"
