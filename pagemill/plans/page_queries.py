@@ -51,18 +51,18 @@ def gates(rows: DataFrame) -> DataFrame:
     return sized.select(*rows.columns, gate.alias("gate_failed"))
 
 
-def content_rows(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html") -> DataFrame:
+def content_rows(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", decode=elements.references.unescape) -> DataFrame:
     """The element rows of each page's content: without noise, scored, with the region chosen."""
-    rows = elements.element_rows(pages, key, html, payload)
+    rows = elements.element_rows(pages, key, html, payload, decode)
     if rules.previews:
         figures = pages.where(F.col(html).rlike("(?i)<figure") & F.col(html).rlike("(?i)<pre"))
-        rows = previews.without(rows, previews.redundant(elements.element_rows(figures, key, html), key), key)
+        rows = previews.without(rows, previews.redundant(elements.element_rows(figures, key, html, decode=decode), key), key)
     return content.regions(content.scored(content.cleaned_rows(rows, key, rules), key), key)
 
 
-def to_markdown(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", host: str = "CAST(NULL AS STRING)") -> DataFrame:
+def to_markdown(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", host: str = "CAST(NULL AS STRING)", decode=elements.references.unescape) -> DataFrame:
     """(key, payload, markdown, region_markdown, body, region) of each page: Markdown and markup of its content, and of the region of main content, if one was found."""
-    pieces = blocks.pieces(content_rows(pages, key, payload, rules, html), key, host)
+    pieces = blocks.pieces(content_rows(pages, key, payload, rules, html, decode), key, host)
     return blocks.pages(blocks.lines(blocks.blocks(pieces, key, payload), key), key, payload)
 
 
@@ -72,7 +72,7 @@ def render(pages: DataFrame, fetched_at: str = FETCHED_AT, inline_limit: int = 0
     The address is normalized, rewritten to raw content where it can be, and normalized again. A raw page keeps its text, with a line for its
     source. Others become rows of their element trees, which are shuffled once, by page: noise goes at any depth, the region of main content is
     found by name or by score and used if it passes the gates, else the whole body; links are made absolute, and the metadata follow as a footer.
-    ``inline_limit`` bounds the Markdown's length (0: no bound).
+    Texts are decoded as titles are: a character reference without its semicolon stays as it stands. ``inline_limit`` bounds the Markdown's length (0: no bound).
     """
     # a table whose addresses are no URLs is rendered all the same, with the address as it stands
     base = U.with_target(pages.select("page_id", "url", "html")).withColumn("binary", E.looks_binary(F.col("html")))
@@ -80,7 +80,7 @@ def render(pages: DataFrame, fetched_at: str = FETCHED_AT, inline_limit: int = 0
     found = raw.select("*", D.limited(D.metadata(F.col("html"), F.col("resolved_url"))).alias("metadata"), H.primary_heading(F.col("html")).alias("heading"), U.host(F.col("resolved_url")).alias("host"))
     # pages are told apart by a number of their own: page_id may repeat or be missing
     page = F.struct("page_id", "url", "resolved_url", "url_error", "binary", "raw", "metadata", "heading", "host", F.when(F.col("raw"), F.col("html")).alias("text"))
-    parts = to_markdown(found.select(F.monotonically_increasing_id().alias("page_row"), page.alias("page"), F.when(~F.col("raw"), F.col("html")).alias("markup")), "page_row", ("page",), rules, "markup", "page.host")
+    parts = to_markdown(found.select(F.monotonically_increasing_id().alias("page_row"), page.alias("page"), F.when(~F.col("raw"), F.col("html")).alias("markup")), "page_row", ("page",), rules, "markup", "page.host", elements.whole_references)
     judged = gates(parts)
     kind = F.when(F.col("page.raw"), "raw").when(F.col("gate_failed").isNull(), "article").otherwise("document")
     prefers = M.prefers_heading(F.col("page.heading"), F.col("page.metadata.title")) | U.is_repository_root(F.col("page.resolved_url")) & F.col("page.heading").isNotNull()

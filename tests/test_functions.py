@@ -253,6 +253,14 @@ def test_rate_limit(spark):
     assert got == {0: (True, None), 1: (True, None), 2: (False, 40), 3: (False, 30), 4: (True, None), 5: (True, None)}
 
 
+def test_references_without_semicolons_stay_in_reports(spark):
+    """A page's title that was cut in a reference is the same in the title, the heading and the footer."""
+    html = "<html><head><title>A &amp; b&amp</title></head><body><article><h1>A &amp; b&amp</h1><p>&lt;i> &eacute; &#65; &quot &bogus; <a href='/x?a=1&copy=2&amp;b=3'>go</a> " + "more words " * 20 + "</p></article></body></html>"
+    page = render(spark.createDataFrame([(1, "https://e.org/", html)], "page_id long, url string, html string")).collect()[0]
+    assert page["title"] == "A & b&amp" and page["markdown"].startswith("# A & b&amp\n\n") and " _A & b&amp_ " in page["markdown"]
+    assert "<i> é A &quot &bogus; [go](https://e.org/x?a=1&copy=2&b=3) more words" in page["markdown"]
+
+
 def test_v6_block_with_large_numbers(spark, tmp_path):
     """Event numbers of more than four digits still make addresses."""
     ids = [5, 9_995, 10_000, 10_001, 10_002, 10_003, 10_004, 99_995, 6_000_000_000, 9_223_372_036_854_775_805]
