@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import encoding as E, errors as X, html as H, markdown as M, metadata as D, passes as P, urls as U
 from pagemill.operators import state as S
-from pagemill.plans import url_queries
+from pagemill.plans import page_queries, url_queries
 from pagemill.plans.page_queries import decoded, render
 
 
@@ -261,6 +261,13 @@ def test_references_without_semicolons_stay_in_reports(spark):
     assert "<i> é A &quot &bogus; [go](https://e.org/x?a=1&copy=2&b=3) more words" in page["markdown"]
 
 
+def test_limited_reports_keep_references_without_semicolons(spark, tmp_path):
+    html = "<html><head><title>T&amp</title></head><body><article><h1>T&amp</h1><p>" + "more words " * 200 + "</p></article></body></html>"
+    spark.createDataFrame([(1, "https://e.org/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    row = page_queries.limited_report(spark, str(tmp_path)).collect()[0]
+    assert row["markdown"].startswith("# T&amp\n\nmore words") and row["content_size"] == 1000 and row["truncated"]
+
+
 def test_v6_block_with_large_numbers(spark, tmp_path):
     """Event numbers of more than four digits still make addresses."""
     ids = [5, 9_995, 10_000, 10_001, 10_002, 10_003, 10_004, 99_995, 6_000_000_000, 9_223_372_036_854_775_805]
