@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import codecs
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from pagemill.functions.binding import once
+
 SCAN = 8192
 
 # Byte order marks, four-byte ones first.
@@ -95,9 +97,22 @@ def without_dangling_tag(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"&[#A-Za-z0-9]{0,9}\z", ""), r"<[A-Za-z/!][^<>]*\z", "")
 
 
-@F.pandas_udf(T.StringType())
-def decoded(body: pd.Series, name: pd.Series) -> pd.Series:
-    """Text of the bytes in the named encoding, with replacement characters; unknown names mean utf-8."""
+#: Names of UTF-8, and of UTF-16 with the pattern of its bytes (as characters) where all are there and none is a half of a pair.
+UTF8_NAMES = ("utf-8", "utf8")
+UTF16 = (("utf-16le", "UTF-16LE", r"(?s)\A(?:.[^\xD8-\xDF])*+\z"), ("utf-16be", "UTF-16BE", r"(?s)\A(?:[^\xD8-\xDF].)*+\z"))
+
+
+def plainly_decoded(body: Column, name: Column) -> Column:
+    """Text of bytes that are valid UTF-8, or UTF-16 within the basic plane, as ``decoded`` gives it, without Python; null for all others."""
+    text = F.when(F.coalesce(name, F.lit("utf-8")).isin(*UTF8_NAMES) & F.is_valid_utf8(body.cast("string")), body.cast("string"))
+    for label, codec, fine in UTF16:
+        text = text.when((name == label) & F.decode(body, "ISO-8859-1").rlike(fine), F.decode(body, codec))
+    return once(text, lambda t: F.when(t.startswith("\ufeff"), F.substr(t, F.lit(2))).otherwise(t))
+
+
+@F.arrow_udf(T.StringType())
+def decoded(body: pa.Array, name: pa.Array) -> pa.Array:
+    """Text of the bytes in the named encoding, with replacement characters; unknown names mean utf-8. One text at a time is held beside the batch."""
     # Web labels that mean another codec.
     same = {"latin1": "cp1252", "iso-8859-1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252"}
 
@@ -108,15 +123,23 @@ def decoded(body: pd.Series, name: pd.Series) -> pd.Series:
             codec = codecs.lookup(same.get(n, n) if n else "utf-8").name
         except LookupError:
             codec = "utf-8"
-        return bytes(b).decode(codec, "replace").removeprefix("﻿")
+        return b.decode(codec, "replace").removeprefix("\ufeff")
 
-    return pd.Series([one(b, n) for b, n in zip(body, name)])
+    return pa.array((one(b.as_py(), n.as_py()) for b, n in zip(body, name)), pa.string(), size=len(body))
 
 
-@F.pandas_udf(T.StringType())
-def cut_to_bytes(text: pd.Series, limit: pd.Series) -> pd.Series:
+def cut_to_bytes(text: Column, limit: Column) -> Column:
     """The longest prefix of at most ``limit`` UTF-8 bytes that ends between characters."""
-    return pd.Series([None if t is None else t.encode("utf-8")[: int(n)].decode("utf-8", "ignore") for t, n in zip(text, limit)])
+
+    def cut(p: Column) -> Column:
+        b, n = p["b"], p["n"]
+        fits = lambda k: ~F.hex(F.substring(b, k + 1, 1)).between("80", "BF")  # noqa: E731  # no byte inside a character comes next
+        k = F.when(F.octet_length(b) <= n, F.octet_length(b)).when(fits(n), n).when(fits(n - 1), n - 1).when(fits(n - 2), n - 2).otherwise(n - 3)
+        return F.substring(b, F.lit(1), k).cast("string")
+
+    # the first ``limit`` characters have that many bytes at least
+    head = F.left(text, limit).cast("binary")
+    return F.when(text.isNotNull(), once(F.struct(head.alias("b"), limit.cast("int").alias("n")), cut))
 
 
 def utf16_length(text: Column) -> Column:

@@ -30,7 +30,11 @@ def decoded(pages: DataFrame) -> DataFrame:
     body, kind = F.col("body"), F.col("content_type")
     fault = F.when(~E.is_text_type(kind), "unsupported_type").when(E.is_binary(body, E.header_charset(kind)) & E.bom_encoding(body).isNull(), "binary_content")
     rows = pages.select("*", E.encoding(body, kind).alias("encoding"), fault.alias("body_error"))
-    return rows.select(*pages.columns, "encoding", "body_error", F.when(F.col("body_error").isNull(), E.decoded(body, F.col("encoding"))).alias("html"))
+    fine = F.col("body_error").isNull()
+    plain = rows.withColumn("_plain", F.when(fine, E.plainly_decoded(body, F.col("encoding"))))
+    # only what isn't plain goes through Python
+    rest = E.decoded(F.when(fine & F.col("_plain").isNull(), body), F.col("encoding"))
+    return plain.select(*pages.columns, "encoding", "body_error", F.coalesce("_plain", rest).alias("html"))
 
 
 def is_raw_page(html: Column, url: Column) -> Column:

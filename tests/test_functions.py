@@ -268,6 +268,17 @@ def test_limited_reports_keep_references_without_semicolons(spark, tmp_path):
     assert row["markdown"].startswith("# T&amp\n\nmore words") and row["content_size"] == 1000 and row["truncated"]
 
 
+def test_plain_bodies_are_decoded_without_python(spark):
+    """Valid UTF-8 and UTF-16 are read by Spark, all else by Python, with the same text."""
+    cases = [("aé€", n) for n in ("utf-8", "utf-16le", "utf-16be", "cp1252")] + [("\ufeffx", n) for n in ("utf-8", "utf-16le", "utf-16be")] + [("😀", n) for n in ("utf-8", "utf-16le", "utf-16be")] + [("x" * 400_000, "utf-16le"), ("", "utf-16be"), ("", "utf-8")]
+    raw = [(t.encode(n), n) for t, n in cases] + [(b"a\xff", "utf-8"), (b"a\x00b", "utf-16le"), (b"\xd8\x00\x00a", "utf-16be"), (b"\x00\xdc", "utf-16le"), (b"abc", "no-such"), (b"abc", None), (b"\xef\xbb\xbf\xef\xbb\xbfb", "utf-8"), (None, "utf-8")]
+    rows = spark.createDataFrame([(i, bytearray(b) if b is not None else None, n) for i, (b, n) in enumerate(raw)], "i int, b binary, n string")
+    got = rows.select("i", E.plainly_decoded(F.col("b"), F.col("n")).alias("plain"), E.decoded("b", "n").alias("text")).orderBy("i").collect()
+    assert all(r["plain"] in (None, r["text"]) for r in got)
+    assert [r["i"] for r in got if r["plain"] is None] == [3, 8, 9, 13, 14, 15, 16, 17, 20]
+    assert [r["text"] for r in got][4:7] == ["x"] * 3 and got[13]["text"] == "a\ufffd" and got[19]["text"] == "\ufeffb"
+
+
 def test_v6_block_with_large_numbers(spark, tmp_path):
     """Event numbers of more than four digits still make addresses."""
     ids = [5, 9_995, 10_000, 10_001, 10_002, 10_003, 10_004, 99_995, 6_000_000_000, 9_223_372_036_854_775_805]
