@@ -268,6 +268,14 @@ def test_limited_reports_keep_references_without_semicolons(spark, tmp_path):
     assert row["markdown"].startswith("# T&amp\n\nmore words") and row["content_size"] == 1000 and row["truncated"]
 
 
+def test_cuts_to_bytes_run_without_python(spark):
+    texts = ["", "a", "é€😀x" * 9, "ab" * 40, "😀" * 30, None]
+    rows = spark.createDataFrame([(t, n) for t in texts for n in range(12)], "t string, n int")
+    cut = rows.select("t", "n", E.cut_to_bytes(F.col("t"), F.col("n")).alias("c"))
+    assert "Python" not in cut._jdf.queryExecution().toString()
+    assert all(r["c"] == (None if r["t"] is None else r["t"].encode()[: r["n"]].decode("utf-8", "ignore")) for r in cut.collect())
+
+
 def test_plain_bodies_are_decoded_without_python(spark):
     """Valid UTF-8 and UTF-16 are read by Spark, all else by Python, with the same text."""
     cases = [("aé€", n) for n in ("utf-8", "utf-16le", "utf-16be", "cp1252")] + [("\ufeffx", n) for n in ("utf-8", "utf-16le", "utf-16be")] + [("😀", n) for n in ("utf-8", "utf-16le", "utf-16be")] + [("x" * 400_000, "utf-16le"), ("", "utf-16be"), ("", "utf-8")]
