@@ -81,7 +81,7 @@ def attr(name: str) -> str:
 
 def has_class(*names: str) -> str:
     """SQL: whether one of the element's classes is one of ``names``."""
-    return f"arrays_overlap(split(coalesce({attr('class')}, ''), '[ \\\\t\\\\r\\\\n]+'), array({', '.join(lit(n) for n in names)}))"
+    return f"exists(split(coalesce({attr('class')}, ''), '[ \\\\t\\\\r\\\\n]+'), c -> c IN ({', '.join(lit(n) for n in names)}))"
 
 
 def selected(selector: str) -> str:
@@ -111,8 +111,8 @@ def _any(*conditions: str) -> str:
 STARTS = "kind IN ('start', 'void')"
 
 
-def is_noise(rules: Rules) -> str:
-    """SQL: whether the element of a start row is noise, judged by its own row, the counts of what it holds, and ``before``, the text above it."""
+def noise_mark(rules: Rules) -> str:
+    """SQL: 1 if the element of a start row is noise, 2 if it is unless it stands in a line of text or is an editor's text, else 0; judged by its own row and the counts of what it holds."""
     role, classes, ids = attr("role"), f"coalesce({attr('class')}, '')", f"coalesce({attr('id')}, '')"
     dense = f"(links >= {DENSE_LINKS} AND (chars = 0 OR links * 100 >= {DENSE_SHARE} * chars))"
     structural_tags = STRUCTURAL + (() if rules.keep_drawings else DRAWINGS)
@@ -121,9 +121,8 @@ def is_noise(rules: Rules) -> str:
     kept = f"""coalesce(CASE WHEN {role} IN ('dialog', 'alertdialog') THEN in_main OR chars > {LEAST_KEPT_CHARS} OR titles > 0
         WHEN name IN ('nav', 'footer') THEN mains > 0 OR (chars >= {LEAST_KEPT_CHARS} AND NOT {dense})
         WHEN name = 'aside' THEN in_main AND navs = 0 AND NOT {dense} END, false)"""
-    # a button in a line of text stays with its text; an image that only noscript holds, and an editor's text, stay as well
-    in_line = f"(name = 'button' AND {fits('before', '[A-Za-z0-9_,.] $')})"
-    structural = f"({one_of('name', structural_tags)} AND NOT {widget} AND NOT {in_line} AND NOT (name = 'noscript' AND coalesce(images > 0 AND solid = 0, false)) AND NOT editor)"
+    # an image that only noscript holds stays
+    structural = f"({one_of('name', structural_tags)} AND NOT {widget} AND NOT (name = 'noscript' AND coalesce(images > 0 AND solid = 0, false)))"
     navigation = "false"
     if "nav-footer" in rules.categories:
         both = f"concat_ws(' ', {classes}, {ids})"
@@ -146,10 +145,24 @@ def is_noise(rules: Rules) -> str:
     )
     # most elements have no attributes: only their names count
     dialog = f"(name = 'dialog' AND NOT (in_main OR chars > {LEAST_KEPT_CHARS} OR titles > 0))"
-    plain = f"({structural} OR {dialog} OR ({'name IN (' + chr(39) + 'nav' + chr(39) + ', ' + chr(39) + 'footer' + chr(39) + ', ' + chr(39) + 'aside' + chr(39) + ') AND NOT ' + kept if 'nav-footer' in rules.categories else 'false'}) OR {one_of('name', HEAD + CONTROL_TAGS)})"
+    plain = f"({dialog} OR ({'name IN (' + chr(39) + 'nav' + chr(39) + ', ' + chr(39) + 'footer' + chr(39) + ', ' + chr(39) + 'aside' + chr(39) + ') AND NOT ' + kept if 'nav-footer' in rules.categories else 'false'}) OR {one_of('name', HEAD + CONTROL_TAGS)})"
     marked = f"((({hidden} AND NOT {widget}) OR {navigation} OR {promotion} OR {fixed}) AND NOT {kept}) OR {small}"
     names = [x for x in rules.selectors if x[0] not in ".#["]
-    return f"{STARTS} AND name NOT IN ('html', 'body') AND ({plain} OR {one_of('name', names)} OR (size(attrs) > 0 AND ({marked})))"
+    sure = f"{plain} OR {one_of('name', names)} OR (size(attrs) > 0 AND ({marked}))"
+    return f"CASE WHEN NOT ({STARTS}) OR name IN ('html', 'body') THEN 0 WHEN {sure} THEN 1 WHEN {structural} THEN 2 ELSE 0 END"
+
+
+def judged(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Element rows with what their attributes and counts tell of each by itself: ``_mark`` (of noise), ``_gallery``, ``_rank`` (of regions) and ``_tail`` (of a text).
+
+    Nothing here looks at other rows, so it is done before the rows are shuffled, and most counts stay behind. Windows stand between this step and the
+    rest; in one generated function with them it would be too large for the JVM to compile (over 8 000 bytes).
+    """
+    gallery = f"coalesce({STARTS} AND {one_of('name', sorted(BLOCKS))} AND images > 0 AND {fits(attr('class'), 'gallery|slideshow|carousel')}, false)"
+    rank = f"CASE WHEN kind = 'start' AND size > {LEAST_REGION} THEN {region_rank()} END"
+    # the end of a text that ends with a space, maybe before a line's end; others are not looked through
+    ends = " OR ".join(f"endswith(text, {lit(c)})" for c in " \n\r\u0085\u2028\u2029")
+    return rows.selectExpr("*", f"{noise_mark(rules)} AS _mark", f"{gallery} AS _gallery", f"{rank} AS _rank", f"CASE WHEN {ends} THEN right(text, 4) END AS _tail")
 
 
 def cleaned_rows(rows: DataFrame, key: str, rules: Rules = Rules()) -> DataFrame:
@@ -158,12 +171,14 @@ def cleaned_rows(rows: DataFrame, key: str, rules: Rules = Rules()) -> DataFrame
     Images of galleries stay, even of hidden slides, and nothing else of these; headings keep the elements that hold them.
     """
     above = f"OVER (PARTITION BY `{key}` ORDER BY pos)"
+    rows = rows if "_mark" in rows.columns else judged(rows, rules)
     editor = f"coalesce({STARTS} AND name = 'textarea' AND lag(name) {above} = 'pre' AND lag(kind) {above} = 'end' AND lag({attr('aria-hidden')}) {above} = 'true', false) AS editor"
-    gallery = f"coalesce({STARTS} AND {one_of('name', sorted(BLOCKS))} AND images > 0 AND {fits(attr('class'), 'gallery|slideshow|carousel')}, false)"
-    marked = rows.selectExpr("*", editor, f"lag(text) {above} AS before").selectExpr("*", f"coalesce({is_noise(rules)}, false) AS _noise", f"{gallery} AS _gallery")
+    # a button in a line of text stays with its text, and an editor's text stays as well
+    in_line = f"(name = 'button' AND {fits('_before', '[A-Za-z0-9_,.] $')})"
+    marked = rows.selectExpr("*", editor, f"lag(_tail) {above} AS _before").selectExpr("*", f"coalesce(_mark = 1 OR (_mark = 2 AND NOT {in_line} AND NOT editor), false) AS _noise")
     flagged = marked.selectExpr("*", f"{covered(key, '_noise AND NOT _gallery')} AS _out", f"{covered(key, '_gallery')} AS gallery", f"{covered(key, '_gallery AND _noise')} AS _lost")
     kept = flagged.where("kind = 'page' OR (kind <> 'data' AND ((gallery AND name = 'img' AND NOT _lost) OR (NOT _out AND (NOT gallery OR _gallery))))")
-    return kept.drop("_noise", "_gallery", "_out", "_lost", "before")
+    return kept.drop("_mark", "_tail", "_before", "_noise", "_gallery", "_out", "_lost")
 
 
 def region_rank(regions=REGIONS) -> str:
@@ -195,12 +210,11 @@ def scored(rows: DataFrame, key: str) -> DataFrame:
 
 def regions(rows: DataFrame, key: str) -> DataFrame:
     """Scored rows with ``region`` (of the page's chosen element: tier 0 by name or 1 by score, pos, last, parent, score) and ``in_region``: the first region by name that is long enough, else the element with the best score, if it is as long, and its siblings."""
-    named = f"kind = 'start' AND size > {LEAST_REGION} AND rank IS NOT NULL"
+    named = f"kind = 'start' AND size > {LEAST_REGION} AND _rank IS NOT NULL"
     best = f"kind = 'start' AND size > {LEAST_REGION} AND score >= {LEAST_SCORE} AND name NOT IN ('html', 'p', 'li', 'td', 'tr', 'pre')"
     choice = lambda tier, order: f"named_struct('tier', {tier}, 'order', CAST({order} AS DOUBLE), 'pos', pos, 'last', last, 'parent', parent, 'score', score)"
-    ranked = rows.selectExpr("*", f"CASE WHEN kind = 'start' THEN {region_rank()} END AS rank")
-    known = ranked.selectExpr("*", f"min(CASE WHEN {named} THEN {choice(0, 'rank')} WHEN {best} THEN {choice(1, '-score')} END) OVER (PARTITION BY `{key}`) AS region")
+    known = rows.selectExpr("*", f"min(CASE WHEN {named} THEN {choice(0, '_rank')} WHEN {best} THEN {choice(1, '-score')} END) OVER (PARTITION BY `{key}`) AS region")
     beside = f"kind = 'start' AND parent = region.parent AND (score >= greatest({LEAST_SIBLING}D, {SIBLING_SHARE}D * region.score) OR (name = 'p' AND chars > 80 AND density < 0.25))"
     chosen = f"(pos = region.pos OR (region.tier = 1 AND {beside}))"
     # a region by name is what lies inside of it
-    return known.selectExpr("*", f"coalesce(region IS NOT NULL AND {covered(key, chosen)} AND (region.tier = 1 OR pos NOT IN (region.pos, region.last)), false) AS in_region").drop("rank")
+    return known.selectExpr("*", f"coalesce(region IS NOT NULL AND {covered(key, chosen)} AND (region.tier = 1 OR pos NOT IN (region.pos, region.last)), false) AS in_region").drop("_rank")

@@ -57,7 +57,7 @@ def gates(rows: DataFrame) -> DataFrame:
 
 def content_rows(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", decode=elements.references.unescape) -> DataFrame:
     """The element rows of each page's content: without noise, scored, with the region chosen."""
-    rows = elements.element_rows(pages, key, html, payload, decode)
+    rows = content.judged(elements.element_rows(pages, key, html, payload, decode), rules)
     if rules.previews:
         figures = pages.where(F.col(html).rlike("(?i)<figure") & F.col(html).rlike("(?i)<pre"))
         rows = previews.without(rows, previews.redundant(elements.element_rows(figures, key, html, decode=decode), key), key)

@@ -222,3 +222,25 @@ def test_unclosed_markup_goes_through_the_whole_report(spark):
 def test_content_rows_have_the_page_once(spark):
     rows = content_rows(spark.createDataFrame([(1, "<p>a", "u"), (2, None, "v")], "page_id long, html string, url string"), "page_id", ("url",))
     assert sorted((r["page_id"], r["url"]) for r in rows.where("kind = 'page'").collect()) == [(1, "u"), (2, "v")]
+
+
+def explained(frame, mode):
+    kind = frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode)
+    return frame._jdf.queryExecution().explainString(kind)
+
+
+def test_generated_functions_are_small_enough_to_be_compiled(spark):
+    """The JVM interprets functions of over 8 000 bytes for ever."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = spark.createDataFrame([(1, "<article><p>a")], "page_id long, html string")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", explained(to_markdown(pages, "page_id").select("page_id", "markdown"), "codegen"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("before, stays", [("see ", True), ("see \n", True), ("see \r\n", True), ("see", False), ("see! ", False), ("", False), ("x <b>y </b>", False), ("é ", False)])
+def test_buttons_in_lines_of_text_stay(spark, before, stays):
+    rows = C.cleaned_rows(E.element_rows(spark.createDataFrame([(1, f"<p>{before}<button>go</button>")], "page_id long, html string"), "page_id"), "page_id")
+    assert bool(rows.where("kind = 'text' AND text = 'go'").count()) == stays
