@@ -37,12 +37,15 @@ def panes(rows: DataFrame, key: str) -> DataFrame:
     """
     figure, page = "name = 'figure'", f"`{key}`"
     opened = f"sum(CASE WHEN {figure} AND kind = 'start' THEN 1 WHEN {figure} AND kind = 'end' THEN -1 ELSE 0 END) OVER {so_far(key)}"
-    counted = rows.where("kind <> 'page'").selectExpr(page, "pos", "kind", "name", "text", "attrs", "node", "parent", "last", f"{opened} + CASE WHEN {figure} AND kind = 'end' THEN 1 ELSE 0 END AS level", f"count_if({STARTS}) OVER {so_far(key)} AS n")
+    # attributes are asked before the rows are shuffled, and stay behind; so does text that isn't compared
+    weighty = f"{STARTS} AND ({one_of('name', MORE_THAN_PREVIEW)} OR (name = 'a' AND attrs['href'] IS NOT NULL)) AS weighty"
+    narrow = rows.where("kind <> 'page'").selectExpr(page, "pos", "kind", "name", "CASE WHEN kind = 'text' THEN text END AS text", "node", "parent", "last", weighty)
+    counted = narrow.selectExpr("*", f"{opened} + CASE WHEN {figure} AND kind = 'end' THEN 1 ELSE 0 END AS level", f"count_if({STARTS}) OVER {so_far(key)} AS n")
     at_level = f"(PARTITION BY {page}, level ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     figures = counted.where("level > 0").selectExpr("*", f"max(CASE WHEN kind = 'start' AND {figure} THEN pos END) OVER {at_level} AS figure")
     begun = figures.selectExpr("*", f"max(CASE WHEN kind = 'start' AND parent = figure THEN named_struct('pos', pos, 'last', last, 'name', name) END) OVER {at_level} AS pane")
     inside = begun.where("pane.pos > figure AND pos <= pane.last").selectExpr("*", "CASE WHEN kind IN ('text', 'data') THEN parent ELSE node END AS element")
-    more = f"{STARTS} AND pos > pane.pos AND ({one_of('name', MORE_THAN_PREVIEW)} OR (name = 'a' AND attrs['href'] IS NOT NULL))"
+    more = "weighty AND pos > pane.pos"
     by_element = (
         inside.groupBy(key, "figure", "pane", "element")
         .agg(*_sql("max(CASE WHEN kind = 'start' THEN name END) AS name", f"bool_or(coalesce({more}, false)) AS more", f"bool_or(coalesce({STARTS} AND pos > pane.pos AND {one_of('name', PREVIEW_DRAWINGS)}, false)) AS drawn",

@@ -143,3 +143,11 @@ def test_nested_and_unclosed_figures(spark):
     found = sorted((r["page_id"], r["pane"]) for r in V.redundant(rows, "page_id").collect())
     places = {(r["page_id"], r["pos"]): r["name"] for r in rows.where("kind = 'start'").collect()}
     assert [(n, places[n, p]) for n, p in found] == [(1, "div"), (1, "p")]
+
+
+def test_panes_shuffle_no_attributes(spark):
+    found = V.panes(E.element_rows(spark.createDataFrame([(1, "<figure><pre>a")], "page_id long, html string"), "page_id"), "page_id")
+    kind = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = found._jdf.queryExecution().explainString(kind)
+    sent = [part.split("\n", 1)[0] for part in plan.split(") Exchange\n")[1:]]
+    assert sent and not any("attrs#" in x for x in sent)
