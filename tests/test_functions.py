@@ -276,6 +276,16 @@ def test_cuts_to_bytes_run_without_python(spark):
     assert all(r["c"] == (None if r["t"] is None else r["t"].encode()[: r["n"]].decode("utf-8", "ignore")) for r in cut.collect())
 
 
+def test_byte_cut_around_its_limit(spark, tmp_path):
+    """Characters of one to four bytes across the 1000th byte, long and absent texts; the query's plan holds no Python."""
+    texts = ["", "a" * 1000, "a" * 1001, "é" * 70_000, None] + ["a" * n + c for c in "é€😀" for n in range(995, 1001)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = url_queries.byte_cut(spark, str(tmp_path))
+    assert "Python" not in cut._jdf.queryExecution().toString()
+    right = {i: (None, None) if t is None else (len(t.encode()[:1000].decode("utf-8", "ignore").encode()), len(t.encode()) > 1000) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: (r["n_bytes"], r["truncated"]) for r in cut.collect()} == right
+
+
 def test_plain_bodies_are_decoded_without_python(spark):
     """Valid UTF-8 and UTF-16 are read by Spark, all else by Python, with the same text."""
     cases = [("aé€", n) for n in ("utf-8", "utf-16le", "utf-16be", "cp1252")] + [("\ufeffx", n) for n in ("utf-8", "utf-16le", "utf-16be")] + [("😀", n) for n in ("utf-8", "utf-16le", "utf-16be")] + [("x" * 400_000, "utf-16le"), ("", "utf-16be"), ("", "utf-8")]
