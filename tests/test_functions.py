@@ -268,6 +268,23 @@ def test_limited_reports_keep_references_without_semicolons(spark, tmp_path):
     assert row["markdown"].startswith("# T&amp\n\nmore words") and row["content_size"] == 1000 and row["truncated"]
 
 
+def test_limited_reports_cut_in_references_and_links(spark, tmp_path):
+    """Titles cut at each place of a reference, links around the limit and texts on both sides of it, against the query's SQL."""
+    import duckdb
+
+    words = "Some words of it. " * 80
+    cases = [("T &amp; a" + r[:k], words[:n]) for r in ("&amp;", "&quot;", "&lt;") for k in range(len(r) + 1) for n in (300, 1400)] + [("Plain titles", words[:n]) for n in range(845, 885)]
+    cases += [("Plain title", words[:n].strip() + ' <a href="https://e.org/l">label &amp; x</a> c&quo ' + words) for n in range(900, 985, 5)]
+    page = "<!DOCTYPE html><html><head><title>{0}</title></head><body><nav><a href='/x'>x</a></nav><article><h1>{0}</h1><p><b>{0} more.<br><p>{1}</p></article><footer>&copy; e.org</footer></body></html>"
+    rows = [(i, f"https://e.org/en/{i}.html", page.format(*c)) for i, c in enumerate(cases)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    right = sorted(duck.execute(page_queries.SQL["limited_report"]).fetchall())
+    assert {(1000, False), (1000, True)} <= {r[2:] for r in right}
+    assert sorted(map(tuple, page_queries.limited_report(spark, str(tmp_path)).collect())) == right
+
+
 def test_cuts_to_bytes_run_without_python(spark):
     texts = ["", "a", "é€😀x" * 9, "ab" * 40, "😀" * 30, None]
     rows = spark.createDataFrame([(t, n) for t in texts for n in range(12)], "t string, n int")
