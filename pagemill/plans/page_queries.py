@@ -64,10 +64,13 @@ def content_rows(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rule
     return content.regions(content.scored(content.cleaned_rows(rows, key, rules), key), key)
 
 
-def to_markdown(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", host: str = "CAST(NULL AS STRING)", decode=elements.references.unescape) -> DataFrame:
-    """(key, payload, markdown, region_markdown, body, region) of each page: Markdown and markup of its content, and of the region of main content, if one was found."""
+def to_markdown(pages: DataFrame, key: str, payload: tuple[str, ...] = (), rules: content.Rules = content.Rules(), html: str = "html", host: str = "CAST(NULL AS STRING)", decode=elements.references.unescape, empty_items: bool = False) -> DataFrame:
+    """(key, payload, markdown, region_markdown, body, region) of each page: Markdown and markup of its content, and of the region of main content, if one was found.
+
+    ``empty_items``: whether the mark of a list item that begins with an empty paragraph stands on a line of its own.
+    """
     pieces = blocks.pieces(content_rows(pages, key, payload, rules, html, decode), key, host)
-    return blocks.pages(blocks.lines(blocks.blocks(pieces, key, payload), key), key, payload)
+    return blocks.pages(blocks.lines(blocks.blocks(pieces, key, payload, empty_items), key, empty_items), key, payload)
 
 
 def render(pages: DataFrame, fetched_at: str = FETCHED_AT, inline_limit: int = 0, rules: content.Rules = content.Rules()) -> DataFrame:
